@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordspark.llm.cooccurrence import cooccurrence
+from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
 from recordspark.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return new_lines(table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "archive_documents", "id", "document_type"))
+
+
+def p3_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    return new_text(table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "archive_documents", "id", "document_type"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = copy_groups(table(spark, sf, "archive_documents", "id", "file_hash"), table(spark, sf, "document_texts", "document_id", "full_text"))
     return groups.filter("first_id <> copy_id")
@@ -45,6 +54,8 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_new_text": p3_new_text,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p7_found": p7_found,
