@@ -27,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-MARKS = str.maketrans("", "", "'’‘`´­")
+MARKS = "'’‘`´\u00ad"
+CHUNK = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower().translate(MARKS))
+    text = text.lower()
+    for mark in MARKS:
+        if mark in text:
+            text = text.replace(mark, "")
+    return WORD.findall(text)
 
 
 def shared_openings(texts: list[str], least_words: int = 5) -> set[tuple[str, ...]]:
@@ -118,34 +123,51 @@ class Index:
         self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
         self.at = np.concatenate(at)[order] if at else np.empty(0, np.int64)
 
-    def search(self, text: str, least: int) -> list[tuple[int, int, int]]:
-        """(item, matched span in words, item length) of every item found in a text."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words(text)], np.int64)
+    def search(self, texts: list[str], least: int) -> list[tuple[int, int, int, int]]:
+        """(place of the text, item, matched span in words, item length) of every item found in some texts.
+
+        The texts are laid end to end, apart by unknown words, so that hashing,
+        winnowing and the lookup run once over all their words.
+        """
+        get, apart = self.vocabulary.get, [-1] * (self.k + self.window)
+        flat: list[int] = []
+        begins = np.empty(len(texts) + 1, np.int64)
+        for n, t in enumerate(texts):
+            begins[n] = len(flat)
+            flat += [get(w, -1) for w in words(t)]
+            flat += apart
+        begins[-1] = len(flat)
+        ids = np.array(flat, np.int64)
         h = _grams(ids, self.k)
         p = winnow(h, self.window)
+        p = p[h[p] != TOP]
         low = np.searchsorted(self.hashes, h[p], "left")
         high = np.searchsorted(self.hashes, h[p], "right")
-        hit = (high > low) & (h[p] != TOP)
-        if hit.sum() < 2:
-            return []
+        hit = high > low
         p, low, high = p[hit], low[hit], high[hit]
+        if len(p) < 2:
+            return []
         count = high - low
         where = np.repeat(p, count)
         rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        owner, diagonal = self.owner[rows], where - self.at[rows]
-        key, n = np.unique(np.stack([owner, diagonal]), axis=1, return_counts=True)
-        found: dict[int, int] = {}
-        tried: set[tuple[int, int]] = set()
-        for o, d in key[:, n >= 2].T.tolist():
-            if any((o, d + s) in tried for s in (-1, 1)) and found.get(o):
-                continue
-            tried.add((o, d))
+        # one text and one diagonal of one item have one key: the text is told by the place itself
+        shift = len(ids) + 1
+        longest = max(len(i) for _, i in self.items) + 1
+        key, n = np.unique(self.owner[rows] * (shift + longest) + (where - self.at[rows] + longest), return_counts=True)
+        found: dict[tuple[int, int], int] = {}
+        for one in key[n >= 2].tolist():
+            o, d = divmod(one, shift + longest)
+            d -= longest
             item_ids = self.items[o][1]
-            span = self._align(ids, item_ids, d, least)
-            if span > found.get(o, 0):
-                found[o] = span
-        return [(self.items[o][0], s, len(self.items[o][1])) for o, s in found.items()]
+            text = int(np.searchsorted(begins, max(d, 0) + len(item_ids) // 2, "right")) - 1
+            for t in {text, int(np.searchsorted(begins, max(d, 0), "right")) - 1, int(np.searchsorted(begins, d + len(item_ids) - 1, "right")) - 1}:
+                if not 0 <= t < len(texts):
+                    continue
+                start, end = int(begins[t]), int(begins[t + 1])
+                span = self._align(ids[start:end], item_ids, d - start, least)
+                if span > found.get((t, o), 0):
+                    found[t, o] = span
+        return [(t, self.items[o][0], s, len(self.items[o][1])) for (t, o), s in found.items()]
 
     @staticmethod
     def _align(ids: np.ndarray, item: np.ndarray, d: int, least: int) -> int:
@@ -190,7 +212,9 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         def search(batches, block=block):
             index = Index(block.value, k, window)
             for pdf in batches:
-                got = [(d, *m) for d, t in zip(pdf["doc_id"].tolist(), pdf["t"].tolist()) for m in index.search(t, min_words)]
+                docs, texts, got = pdf["doc_id"].tolist(), pdf["t"].tolist(), []
+                for at in range(0, len(texts), CHUNK):
+                    got += [(docs[at + t], *m) for t, *m in index.search(texts[at : at + CHUNK], min_words)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "span", "item_words"])
 
         part = source.mapInPandas(search, "doc_id bigint, item_id bigint, span int, item_words int")
