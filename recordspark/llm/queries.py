@@ -11,9 +11,26 @@ from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
+from recordspark.llm.truncation import judged, truncation_rates
 from recordspark.sources.tables import table
 
 
+def _p2(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(table(spark, sf, "document_texts", "document_id", "full_text", "pages_text", "word_count"), table(spark, sf, "archive_documents", "id", "data_set"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2(spark, sf).filter("cut").select("document_id")
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation_rates(_p2(spark, sf))
+
+
+def p2_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2(spark, sf)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return new_lines(table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "archive_documents", "id", "document_type"))
 
@@ -54,6 +71,9 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
+    "p2_judged": p2_judged,
     "p3_found": p3_found,
     "p3_new_text": p3_new_text,
     "p4_found": p4_found,
