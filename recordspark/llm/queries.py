@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordspark.llm.abuse import abuse_rates, scored
 from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
@@ -70,6 +71,18 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return leak_report(p8_leaks(spark, sf), table(spark, sf, "eval_items", "item_id", "text"))
 
 
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(table(spark, sf, "documents", "doc_id", "text", "source"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_scores(spark, sf).filter("score >= 0.5").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse_rates(p10_scores(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
@@ -83,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_report": p8_report,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _P7 = """
