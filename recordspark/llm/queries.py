@@ -12,6 +12,7 @@ from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
+from recordspark.llm.pii import personal_data, redacted
 from recordspark.llm.truncation import judged, truncation_rates
 from recordspark.sources.tables import table
 
@@ -49,6 +50,18 @@ def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
     return copies(table(spark, sf, "archive_documents", "id", "file_hash"), table(spark, sf, "document_texts", "document_id", "full_text"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data(
+        table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "mentions", "id", "context_snippet", "name_as_appears"), table(spark, sf, "entities", "canonical_name", "aliases", "entity_type")
+    )
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "document_texts").select(F.col("document_id").alias("id"), F.col("full_text").alias("text"))
+    snippets = table(spark, sf, "mentions").select("id", F.col("context_snippet").alias("text"))
+    return redacted(texts, snippets, table(spark, sf, "entities", "canonical_name", "aliases", "entity_type"))
+
+
 def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cooccurrence(table(spark, sf, "mentions", "document_id", "entity_id"), "document_id", "entity_id", min_support=5, min_lift=3.0)
     out = pairs.withColumnsRenamed({"item_1": "entity_id_1", "item_2": "entity_id_2"})
@@ -91,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_new_text": p3_new_text,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_found": p8_found,
