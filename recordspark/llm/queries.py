@@ -13,6 +13,7 @@ from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
 from recordspark.llm.pii import personal_data, redacted
+from recordspark.llm.scans import repaired, scan_cases
 from recordspark.llm.truncation import judged, truncation_rates
 from recordspark.sources.tables import table
 
@@ -50,6 +51,14 @@ def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
     return copies(table(spark, sf, "archive_documents", "id", "file_hash"), table(spark, sf, "document_texts", "document_id", "full_text"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_cases(table(spark, sf, "document_texts", "document_id", "pages_text", "full_text"))[0]
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired(table(spark, sf, "document_texts", "document_id", "pages_text", "full_text"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data(
         table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "mentions", "id", "context_snippet", "name_as_appears"), table(spark, sf, "entities", "canonical_name", "aliases", "entity_type")
@@ -104,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_new_text": p3_new_text,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
