@@ -12,12 +12,21 @@ from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
+from recordspark.llm.names import same_entities, same_pairs
 from recordspark.llm.pii import personal_data, redacted
 from recordspark.llm.scans import repaired, scan_cases
 from recordspark.llm.truncation import judged, truncation_rates
 from recordspark.sources.tables import table
 
 
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entities(table(spark, sf, "entities", "id", "canonical_name", "entity_type", "first_name", "aliases"), table(spark, sf, "mentions", "entity_id", "name_as_appears"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_pairs(p1_clusters(spark, sf))
+
+
 def _p2(spark: SparkSession, sf: str) -> DataFrame:
     return judged(table(spark, sf, "document_texts", "document_id", "full_text", "pages_text", "word_count"), table(spark, sf, "archive_documents", "id", "data_set"))
 
@@ -106,6 +115,8 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p2_judged": p2_judged,
