@@ -12,6 +12,7 @@ from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
 from recordspark.llm.formdup import copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
+from recordspark.llm.mixture import mixture, shares
 from recordspark.llm.names import same_entities, same_pairs
 from recordspark.llm.pii import personal_data, redacted
 from recordspark.llm.scans import repaired, scan_cases
@@ -102,6 +103,14 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return leak_report(p8_leaks(spark, sf), table(spark, sf, "eval_items", "item_id", "text"))
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(table(spark, sf, "documents", "doc_id", "text", "source"), table(spark, sf, "mixture_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(p9_mixture(spark, sf), table(spark, sf, "mixture_targets"))
+
+
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored(table(spark, sf, "documents", "doc_id", "text", "source"))
 
@@ -133,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_report": p8_report,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
