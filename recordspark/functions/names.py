@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from recordspark.functions.text import squeeze, words
 
@@ -53,7 +54,7 @@ def merge_key(c: Column) -> Column:
     return squeeze(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_key(names: pd.Series) -> pd.Series:
     """Compatibility form, spaces squeezed, full case folding; there is no built-in for it."""
     import unicodedata

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from recordspark.functions.text import squeeze
 
@@ -46,7 +47,7 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word edits between two texts; there is no built-in for word tokens."""
     return pd.Series([edit_distance((a or "").split(), (b or "").split()) for a, b in zip(reference, hypothesis)], dtype="int32")

@@ -113,5 +113,5 @@ def index_consistency(texts: DataFrame, indexed: DataFrame) -> DataFrame:
     t = texts.filter("trim(full_text) <> ''").select("document_id").distinct()
     i = indexed.select("document_id").distinct()
     both = t.withColumn("t", F.lit(1)).join(i.withColumn("i", F.lit(1)), "document_id", "full_outer")
-    row = both.agg(F.count("t").alias("text_rows"), F.count("i").alias("index_rows"), F.count_if("t is not null and i is null").alias("missing"), F.count_if("t is null and i is not null").alias("orphans"))
+    row = both.agg(F.count("t").alias("text_rows"), F.count("i").alias("index_rows"), F.count_if(F.expr("t is not null and i is null")).alias("missing"), F.count_if(F.expr("t is null and i is not null")).alias("orphans"))
     return row.withColumn("ok", (F.col("missing") == 0) & (F.col("orphans") == 0))
