@@ -30,11 +30,11 @@ def clean_title(c: Column) -> Column:
     return F.when((F.length(t) < 4) | (letters < F.length(t) * 0.4), "").otherwise(t)
 
 
-def record_title(bates: Column, title: Column, name: Column) -> Column:
-    """'bates — words' unless both say the same."""
-    said = F.coalesce(F.nullif(clean_title(title), F.lit("")), F.nullif(clean_title(name), F.lit("")))
+def record_title(bates: Column, said: Column) -> Column:
+    """'bates — words' unless both say the same; ``said`` is a cleaned title, null or empty for none."""
     bare = lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
-    return F.when(said.isNull(), bates).when(bates.isNull() | (bare(said) == bare(bates)), said).otherwise(F.concat(bates, F.lit(" — "), said))
+    none = F.coalesce(said, F.lit("")) == ""
+    return F.when(none, bates).when(bates.isNull() | (bare(said) == bare(bates)), said).otherwise(F.concat(bates, F.lit(" — "), said))
 
 
 def bates_number(c: Column) -> Column:

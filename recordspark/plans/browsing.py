@@ -24,9 +24,9 @@ def scan_documents(t: Tables):
     return t.archive_documents.select("id", "bates_number", "data_set", "document_type", "title", "file_size")
 
 
-@query("SELECT d.id, d.title, d.page_count, x.word_count FROM archive_documents d LEFT JOIN document_texts x ON x.document_id = d.id WHERE d.id = 50")
+@query("SELECT d.id, d.title, d.page_count, x.word_count FROM archive_documents d LEFT JOIN document_texts x ON x.document_id = d.id WHERE d.id = 7")
 def point_lookup(t: Tables):
-    d = t.archive_documents.filter("id = 50").select("id", "title", "page_count")
+    d = t.archive_documents.filter("id = 7").select("id", "title", "page_count")
     return d.join(t.document_texts.select(F.col("document_id").alias("id"), "word_count"), "id", "left")
 
 

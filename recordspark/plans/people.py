@@ -51,9 +51,9 @@ def entity_mentions_topk(t: Tables):
     return m.withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy("id"))).filter("rn <= 5").drop("rn")
 
 
-@query("SELECT m.id, m.name_as_appears, e.canonical_name FROM mentions m JOIN entities e ON e.id = m.entity_id WHERE m.document_id = 3 ORDER BY m.id LIMIT 100")
+@query("SELECT m.id, m.name_as_appears, e.canonical_name FROM mentions m JOIN entities e ON e.id = m.entity_id WHERE m.document_id = 7 ORDER BY m.id LIMIT 100")
 def document_entities(t: Tables):
-    m = t.mentions.filter("document_id = 3").join(t.entities.select(F.col("id").alias("entity_id"), "canonical_name"), "entity_id")
+    m = t.mentions.filter("document_id = 7").join(t.entities.select(F.col("id").alias("entity_id"), "canonical_name"), "entity_id")
     return m.orderBy("id").limit(100).select("id", "name_as_appears", "canonical_name")
 
 

@@ -130,9 +130,13 @@ def clean_title(t: Tables):
     return t.archive_documents.select("id", R.clean_title(F.col("filename")).alias("title"))
 
 
-@query()
+@query(
+    r"""WITH c AS (SELECT id, bates_number AS b, CASE WHEN length(s) < 4 OR len(regexp_extract_all(s, '[A-Za-z]')) < length(s) * 0.4 THEN '' ELSE s END AS s FROM (SELECT id, bates_number, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(filename, ''), '(?i)\.[a-z0-9]{2,4}$', ''), '^[0-9]{6,}[_-]\s*', ''), '_+', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM archive_documents))
+    SELECT id, CASE WHEN s = '' THEN b WHEN b IS NULL OR regexp_replace(lower(s), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b), '[^a-z0-9]', '', 'g') THEN s ELSE b || ' — ' || s END AS title FROM c"""
+)
 def title_composition(t: Tables):
-    return t.archive_documents.select("id", R.record_title(F.col("bates_number"), F.col("title"), F.col("filename")).alias("title"))
+    said = t.archive_documents.select("id", "bates_number", R.clean_title(F.col("filename")).alias("said"))
+    return said.select("id", R.record_title(F.col("bates_number"), F.col("said")).alias("title"))
 
 
 @query(

@@ -35,7 +35,7 @@ def read_evaluation_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_text_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Rows (path, text); broken byte sequences become replacement characters."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.make_valid_utf8(F.col("content").cast("string")) if encoding.upper() == "UTF-8" else F.decode("content", F.lit(encoding))
+    text = F.make_valid_utf8(F.col("content").cast("string")) if encoding.upper() == "UTF-8" else F.decode("content", encoding)
     return raw.select("path", text.alias("text"))
 
 

@@ -14,7 +14,7 @@ QUOTE, FIELD = "þ", "\x14"
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Rows (file, line_no, line) of whole files decoded in one encoding; load files are small beside their images."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", F.lit(encoding)), "^﻿", "")
+    text = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
     rows = raw.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
     return rows.filter(F.trim("line") != "")
 
