@@ -37,7 +37,7 @@ QUOTE_MARKS = re.compile(r"^(?:\s*[>|])+\s?")
 TRACE = re.compile(r"(?:\.{3,}|…|\[\s*(?:text|message|content|rest|remainder|output)?\s*(?:has been\s+)?(?:shortened|truncated|cut(?:\s+off)?|clipped|trimmed|incomplete|snip(?:ped)?|more|continued|\.{3}|…)\s*[^\]]{0,20}\]|<\s*(?:snip|truncated|more|cut)\s*>|\((?:truncated|cut off|continued|more|cont'?d)\)|--\s*more\s*--)\s*$", re.I)
 BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|Ã|â€?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&(?:[a-z]{2,7}|#\d{0,5})|=[0-9A-F]?|%[0-9A-F]?)\s*$")
 TERMINATED = re.compile(r"[.!?。]['\"”’»)\]}*_;]*\s*$")
-ABBREVIATED = re.compile(r"(?:\b(?:no|nos|dr|mr|mrs|ms|prof|capt|mme|vs|cf|fig|sgt|lt|hon|rev)|(?<=[a-z,] )[A-Z])\.$")
+ABBREVIATED = re.compile(r"(?:\b(?i:no|nos|dr|mr|mrs|ms|prof|capt|mme|vs|cf|fig|sgt|lt|hon|rev)|(?<=[a-z,] )[A-Z])\.$")
 PAGE_NUMBER = re.compile(r"^[\[(\-–— ]*(?:page|pg\.?|p\.?|seite|s\.)?\s*(?:[\divxlcoOIl]{1,5}|0\d+)(?:\s*(?:of|/|von)\s*[\divxlcoOIl]{1,5})?[\])\-–— ]*$", re.I)
 FURNITURE = re.compile(r"^(?:exhibit\s+\S+|vol\.?\s*\d+\b.*|confidential\b.*|.*\(\d{4}\)|.*\s/\s.*)$", re.I)
 CLOSING = re.compile(r"^(?:cc\s*:.*|enclosures?\b.*|encl\.?.*|enc\.?.*|dated\s*:.*|sheet\s+total.*|legs|attachments?\b.*|copy\s+to\b.*|end\s+of\s+\w+|-+\s*end\s*-+|\*+)$", re.I)
