@@ -290,18 +290,23 @@ def names_of(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return every.join(about, "entity_id")
 
 
-def trade_words(entities: DataFrame, share: float = 1 / 4000, least: int = 3) -> frozenset[str]:
-    """Words that stand in organisation names beside many different words.
+def trade_words(entities: DataFrame, share: float = 1 / 1000, least: int = 3) -> frozenset[str]:
+    """Words that stand in organisation names beside many different rare words.
 
-    At most a few thousand, as each takes ``share`` of all organisation names.
+    At most a few thousand, as each takes ``share`` of all organisation names. A rare
+    word of several firms stands beside many trades, so words that are frequent
+    neighbours themselves do not count the second time; shortened words never do.
     """
     firms = entities.filter(F.lower("entity_type").startswith("org") & F.col("canonical_name").isNotNull())
-    tokens = firms.select(F.expr(r"array_distinct(regexp_extract_all(lower(canonical_name), '[a-z]{4,}', 0))").alias("w"))
+    tokens = firms.select(F.expr(r"array_distinct(regexp_extract_all(lower(canonical_name), '[a-z]{4,}(?![a-z.])', 0))").alias("w"))
+    listed = sorted({x for full, short in LEGAL.items() for x in (full, *short.split())})
     pairs = tokens.select(F.explode("w").alias("word"), "w").select("word", F.explode("w").alias("beside")).filter("word <> beside").distinct()
+    pairs = cut(pairs.filter(~F.col("beside").isin(listed) & ~F.col("word").isin(listed)))
     needed = max(least, int(share * tokens.count()))
-    listed = {x for t in (LEGAL,) for full, short in t.items() for x in (full, *short.split())}
-    beside = pairs.filter(~F.col("beside").isin(sorted(listed))).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed)
-    return frozenset(r["word"] for r in beside.collect() if r["word"] not in listed)
+    often = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed).select("word")
+    rare = pairs.join(often.withColumnRenamed("word", "beside"), "beside", "left_anti")
+    words = rare.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed)
+    return frozenset(r["word"] for r in words.collect())
 
 
 def _blocks(batches):
@@ -363,15 +368,16 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     strong = cut(exact.unionAll(near).filter("src <> dst").distinct())
     clusters = connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"})
 
-    # rows without a full form: the one cluster that fits
-    weak = forms.join(full.select("entity_id").distinct(), "entity_id", "left_anti")
+    # rows whose full forms, if any, linked to nothing: the one cluster that fits a weak form, and no own full form denies
+    own = full.groupBy("entity_id").agg(F.collect_set("other").alias("own"))
+    weak = forms.filter("not full").join(clusters.select("entity_id"), "entity_id", "left_anti").join(own, "entity_id", "left")
     target = full.join(clusters, "entity_id", "left").select("cls", F.col("rare").alias("rare"), F.col("other").alias("o"), F.col("third").alias("t"), F.coalesce("cluster", "entity_id").alias("cluster")).distinct()
-    met = weak.join(target, ["cls", "rare"])
+    met = weak.join(target, ["cls", "rare"]).filter("cluster <> entity_id and (own is null or array_contains(own, o))")
     person = F.when(F.col("other") != "", F.array_contains(F.split("other", r"\|"), F.col("o"))).when(F.col("third") != "", F.substring("o", 1, 1) == F.col("third")).otherwise(True)
     fits = met.filter(F.when(F.col("cls") == "P", person).otherwise(_fits(F.col("other"), F.col("third"), F.col("o"), F.col("t"))))
     only = fits.groupBy("entity_id").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low = high").select(F.col("low").alias("src"), F.col("entity_id").alias("dst"))
     # weak rows of one form that no cluster fits are one another's
-    lone = weak.join(fits.select("entity_id").distinct(), "entity_id", "left_anti").filter("(cls = 'P' and (third <> '' or other <> '')) or cls <> 'P'")
+    lone = weak.filter("own is null").join(fits.select("entity_id").distinct(), "entity_id", "left_anti").filter("(cls = 'P' and (third <> '' or other <> '')) or cls <> 'P'")
     lone = lone.select("entity_id", F.concat_ws("|", "cls", "rare", F.when(F.col("cls") == "P", F.col("third")).otherwise(F.concat("other", F.lit("|"), "third"))).alias("key"))
     heads = lone.groupBy("key").agg(F.min("entity_id").alias("src"))
     alone = lone.join(heads, "key").filter("entity_id <> src").select("src", F.col("entity_id").alias("dst"))
