@@ -103,7 +103,7 @@ def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[t
     spark = documents.sparkSession
     sized = cut(token_counts(documents, tokenizer=tokenizer))
     wanted = [(r["source"], r["share"], r["repeats"]) for r in targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect()]
-    held = {r["source"]: r["n"] for r in sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    held = {r["source"]: r["n"] for r in sized.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     planned = plan(wanted, held)
     knots = schedule or tilted({s: w for s, (w, _) in planned.items()})
     rows = [(s, held[s], d, *seg) for s, (_, d) in planned.items() for seg in _segments(knots[s], d)]
@@ -112,7 +112,7 @@ def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[t
     sources = segments.groupBy("source", "held", "demand").agg(F.sort_array(F.collect_list(F.struct("before", "t0", "h", "w0", "slope"))).alias("segments"))
 
     order = F.xxhash64("doc_id", F.lit(seed))
-    placed = sized.join(F.broadcast(sources), "source").withColumns({"h": order, "bucket": F.shiftrightunsigned(order, 64 - buckets.bit_length() + 1)})
+    placed = sized.join(sources, "source").withColumns({"h": order, "bucket": F.shiftrightunsigned(order, 64 - buckets.bit_length() + 1)})
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     base = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
     within = W.partitionBy("source", "bucket").orderBy("h", "doc_id")
@@ -137,7 +137,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("copies"), F.max("copy").alias("most_copies"))
     total = per.agg(F.sum("tokens").alias("all_tokens"))
     wanted = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    joined = wanted.join(F.broadcast(per), "source", "left").join(F.broadcast(total), F.lit(True), "left")
+    joined = wanted.join(per, "source", "left").join(F.broadcast(total), F.lit(True), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select(
         "source", "target_share", "max_repeats", zero("tokens").alias("tokens"), F.round(zero(F.col("tokens") / F.col("all_tokens")), 6).alias("actual_share"), zero("documents").alias("documents"), zero("copies").alias("copies"), zero("most_copies").alias("most_copies")
