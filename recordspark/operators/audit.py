@@ -55,5 +55,5 @@ def accuracy_by_band(scored: DataFrame) -> DataFrame:
     spark = scored.sparkSession
     bands = spark.createDataFrame([(b[0],) for b in CONFIDENCE_BANDS], "band string")
     got = scored.groupBy("band").agg(F.count(F.lit(1)).alias("pages"), F.sum("char_edits").alias("edits"), F.sum("ref_chars").alias("chars"))
-    out = F.broadcast(bands).join(got, "band", "left").na.fill(0, ["pages", "edits", "chars"])
+    out = bands.join(got, "band", "left").na.fill(0, ["pages", "edits", "chars"])
     return out.select("band", "pages", "edits", "chars", F.round(F.col("edits") / F.greatest("chars", F.lit(1)), 6).alias("cer"))

@@ -50,7 +50,7 @@ def pattern_merge(entities: DataFrame, rules: DataFrame) -> DataFrame:
     Of the names that contain the pattern the best is clean of odd characters, has the
     preferred token, has a blank, and the least id; without a preferred token it takes the fallback name.
     """
-    hit = entities.select("id", "canonical_name").join(F.broadcast(rules), F.contains(F.lower("canonical_name"), F.lower("pattern")))
+    hit = entities.select("id", "canonical_name").join(rules, F.contains(F.lower("canonical_name"), F.lower("pattern")))
     clean = (~F.col("canonical_name").rlike(r"[^\p{L}\p{N} .,'\-]")).cast("int")
     preferred = F.contains(F.lower("canonical_name"), F.lower("preferred_token")).cast("int")
     ranked = hit.withColumn("q", F.struct(clean.alias("a"), preferred.alias("b"), F.contains("canonical_name", F.lit(" ")).cast("int").alias("c"), (-F.col("id")).alias("d")))

@@ -27,7 +27,7 @@ def read_dat(spark: SparkSession, path: str, columns: Sequence[str], encoding: s
     cells = F.transform(F.split("line", QUOTE + FIELD + QUOTE), lambda c: F.nullif(F.regexp_replace(c, f"^[{QUOTE}{FIELD}\\s]+|[{QUOTE}{FIELD}\\s]+$", ""), F.lit("")))
     rows = _lines(spark, path, encoding).withColumn("cells", cells)
     first = rows.filter("line_no = 0").select("file", F.col("cells").alias("header"))
-    body = rows.filter("line_no > 0").join(F.broadcast(first), "file")
+    body = rows.filter("line_no > 0").join(first, "file")
     at = lambda n: F.array_position("header", F.lit(n)).cast("int")
     return body.select("file", "line_no", *[F.when(at(n) > 0, F.get("cells", at(n) - 1)).alias(n) for n in columns])
 
