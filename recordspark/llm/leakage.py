@@ -90,6 +90,8 @@ def _span(equal: np.ndarray, least: int) -> int:
         return 0
     total = np.concatenate([[0], np.cumsum(equal)])
     best = 0
+    if total[-1] * 10 < 9 * least:
+        return 0
     for length in range(least, min(n, 2 * least - 1) + 1):
         if int((total[length:] - total[:-length]).max()) * 10 >= 9 * length:
             best = length
@@ -182,6 +184,8 @@ class Index:
             return 0
         # a word lost or added shifts the diagonal: align the neighbourhood
         a, b = max(0, d - 8), min(len(ids), d + len(item) + 8)
+        if not _span(np.isin(item, ids[a:b]), least):  # words that stand there at all, whatever their order
+            return 0
         equal = np.zeros(len(item), bool)
         for m in SequenceMatcher(None, ids[a:b].tolist(), item.tolist(), autojunk=False).get_matching_blocks():
             if m.size >= 2:
