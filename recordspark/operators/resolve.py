@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordspark.functions.names import merge_key, type_key
+from recordspark.session import cut
 
 
 def override_types(entities: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def map_to_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
 def new_ids(mapped: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows (local_id, entity_id): unmapped groups get ids above the greatest existing one, in order of local id.
 
-    Numbers come from counts per range partition, so no single task orders all rows.
+    Numbers come from counts per range partition, fixed by a checkpoint, so no single task orders all rows.
     """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = mapped.filter("existing_id is null").select("local_id").withColumn("part", F.floor(F.col("local_id") / 4096))
+    fresh = cut(mapped.filter("existing_id is null").select("local_id").repartitionByRange("local_id").withColumn("part", F.spark_partition_id()))
     sizes = fresh.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     begin = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("begin"))
     numbered = fresh.join(begin, "part").withColumn("rn", F.row_number().over(W.partitionBy("part").orderBy("local_id")) + F.col("begin"))
@@ -109,3 +110,19 @@ def refreshed_counts(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Rows (id, mention_count) as the mentions have it."""
     n = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     return entities.select("id").join(n, F.col("id") == F.col("entity_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("mention_count"))
+
+
+def extend_entities(found: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans (document_id, name, kind) merged into existing entities: (links document_id, entity_id, n; entities to add).
+
+    A name is an entity's if its lower-cased canonical name is equal, the greatest id of
+    equals; the others become new entities with ids above the greatest existing one.
+    """
+    named = found.select("document_id", F.lower("name").alias("name_key"), "name", "kind").filter("name_key is not null")
+    held = entities.groupBy(F.lower("canonical_name").alias("name_key")).agg(F.max("id").alias("existing_id")).filter("name_key is not null")
+    groups_ = named.groupBy("name_key").agg(F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("canonical_name"), F.min("kind").alias("entity_type"), F.xxhash64("name_key").alias("local_id"))
+    mapped = groups_.join(held, "name_key", "left")
+    ids = new_ids(mapped.select("local_id", "existing_id"), entities.select("id"))
+    placed = mapped.join(ids, "local_id")
+    links = named.join(placed.select("name_key", "entity_id"), "name_key").groupBy("document_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+    return links, placed.filter("existing_id is null").select(F.col("entity_id").alias("id"), "canonical_name", "entity_type")

@@ -131,3 +131,11 @@ def test_page_links_reach_all_in_few_hops(spark):
         edge = {x for p in edge for x in got[p]} - seen
         seen |= edge
     assert seen == set(range(1, 196))
+
+
+def test_extend_entities(spark):
+    e = spark.createDataFrame([(5, "Ann Lee"), (9, "ann lee"), (7, None)], "id long, canonical_name string")
+    f = spark.createDataFrame([(1, "ANN LEE", "person"), (1, "Bo Ray", "person"), (2, "bo ray", "person"), (2, "Bo Ray", "person"), (3, None, "person")], "document_id long, name string, kind string")
+    links_, new = resolve.extend_entities(f, e)
+    assert rows(links_) == [(1, 9, 1), (1, 10, 1), (2, 10, 2)]
+    assert rows(new) == [(10, "bo ray", "person")]

@@ -94,3 +94,16 @@ def test_schemas():
     assert schemas.MENTIONS["role_confidence"].dataType.simpleString() == "double"
     assert schemas.DOCUMENT_TEXTS["pages_text"].dataType.simpleString() == "array<string>"
     assert F is not None
+
+
+def test_dump_and_probe(spark, tmp_path):
+    import gzip
+
+    from recordspark.sources.dumps import probe_fields, read_dump
+
+    with gzip.open(tmp_path / "d.sql.gz", "wt") as f:
+        f.write("CREATE TABLE t(a,b);\nINSERT INTO t VALUES (1,'it''s; (fine)'),(2,NULL);\nINSERT INTO \"t\" VALUES(3,'x\ny');\nINSERT INTO other VALUES (9,'z');\n")
+    got = read_dump(spark, str(tmp_path / "d.sql.gz"), "t", ["a", "b"])
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "it's; (fine)"), ("2", None), ("3", "x\ny")]
+    p = spark.createDataFrame([('{"format": {"duration": "2.5"}, "streams": [{"codec_type": "audio"}]}',), ("no",)], "probe string")
+    assert [(r["seconds"], r["has_audio"]) for r in probe_fields(p).collect()] == [(2.5, True), (None, None)]
