@@ -372,10 +372,26 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     own = full.groupBy("entity_id").agg(F.collect_set("other").alias("own"))
     weak = forms.filter("not full").join(clusters.select("entity_id"), "entity_id", "left_anti").join(own, "entity_id", "left")
     target = full.join(clusters, "entity_id", "left").select("cls", F.col("rare").alias("rare"), F.col("other").alias("o"), F.col("third").alias("t"), F.coalesce("cluster", "entity_id").alias("cluster")).distinct()
-    met = weak.join(target, ["cls", "rare"]).filter("cluster <> entity_id and (own is null or array_contains(own, o))")
-    person = F.when(F.col("other") != "", F.array_contains(F.split("other", r"\|"), F.col("o"))).when(F.col("third") != "", F.substring("o", 1, 1) == F.col("third")).otherwise(True)
-    fits = met.filter(F.when(F.col("cls") == "P", person).otherwise(_fits(F.col("other"), F.col("third"), F.col("o"), F.col("t"))))
-    only = fits.groupBy("entity_id").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low = high").select(F.col("low").alias("src"), F.col("entity_id").alias("dst"))
+    # targets are counted per key first, so a family name of many people joins as few rows
+    size = (F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count_distinct("cluster").alias("k"))
+    people, wp = target.filter("cls = 'P'"), weak.filter("cls = 'P'")
+    told = F.when(F.col("other") != "", F.split("other", r"\|"))
+    options = F.when(F.col("own").isNull(), told).when(told.isNotNull(), F.array_intersect("own", told)).when(F.col("third") != "", F.filter("own", lambda x: F.substring(x, 1, 1) == F.col("third"))).otherwise(F.col("own"))
+    by_name = wp.select("entity_id", "rare", F.explode(options).alias("o")).join(people.groupBy("rare", "o").agg(*size), ["rare", "o"])
+    free = wp.filter("own is null and other = ''")
+    by_initial = free.filter("third <> ''").join(people.groupBy("rare", F.substring("o", 1, 1).alias("third")).agg(*size), ["rare", "third"])
+    by_family = free.filter("third = ''").join(people.groupBy("rare").agg(*size), "rare")
+    firms = target.filter("cls <> 'P'").groupBy("cls", "rare", "o", "t").agg(*size)
+    by_firm = weak.filter("cls <> 'P'").join(firms, ["cls", "rare"]).filter(_fits(F.col("other"), F.col("third"), F.col("o"), F.col("t"))).filter("own is null or array_contains(own, o)")
+    met = None
+    for part in (by_name, by_initial, by_family, by_firm):
+        part = part.select("entity_id", "low", "high", "k")
+        met = part if met is None else met.unionAll(part)
+    # a row's own forms are among the targets; without them one cluster is left, or several
+    me = F.col("entity_id")
+    other = F.when((F.col("k") == 1) & (F.col("low") != me), F.col("low")).when((F.col("k") == 2) & (F.col("low") == me), F.col("high")).when((F.col("k") == 2) & (F.col("high") == me), F.col("low"))
+    fits = met.filter("not (k = 1 and low = entity_id)").select("entity_id", other.alias("cluster"))
+    only = fits.groupBy("entity_id").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count_if(F.col("cluster").isNull()).alias("open")).filter("low = high and open = 0").select(F.col("low").alias("src"), F.col("entity_id").alias("dst"))
     # weak rows of one form that no cluster fits are one another's
     lone = weak.filter("own is null").join(fits.select("entity_id").distinct(), "entity_id", "left_anti").filter("(cls = 'P' and (third <> '' or other <> '')) or cls <> 'P'")
     lone = lone.select("entity_id", F.concat_ws("|", "cls", "rare", F.when(F.col("cls") == "P", F.col("third")).otherwise(F.concat("other", F.lit("|"), "third"))).alias("key"))

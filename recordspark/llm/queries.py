@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordspark.llm.abuse import abuse_rates, scored
 from recordspark.llm.cooccurrence import cooccurrence
 from recordspark.llm.emails import new_lines, new_text
-from recordspark.llm.formdup import copies, copy_groups
+from recordspark.llm.formdup import LABELS, copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
 from recordspark.llm.mixture import mixture, shares
 from recordspark.llm.names import same_entities, same_pairs
@@ -160,6 +160,22 @@ q AS (SELECT p.entity_id_1, p.entity_id_2, p.n12, s1.k AS n1, s2.k AS n2, t.n
       WHERE p.n12 * t.n >= 3 * s1.k * s2.k)
 """
 
+_LABEL = "|".join("\\s+".join(x.split()) for x in LABELS)
+_FOLD = "lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+_P4 = f"""
+WITH RECURSIVE h AS (SELECT id, regexp_replace(regexp_replace(lower(trim(file_hash)), '^(?:sha-?(?:1|256|512)|md5)\\s*[:\\-=]\\s*', ''), '[^0-9a-z]', '', 'g') AS k FROM archive_documents WHERE file_hash IS NOT NULL),
+t AS (SELECT document_id AS id, full_text AS x, regexp_matches(full_text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}])Bates\\s+Begin\\s*"?\\s*[:=\\-]') AS is_record FROM document_texts WHERE full_text IS NOT NULL),
+f AS (SELECT id, list_filter(string_split(regexp_replace(x, '(?i)(^|[\\s|;,{{"])({_LABEL})\\s*"?\\s*(?:[:=]|-\\s)', chr(1) || '\\2' || chr(2), 'g'), chr(1)), lambda p: contains(p, chr(2))) AS parts FROM t WHERE is_record),
+c AS (SELECT id, {_FOLD.format('x')} AS k FROM t WHERE NOT is_record UNION ALL SELECT id, 'record:' || array_to_string(list_sort(list_transform(parts, lambda p: {_FOLD.format("string_split(p, chr(2))[1]")} || chr(2) || {_FOLD.format("string_split(p, chr(2))[-1]")})), chr(1)) FROM f),
+k AS (SELECT DISTINCT id, 'h' || k AS k FROM h WHERE length(k) >= 16 UNION SELECT id, 'c' || k FROM c WHERE k <> ''),
+e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM k a JOIN k b ON a.k = b.k AND a.id <> b.id),
+r(id, m) AS (SELECT x, x FROM e UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.id)
+SELECT min(m) AS first_id, id AS copy_id FROM r GROUP BY id HAVING min(m) <> id
+"""
+
 SQL: dict[str, str] = {
+    "p4_found": _P4,
     "p7_found": _P7 + "SELECT entity_id_1, entity_id_2 FROM q",
+    "p7_pairs": _P7
+    + """SELECT entity_id_1, entity_id_2, n12, n1, n2, n, round(n12 * n / (n1 * n2), 6) AS lift, round(greatest(0, 2 * ((CASE WHEN n::DOUBLE > 0 THEN n::DOUBLE * ln(n::DOUBLE) ELSE 0 END) - (CASE WHEN n1::DOUBLE > 0 THEN n1::DOUBLE * ln(n1::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n1)::DOUBLE > 0 THEN (n - n1)::DOUBLE * ln((n - n1)::DOUBLE) ELSE 0 END) - (CASE WHEN n2::DOUBLE > 0 THEN n2::DOUBLE * ln(n2::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n2)::DOUBLE > 0 THEN (n - n2)::DOUBLE * ln((n - n2)::DOUBLE) ELSE 0 END) + (CASE WHEN n12::DOUBLE > 0 THEN n12::DOUBLE * ln(n12::DOUBLE) ELSE 0 END) + (CASE WHEN (n1 - n12)::DOUBLE > 0 THEN (n1 - n12)::DOUBLE * ln((n1 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n2 - n12)::DOUBLE > 0 THEN (n2 - n12)::DOUBLE * ln((n2 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n - n1 - n2 + n12)::DOUBLE > 0 THEN (n - n1 - n2 + n12)::DOUBLE * ln((n - n1 - n2 + n12)::DOUBLE) ELSE 0 END))), 4) AS llr FROM q""",
 }
