@@ -216,16 +216,41 @@ def source_name(source: Column) -> Column:
     return F.coalesce(F.regexp_replace(bare, r"^(\p{L}*)0+(?=\d)", "$1"), F.lit(""))
 
 
+def _beginnings(batches):
+    """Of one sorted range of (key, c, h): h of texts that begin the next one, and the range's first and last row."""
+    from pyspark import TaskContext
+
+    part, prev = TaskContext.get().partitionId(), None
+    for pdf in batches:
+        rows = []
+        for key, c, h in zip(pdf["key"].tolist(), pdf["c"].tolist(), pdf["h"].tolist()):
+            if prev is None:
+                rows.append((part, 0, key, c, h))
+            elif prev[0] == key and c.startswith(prev[1]):
+                rows.append((part, 1, None, None, prev[2]))
+            prev = (key, c, h)
+        yield pd.DataFrame(rows, columns=["part", "what", "key", "c", "h"])
+    if prev is not None:
+        yield pd.DataFrame([(part, 2, *prev)], columns=["part", "what", "key", "c", "h"])
+
+
 def prefix_of_longer(texts: DataFrame, opening: int = 120) -> DataFrame:
-    """document_id of texts whose letters and digits begin, but do not end, another text."""
+    """document_id of texts whose letters and digits begin, but do not end, another text.
+
+    Different contents of one opening are range-sorted over the cluster; a beginning stands
+    right before a text it begins. Two rows per range are compared at the seams.
+    """
     content = texts.select("document_id", normalise(F.col("full_text")).alias("c")).filter(F.length("c") >= opening)
-    content = content.withColumn("key", F.xxhash64(F.substring("c", 1, opening)))
-    # openings with several contents only: compared by hash, before any text moves
+    content = content.select("document_id", "c", F.xxhash64(F.substring("c", 1, opening)).alias("key"), F.md5("c").alias("h"))
+    # openings with several contents only: told by length, before any text moves
     several = content.groupBy("key").agg(F.min(F.length("c")).alias("low"), F.max(F.length("c")).alias("high")).filter("low < high")
-    held = content.join(several.select("key"), "key")
-    distinct = held.groupBy("key", "c").agg(F.collect_set("document_id").alias("ids"))
-    after = F.lead("c").over(W.partitionBy("key").orderBy("c"))
-    return distinct.withColumn("after", after).filter("startswith(after, c)").select(F.explode("ids").alias("document_id"))
+    distinct = content.select("key", "c", "h").join(several.select("key"), "key", "left_semi").dropDuplicates(["key", "h"])
+    found = cut(distinct.repartitionByRange("key", "c").sortWithinPartitions("key", "c").mapInPandas(_beginnings, "part int, what int, key bigint, c string, h string"))
+    seams = found.filter("what <> 1")
+    w = W.orderBy("part", "what")
+    seams = seams.withColumns({"next_key": F.lead("key").over(w), "next_c": F.lead("c").over(w)}).filter("what = 2 and next_key = key and startswith(next_c, c)")
+    begin = found.filter("what = 1").select("h").unionAll(seams.select("h")).distinct()
+    return content.select("document_id", "h").join(begin, "h", "left_semi").select("document_id")
 
 
 def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3) -> DataFrame:

@@ -424,3 +424,30 @@ def test_hot_keys(spark):
     d = spark.createDataFrame([(i, "f" * 64 if i % 3 == 0 else f"{i:064x}") for i in range(300)], "id long, file_hash string")
     assert len(rows(formdup.copy_groups(d, spark.createDataFrame([], "document_id long, full_text string")))) == 100
     assert dt is not None
+
+
+def test_beginnings_across_ranges(spark):
+    rng = random.Random(12)
+    whole = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(60)]
+    t = spark.createDataFrame([(i, w) for i, w in enumerate(whole)] + [(100 + i, w[:150]) for i, w in enumerate(whole)] + [(300, whole[0][:150])] * 2, "document_id long, full_text string")
+    assert {r[0] for r in rows(truncation.prefix_of_longer(t))} == {*range(100, 160), 300}
+
+
+def test_sql_of_queries(spark):
+    import os
+
+    import duckdb
+
+    from recordspark.llm.queries import QUERIES, SQL
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{data}/{f}'")
+    for name, sql in SQL.items():
+        want = con.sql(sql)
+        got = QUERIES[name](spark, data).select(*want.columns)
+        near = lambda table: sorted(tuple(round(float(v), 3) for v in r) for r in table)
+        assert near(got.collect()) == near(want.fetchall()), name
