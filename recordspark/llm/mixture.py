@@ -98,10 +98,14 @@ def _segments(knots: list[tuple[float, float]], demand: int) -> list[tuple[float
     return out
 
 
-def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, seed: int = 11, buckets: int = 1024, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rows (doc_id, source, copy, tokens, position), range-sorted by position in 0..1."""
+def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[tuple[float, float]]] | None = None, seed: int = 11, bucket_rows: int = 50_000, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Rows (doc_id, source, copy, tokens, position), range-sorted by position in 0..1.
+
+    Documents are summed up in hash buckets of about ``bucket_rows``, whose number follows the corpus.
+    """
     spark = documents.sparkSession
     sized = cut(token_counts(documents, tokenizer=tokenizer))
+    bits = max(4, (sized.count() // bucket_rows).bit_length() + 2)
     wanted = [(r["source"], r["share"], r["repeats"]) for r in targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect()]
     held = {r["source"]: r["n"] for r in sized.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     planned = plan(wanted, held)
@@ -112,7 +116,7 @@ def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[t
     sources = segments.groupBy("source", "held", "demand").agg(F.sort_array(F.collect_list(F.struct("before", "t0", "h", "w0", "slope"))).alias("segments"))
 
     order = F.xxhash64("doc_id", F.lit(seed))
-    placed = sized.join(sources, "source").withColumns({"h": order, "bucket": F.shiftrightunsigned(order, 64 - buckets.bit_length() + 1)})
+    placed = sized.join(sources, "source").withColumns({"h": order, "bucket": F.shiftrightunsigned(order, 64 - bits)})
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     base = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
     within = W.partitionBy("source", "bucket").orderBy("h", "doc_id")
