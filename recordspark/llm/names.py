@@ -366,7 +366,7 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     keys = full.select("key", "cls", "rare", "other").distinct().join(stars.select("key", "n"), "key")
     near = like_keys(keys).join(stars.select(F.col("key").alias("a"), F.col("first").alias("src")), "a").join(stars.select(F.col("key").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
     strong = cut(exact.unionAll(near).filter("src <> dst").distinct())
-    clusters = connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"})
+    clusters = cut(connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"}))
 
     # rows whose full forms, if any, linked to nothing: the one cluster that fits a weak form, and no own full form denies
     own = full.groupBy("entity_id").agg(F.collect_set("other").alias("own"))
@@ -397,7 +397,9 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     lone = lone.select("entity_id", F.concat_ws("|", "cls", "rare", F.when(F.col("cls") == "P", F.col("third")).otherwise(F.concat("other", F.lit("|"), "third"))).alias("key"))
     heads = lone.groupBy("key").agg(F.min("entity_id").alias("src"))
     alone = lone.join(heads, "key").filter("entity_id <> src").select("src", F.col("entity_id").alias("dst"))
-    linked = connected_components(strong.unionAll(only).unionAll(alone))
+    # the clusters found above are stars already, so that few rounds are left
+    stars_ = clusters.filter("entity_id <> cluster").select(F.col("cluster").alias("src"), F.col("entity_id").alias("dst"))
+    linked = connected_components(stars_.unionAll(only).unionAll(alone))
     return linked.select(F.col("node").alias("entity_id"), F.col("component").alias("cluster"))
 
 
