@@ -301,7 +301,7 @@ def trade_words(entities: DataFrame, share: float = 1 / 1000, least: int = 3) ->
     tokens = firms.select(F.expr(r"array_distinct(regexp_extract_all(lower(canonical_name), '[a-z]{4,}(?![a-z.])', 0))").alias("w"))
     listed = sorted({x for full, short in LEGAL.items() for x in (full, *short.split())})
     pairs = tokens.select(F.explode("w").alias("word"), "w").select("word", F.explode("w").alias("beside")).filter("word <> beside").distinct()
-    pairs = cut(pairs.filter(~F.col("beside").isin(listed) & ~F.col("word").isin(listed)))
+    pairs = pairs.filter(~F.col("beside").isin(listed) & ~F.col("word").isin(listed))
     needed = max(least, int(share * tokens.count()))
     often = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed).select("word")
     rare = pairs.join(often.withColumnRenamed("word", "beside"), "beside", "left_anti")
@@ -365,8 +365,8 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     exact = full.select("key", "entity_id").distinct().join(stars, "key").filter("entity_id <> first").select(F.col("first").alias("src"), F.col("entity_id").alias("dst"))
     keys = full.select("key", "cls", "rare", "other").distinct().join(stars.select("key", "n"), "key")
     near = like_keys(keys).join(stars.select(F.col("key").alias("a"), F.col("first").alias("src")), "a").join(stars.select(F.col("key").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
-    strong = cut(exact.unionAll(near).filter("src <> dst").distinct())
-    clusters = cut(connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"}))
+    strong = exact.unionAll(near).filter("src <> dst")  # the clustering makes it distinct and cuts its lineage
+    clusters = connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"})
 
     # rows whose full forms, if any, linked to nothing: the one cluster that fits a weak form, and no own full form denies
     own = full.groupBy("entity_id").agg(F.collect_set("other").alias("own"))
@@ -374,19 +374,16 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     target = full.join(clusters, "entity_id", "left").select("cls", F.col("rare").alias("rare"), F.col("other").alias("o"), F.col("third").alias("t"), F.coalesce("cluster", "entity_id").alias("cluster")).distinct()
     # targets are counted per key first, so a family name of many people joins as few rows
     size = (F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count_distinct("cluster").alias("k"))
-    people, wp = target.filter("cls = 'P'"), weak.filter("cls = 'P'")
     told = F.when(F.col("other") != "", F.split("other", r"\|"))
     options = F.when(F.col("own").isNull(), told).when(told.isNotNull(), F.array_intersect("own", told)).when(F.col("third") != "", F.filter("own", lambda x: F.substring(x, 1, 1) == F.col("third"))).otherwise(F.col("own"))
-    by_name = wp.select("entity_id", "rare", F.explode(options).alias("o")).join(people.groupBy("rare", "o").agg(*size), ["rare", "o"])
-    free = wp.filter("own is null and other = ''")
-    by_initial = free.filter("third <> ''").join(people.groupBy("rare", F.substring("o", 1, 1).alias("third")).agg(*size), ["rare", "third"])
-    by_family = free.filter("third = ''").join(people.groupBy("rare").agg(*size), "rare")
-    firms = target.filter("cls <> 'P'").groupBy("cls", "rare", "o", "t").agg(*size)
-    by_firm = weak.filter("cls <> 'P'").join(firms, ["cls", "rare"]).filter(_fits(F.col("other"), F.col("third"), F.col("o"), F.col("t"))).filter("own is null or array_contains(own, o)")
-    met = None
-    for part in (by_name, by_initial, by_family, by_firm):
-        part = part.select("entity_id", "low", "high", "k")
-        met = part if met is None else met.unionAll(part)
+    # one key per way to name a person: in full, by initial, by family name alone; one per rare word of a firm or place
+    full_key = lambda x: F.concat(F.lit("n|"), F.col("rare"), F.lit("|"), x)
+    keys_of = F.when(F.col("cls") == "P", F.array(full_key(F.col("o")), F.concat(F.lit("i|"), F.col("rare"), F.lit("|"), F.substring("o", 1, 1)), F.concat(F.lit("f|"), F.col("rare")))).otherwise(F.array(F.concat_ws("|", "cls", "rare")))
+    firm = F.col("cls") != "P"
+    counted = target.select(F.explode(keys_of).alias("key"), F.when(firm, F.col("o")).alias("o"), F.when(firm, F.col("t")).alias("t"), "cluster").groupBy("key", "o", "t").agg(*size)
+    asked = F.when(firm, F.array(F.concat_ws("|", "cls", "rare"))).when(options.isNotNull(), F.transform(options, full_key)).when(F.col("third") != "", F.array(F.concat(F.lit("i|"), F.col("rare"), F.lit("|"), F.col("third")))).otherwise(F.array(F.concat(F.lit("f|"), F.col("rare"))))
+    met = weak.select("entity_id", "cls", "other", "third", "own", F.explode(asked).alias("key")).join(counted, "key")
+    met = met.filter(~firm | (_fits(F.col("other"), F.col("third"), F.col("o"), F.col("t")) & (F.col("own").isNull() | F.expr("array_contains(own, o)"))))
     # a row's own forms are among the targets; without them one cluster is left, or several
     me = F.col("entity_id")
     other = F.when((F.col("k") == 1) & (F.col("low") != me), F.col("low")).when((F.col("k") == 2) & (F.col("low") == me), F.col("high")).when((F.col("k") == 2) & (F.col("high") == me), F.col("low"))
