@@ -1,18 +1,18 @@
 """Problem 3: the newly written text of emails.
 
 Messages are winnowed into fingerprints of their words, kept in one inverted
-index over the corpus: per fingerprint the first message that holds it as its own
-text, the number of messages, and how often it stands in a closing paragraph. The
-index serves two ends, both without thread identifiers:
+index over the corpus: per fingerprint the messages that hold it, their number,
+and how often it stands in a closing paragraph. The index serves two ends, both
+without thread identifiers:
 
 * recurring closings (legal notices, mottos): fingerprints that several messages
   share and that nearly always stand in a last paragraph; a closing paragraph
   largely made of them is no new text;
 * ancestors: a message whose own text stands nearly whole inside a longer one.
-  The span is verified by the share of fingerprints found, and lines of it are
+  The span is verified by the share of fingerprints found, and all lines of it are
   quoted matter even where nothing marks them.
 
-Every fingerprint points to one first holder, so the index never pairs all holders.
+A message is looked up by its rarest fingerprints only, which loses no ancestor.
 Lines are then classified by ``split_message``: header, quoted or forwarded matter
 with its introducing lines, sign-off and signature, notice, or new text. An
 unmarked quotation that opens a message ends at a greeting, after its own
@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordspark.llm.leakage import TOP, WORD, winnow
@@ -361,15 +363,17 @@ def _hash_words(found: list[str], cache: dict[str, int]) -> np.ndarray:
 
 
 def _fingerprints(batches):
-    """Rows (fp, doc, whole, line, closing): fingerprints of the unquoted lines of emails.
+    """Rows (fp, doc, whole, line, low, high, of, closing): fingerprints of the unquoted lines of emails.
 
-    ``whole`` is equal for copies of one message, which must not count as several.
+    ``whole`` is equal for copies of one message, which must not count as several. ``line`` is the
+    first line of the paragraph, ``of`` its number of fingerprints; ``low`` to ``high`` are the lines
+    of the fingerprint's own words.
     """
     from recordspark.llm.leakage import _grams
 
     cache: dict[str, int] = {}
     for pdf in batches:
-        fps, docs, wholes, at, close = [], [], [], [], []
+        fps, docs, wholes, at, lows, highs, ofs, close = [], [], [], [], [], [], [], []
         for doc, text, hint in zip(pdf["document_id"].tolist(), pdf["full_text"].tolist(), pdf["hint"].tolist()):
             if not is_email(text, hint):
                 continue
@@ -394,14 +398,39 @@ def _fingerprints(batches):
             p = winnow(h, WINDOW)
             final = owner[-1][1] if owner else 0
             whole = int.from_bytes(hashlib.blake2b(" ".join(found).encode(), digest_size=8).digest(), "little", signed=True)
-            for x in p.tolist():
-                if h[x] != TOP and owner[x][1] == owner[x + K - 1][1]:
-                    fps.append(int(h[x].view(np.int64)))
-                    docs.append(doc)
-                    wholes.append(whole)
-                    at.append(owner[x][1])
-                    close.append(owner[x][1] == final)
-        yield pd.DataFrame({"fp": fps, "document_id": docs, "whole": wholes, "line": at, "closing": close}).astype({"fp": "int64", "document_id": "int64", "whole": "int64", "line": "int32", "closing": "bool"})
+            kept = [x for x in p.tolist() if h[x] != TOP and owner[x][1] == owner[x + K - 1][1]]
+            of = Counter(line for line, *_ in {(owner[x][1], owner[x][0], owner[x + K - 1][0], h[x]) for x in kept})
+            for x in kept:
+                low, line = owner[x]
+                fps.append(int(h[x].view(np.int64)))
+                docs.append(doc)
+                wholes.append(whole)
+                at.append(line)
+                lows.append(low)
+                highs.append(owner[x + K - 1][0])
+                ofs.append(of[line])
+                close.append(line == final)
+        yield pd.DataFrame({"fp": fps, "document_id": docs, "whole": wholes, "line": at, "low": lows, "high": highs, "of": ofs, "closing": close}).astype({"fp": "int64", "document_id": "int64", "whole": "int64", "line": "int32", "low": "int32", "high": "int32", "of": "int32", "closing": "bool"})
+
+
+def quoted_lines(lines: list[str], spans: list[int]) -> set[int]:
+    """Lines (from 0) of recognised ancestors; ``spans`` holds (line, low, high, of) of each fingerprint, end to end.
+
+    A paragraph half of whose fingerprints are recognised is quoted to its end, of any other the recognised lines.
+    """
+    paragraphs: dict[int, list[tuple[int, int, int]]] = {}
+    for line, low, high, of in zip(*(spans[k::4] for k in range(4))):
+        paragraphs.setdefault(line, []).append((low, high, of))
+    out: set[int] = set()
+    for line, hits in paragraphs.items():
+        if 2 * len(hits) >= hits[0][2]:
+            end = line + 1
+            while end < len(lines) and lines[end].strip() and not QUOTE.match(lines[end]):
+                end += 1
+            out.update(range(line, end))
+        else:
+            out.update(i for low, high, _ in hits for i in range(low, high + 1))
+    return out
 
 
 def _classify(batches):
@@ -410,31 +439,49 @@ def _classify(batches):
         for doc, text, hint, quoted, closings in zip(pdf["document_id"].tolist(), pdf["full_text"].tolist(), pdf["hint"].tolist(), pdf["quoted"], pdf["closings"]):
             if not is_email(text, hint):
                 continue
-            lines = split_message(text, set() if quoted is None else set(quoted), set() if closings is None else set(closings))
+            lines = split_message(text, set() if quoted is None else quoted_lines(text.split("\n"), list(quoted)), set() if closings is None else set(closings))
             docs += [doc] * len(lines)
             numbers += lines
         yield pd.DataFrame({"document_id": docs, "line_no": numbers}).astype({"document_id": "int64", "line_no": "int32"})
 
 
+def ancestors_of(fps: DataFrame, hits: DataFrame, share: float = 0.7, longer: float = 1.3, least: int = 4) -> DataFrame:
+    """Rows (document_id, spans): where the text of any other message stands nearly whole inside a longer one.
+
+    All holders of a fingerprint are looked at. A message of which ``share`` stands in another shares
+    with it one of its rarest fingerprints at least, as many as may be missing and one more, so only
+    those are joined; copies of one message are looked up once.
+    """
+    sets = fps.select("document_id", "fp").distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.bit_xor(F.xxhash64("fp")).alias("all"))
+    own = hits.groupBy("document_id", "fp").agg(F.max("n").alias("n")).join(sets, "document_id")
+    needed = F.greatest(F.lit(least), F.ceil(F.col("total") * F.lit(share) - 1e-9).cast("int"))
+    w = W.partitionBy("document_id")
+    one = sets.groupBy("total", "all").agg(F.min("document_id").alias("document_id")).select("document_id")
+    held = own.join(one, "document_id", "left_semi").withColumns({"usable": F.count(F.lit(1)).over(w), "rank": F.row_number().over(w.orderBy("n", "fp"))}).filter(F.col("usable") >= needed)
+    rarest = held.filter(F.col("rank") <= F.col("usable") - needed + 1).select("fp", F.col("document_id").alias("first"), F.col("total").alias("first_total"))
+    pairs = own.select("fp", "document_id", "total").join(rarest, "fp").filter((F.col("document_id") != F.col("first")) & (F.col("total") >= longer * F.col("first_total"))).select("document_id", "first", "first_total").distinct()
+    common = pairs.join(held.select(F.col("document_id").alias("first"), "fp"), "first").join(hits.select("document_id", "fp", "line", "low", "high", "of"), ["document_id", "fp"])
+    place = F.struct("line", "low", "high", "of", "fp")
+    shared = common.groupBy("document_id", "first", "first_total").agg(F.count_distinct("fp").alias("common"), F.min("line").alias("begins"), F.collect_set(place).alias("places"))
+    opens = fps.groupBy("document_id").agg(F.min("line").alias("opens"))
+    shared = shared.filter((F.col("common") >= least) & (F.col("common") >= share * F.col("first_total"))).join(opens, "document_id").filter("begins > opens")
+    places = shared.select("document_id", F.explode("places").alias("p")).distinct()
+    return places.groupBy("document_id").agg(F.flatten(F.collect_list(F.array("p.line", "p.low", "p.high", "p.of"))).alias("quoted"))
+
+
 def email_index(messages: DataFrame) -> DataFrame:
-    """Rows (document_id, quoted, closings): first lines of paragraphs recognised over the corpus."""
-    fps = cut(messages.mapInPandas(_fingerprints, "fp bigint, document_id bigint, whole bigint, line int, closing boolean").distinct())
-    once = fps.groupBy("fp", "whole").agg(F.max(F.col("closing").cast("int")).alias("closing"), F.min("document_id").alias("document_id"))
-    index = once.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.sum("closing").alias("n_closing"), F.min("document_id").alias("first")).filter("n > 1")
-    totals = fps.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"))
-    hits = fps.join(index, "fp")
+    """Rows (document_id, quoted, closings): places recognised over the corpus, see ``quoted_lines``, and first lines of closings."""
+    fps = cut(messages.mapInPandas(_fingerprints, "fp bigint, document_id bigint, whole bigint, line int, low int, high int, of int, closing boolean").distinct())
+    once = fps.groupBy("fp", "whole").agg(F.max(F.col("closing").cast("int")).alias("closing"))
+    index = once.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.sum("closing").alias("n_closing")).filter("n > 1")
+    hits = cut(fps.join(index, "fp").drop("whole"))
     closings = (
-        hits.filter("closing and n >= 5 and n_closing >= 0.6 * n").groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("hit"))
+        hits.filter("closing and n >= 5 and n_closing >= 0.6 * n").groupBy("document_id", "line").agg(F.count_distinct("fp").alias("hit"))
     )
     # all fingerprints of that paragraph, for the share
-    whole = fps.filter("closing").groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("of"))
+    whole = fps.filter("closing").groupBy("document_id", "line").agg(F.count_distinct("fp").alias("of"))
     closings = closings.join(whole, ["document_id", "line"]).filter("hit >= 0.5 * of").groupBy("document_id").agg(F.collect_set("line").alias("closings"))
-    # ancestors: the first holder's own text stands nearly whole in a longer message
-    shared = hits.filter("first <> document_id and (n < 5 or n_closing < 0.6 * n)").groupBy("document_id", "first").agg(F.count(F.lit(1)).alias("common"), F.min("line").alias("begins"), F.collect_set("line").alias("quoted"))
-    shared = shared.filter("common >= 4").join(totals.withColumnsRenamed({"document_id": "first", "total": "first_total"}), "first").join(totals, "document_id")
-    opens = fps.groupBy("document_id").agg(F.min("line").alias("opens"))
-    shared = shared.filter("common >= 0.7 * first_total and total >= 1.3 * first_total").join(opens, "document_id").filter("begins > opens")
-    ancestors = shared.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("quoted"))).alias("quoted"))
+    ancestors = ancestors_of(fps, hits.filter("n < 5 or n_closing < 0.6 * n"))
     return ancestors.join(closings, "document_id", "full_outer")
 
 

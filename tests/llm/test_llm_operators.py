@@ -188,6 +188,22 @@ def test_new_lines_and_ancestors(spark):
     assert dict(rows(emails.new_text(t, d)))[2] == "\n".join(mine.split("\n\n"))
 
 
+def test_ancestors_of_several_lines_and_late_arrival(spark):
+    rng = random.Random(5)
+    old, mine, other = (["\n".join(sentence(rng, 9) for _ in range(4)) for _ in range(n)] for n in (3, 2, 9))
+    text = lambda *parts: "From: A\nTo: B\n\n" + "\n\n".join(p for x in parts for p in x) + "\n"
+    # the first reply, long and of the least id, is not the message that the second one quotes
+    t = spark.createDataFrame([(1, text(other, old)), (2, text(mine, old)), (9, text(old))], "document_id long, full_text string")
+    d = spark.createDataFrame([(1, "email"), (2, "email"), (9, "email")], "id long, document_type string")
+    got = dict(rows(emails.new_text(t, d)))
+    assert got == {1: "\n".join(other), 2: "\n".join(mine), 9: "\n".join(old)}
+
+
+def test_quoted_lines():
+    lines = ["Own words.", "", "old one", "old two", "", "mine", "old three", "mine too"]
+    assert emails.quoted_lines(lines, [2, 2, 2, 2, 5, 6, 6, 3]) == {2, 3, 6}
+
+
 # 4
 
 
