@@ -12,7 +12,8 @@ texts cannot show comes from the corpus, by aggregations only:
 * longer states: a text that is a true beginning of another text (neighbours in
   sort order within one opening), of its own pages_text, or that has fewer words
   than were counted;
-* cut words: a last word that the corpus knows only as the beginning of words.
+* cut words: a last word that the corpus, by all words of all texts, knows only as
+  the beginning of words.
 
 Null, empty and blank texts are no cases. Repeated rows of an id count once. A null
 source is a source of its own.
@@ -33,6 +34,7 @@ from recordspark.llm.formdup import normalise
 from recordspark.session import cut
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+JVM_WORD = r"\p{L}+(?:['’\-]\p{L}+)*"
 QUOTE_MARKS = re.compile(r"^(?:\s*[>|])+\s?")
 TRACE = re.compile(r"(?:\.{3,}|…|\[\s*(?:text|message|content|rest|remainder|output)?\s*(?:has been\s+)?(?:shortened|truncated|cut(?:\s+off)?|clipped|trimmed|incomplete|snip(?:ped)?|more|continued|\.{3}|…)\s*[^\]]{0,20}\]|<\s*(?:snip|truncated|more|cut)\s*>|\((?:truncated|cut off|continued|more|cont'?d)\)|--\s*more\s*--)\s*$", re.I)
 BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|Ã|â€?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&(?:[a-z]{2,7}|#\d{0,5})|=[0-9A-F]?|%[0-9A-F]?)\s*$")
@@ -253,6 +255,25 @@ def prefix_of_longer(texts: DataFrame, opening: int = 120) -> DataFrame:
     return content.select("document_id", "h").join(begin, "h", "left_semi").select("document_id")
 
 
+def half_words(texts: DataFrame, elsewhere: float = 0.1, known: float = 3.0, least: int = 3) -> DataFrame:
+    """Last words of texts that the corpus knows only as the beginning of words: rows (last).
+
+    All words of all texts are counted. A last word is half if it stands elsewhere at most ``elsewhere``
+    times as often as at ends, and begins a word that occurs ``least`` times and ``known`` times as often.
+    """
+    lower = F.lower(F.rtrim("full_text", F.lit(" \t\n\r\f\v")))
+    end = F.regexp_extract(F.substring(lower, -60, 60), rf"({JVM_WORD})$", 1)
+    # last words are counted once more, under a mark
+    words = texts.select(F.explode(F.concat(F.regexp_extract_all(lower, F.lit(JVM_WORD), F.lit(0)), F.array(F.concat(F.lit("$"), end)))).alias("word"))
+    counts = cut(words.filter("word <> '$'").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    at_end = counts.filter("startswith(word, '$') and length(word) > 3").select(F.substring("word", 2, 60).alias("last"), F.col("n").alias("ends"))
+    every = counts.filter("not startswith(word, '$')")
+    asked = at_end.join(every.withColumnRenamed("word", "last"), "last").filter(F.col("n") - F.col("ends") <= elsewhere * F.col("ends"))
+    starts = every.filter((F.col("n") >= least) & (F.length("word") > 3)).select("word", F.col("n").alias("times"), F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("k"))
+    starts = starts.groupBy(F.expr("substring(word, 1, k)").alias("last")).agg(F.max("times").alias("times"))
+    return asked.join(starts, "last").filter(F.col("times") >= known * F.col("n")).select("last")
+
+
 def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3) -> DataFrame:
     """Rows (document_id, source, cut, evidence) of every text that is not blank."""
     source = texts.select(F.col("document_id").cast("bigint").alias("document_id"), "full_text", "pages_text", "word_count").filter(r"document_id is not null and full_text rlike '\\S'")
@@ -268,9 +289,7 @@ def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3) -> D
     at_b = limits.filter("unit = 'b'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("limit_b"))
     baseline = found.groupBy("source").agg(F.avg((F.col("why") == "terminator").cast("double")).alias("unterminated"))
 
-    words = found.filter("last is not null").groupBy("last").agg(F.count_distinct("digest").alias("n"))
-    starts = words.filter("n >= 3").select(F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("last") - 1, F.lit(2))), lambda k: F.substring(F.col("last"), F.lit(1), k))).alias("last")).distinct()
-    half = words.filter("n = 1 and length(last) >= 3").join(starts, "last", "left_semi").select("last", F.lit(True).alias("half_word"))
+    half = half_words(source).withColumn("half_word", F.lit(True))
 
     # a copy with the same letters and digits that has its terminator
     whole = found.groupBy("digest").agg(F.max((F.col("why") == "").cast("int")).alias("whole"))

@@ -124,6 +124,17 @@ def test_beginning_of_a_longer_text(spark):
     assert rows(truncation.prefix_of_longer(t)) == [(1,)]
 
 
+def test_half_words(spark):
+    inner = ["The timetable was read aloud here."] * 20 + ["One leg of the journey, one leg only."] * 3 + ["The legal matter rests."] * 30
+    # the same half word ends two texts; one that stands elsewhere too is whole, as is one that begins nothing
+    ends = ["Alpha notes\nof a timetabl", "Other notes\nof a Timetabl \n", "Third notes\nof a leg", "Fourth notes\nof a walrus"]
+    t = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(inner + ends)], TEXTS)
+    assert rows(truncation.half_words(t)) == [("timetabl",)]
+    d = spark.createDataFrame([(0, "x")], "id long, data_set string")
+    got = {r["document_id"] for r in truncation.judged(clash(t), clash(d)).collect() if "half word" in r["evidence"]}
+    assert got == {53, 54}
+
+
 # 3
 
 MAIL = """From: Ann Lee <a@b.example>
