@@ -443,13 +443,40 @@ def personal_data(texts: DataFrame, mentions: DataFrame, entities: DataFrame, sa
     return a.unionAll(b).dropDuplicates(["source_table", "row_id", "pii_kind", "value"])
 
 
+def _redacting(detector, table_name):
+    """Rows (source_table, row_id, text, redactions) of one table's (id, text) and, for mentions, own."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            own = pdf["own"].tolist() if "own" in pdf else [None] * len(texts)
+            out, counts = [], []
+            for t, o, spans in zip(texts, own, detector.value.spans(texts)):
+                mine = _places(o, t) if o and spans else ()
+                spans = [x for x in spans if not (x[0] == "name" and any(x[1] < e and x[2] > b for b, e in mine))]
+                out.append(redact(t, spans) if t else t)
+                counts.append(len(spans))
+            yield pd.DataFrame({"source_table": table_name, "row_id": pdf["id"], "text": out, "redactions": counts}).astype({"redactions": "int32"})
+
+    return run
+
+
+REDACTED = "source_table string, row_id bigint, text string, redactions int"
+
+
 def redacted(texts: DataFrame, snippets: DataFrame, entities: DataFrame, sample_texts: int = 1000) -> DataFrame:
     """``texts`` (id, text) with typed placeholders: rows (id, text, redactions)."""
     detector = texts.sparkSession.sparkContext.broadcast(fit_detector(texts, snippets, entities, sample_texts))
+    out = texts.select(F.col("id").cast("bigint").alias("id"), "text").mapInPandas(_redacting(detector, "document_texts"), REDACTED)
+    return out.select(F.col("row_id").alias("id"), "text", "redactions")
 
-    def run(batches):
-        for pdf in batches:
-            kept = detector.value.spans(pdf["text"].tolist())
-            yield pd.DataFrame({"id": pdf["id"], "text": [redact(t, s) if t else t for t, s in zip(pdf["text"].tolist(), kept)], "redactions": [len(s) for s in kept]}).astype({"redactions": "int32"})
 
-    return texts.select(F.col("id").cast("bigint").alias("id"), "text").mapInPandas(run, "id bigint, text string, redactions int")
+def redacted_tables(texts: DataFrame, mentions: DataFrame, entities: DataFrame, sample_texts: int = 1000) -> DataFrame:
+    """Every row of both tables with typed placeholders: rows (source_table, row_id, text, redactions).
+
+    A mention's own name stays in its snippet, as in ``personal_data``.
+    """
+    t = texts.select(F.col("document_id").cast("bigint").alias("id"), F.col("full_text").alias("text"))
+    m = mentions.select(F.col("id").cast("bigint").alias("id"), F.col("context_snippet").alias("text"), F.col("name_as_appears").alias("own"))
+    detector = texts.sparkSession.sparkContext.broadcast(fit_detector(t.filter("id is not null"), m.filter("id is not null and text is not null"), entities, sample_texts))
+    return t.mapInPandas(_redacting(detector, "document_texts"), REDACTED).unionAll(m.mapInPandas(_redacting(detector, "mentions"), REDACTED))

@@ -14,7 +14,7 @@ from recordspark.llm.formdup import LABELS, copies, copy_groups
 from recordspark.llm.leakage import leak_report, leaked
 from recordspark.llm.mixture import mixture, shares
 from recordspark.llm.names import same_entities, same_pairs
-from recordspark.llm.pii import personal_data, redacted
+from recordspark.llm.pii import personal_data, redacted_tables
 from recordspark.llm.scans import repaired, scan_cases
 from recordspark.llm.truncation import judged, truncation_rates
 from recordspark.sources.tables import table
@@ -76,9 +76,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "document_texts").select(F.col("document_id").alias("id"), F.col("full_text").alias("text"))
-    snippets = table(spark, sf, "mentions").select("id", F.col("context_snippet").alias("text"))
-    return redacted(texts, snippets, table(spark, sf, "entities", "canonical_name", "aliases", "entity_type"))
+    return redacted_tables(
+        table(spark, sf, "document_texts", "document_id", "full_text"), table(spark, sf, "mentions", "id", "context_snippet", "name_as_appears"), table(spark, sf, "entities", "canonical_name", "aliases", "entity_type")
+    )
 
 
 def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:

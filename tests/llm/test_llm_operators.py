@@ -313,6 +313,21 @@ def test_personal_data(spark):
     assert out[500].startswith("Write to [NAME], [ADDRESS], or [ADDRESS], call [PHONE]; SSN [ID_NUMBER]") and out[501] is None and out[504] == "quiet words only"
 
 
+def test_redacted_query_has_both_tables(spark, tmp_path):
+    from recordspark.llm import queries
+
+    e, texts = _people(spark)
+    e.write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame(texts + [(501, None)], "document_id long, full_text string").write.parquet(f"{tmp_path}/document_texts.parquet")
+    m = [(7, "Seen Walter Ropatzund and Imogen Hamsturgen there.", "Walter Ropatzund"), (8, None, "x"), (9, "quiet words only", None)]
+    spark.createDataFrame(m, "id long, context_snippet string, name_as_appears string").write.parquet(f"{tmp_path}/mentions.parquet")
+    got = {(r["source_table"], r["row_id"]): (r["text"], r["redactions"]) for r in queries.p6_redacted(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) + 1 + 3
+    assert got["mentions", 7] == ("Seen Walter Ropatzund and [NAME] there.", 1)
+    assert got["mentions", 8] == (None, 0) and got["mentions", 9] == ("quiet words only", 0) and got["document_texts", 501] == (None, 0)
+    assert "[PHONE]" in got["document_texts", 7][0] and "[NAME]" in got["document_texts", 7][0]
+
+
 def test_personal_data_empty(spark):
     e, _ = _people(spark)
     t = spark.createDataFrame([], "document_id long, full_text string")
