@@ -5,8 +5,8 @@ Test items are the stated query set; they are taken in blocks of bounded size
 Both sides keep the least hash of every window of ``window`` consecutive k-grams
 of ``k`` words, so every shared run of window + k - 1 words yields a common
 fingerprint. With k = 4 and window = 3 a span of 20 words in which two differ
-still holds a run of 6 words, which is the guarantee needed here. Common
-fingerprints on one diagonal are extended to a word alignment; a document counts
+still holds a run of 6 words, which is the guarantee needed here. Every diagonal with
+such a run, or with two common fingerprints, is extended to a word alignment; a document counts
 if ``min_words`` consecutive words of the item stand in it with at most one word
 in ten different.
 
@@ -119,6 +119,10 @@ class Index:
             hashes.append(h[p])
             owner.append(np.full(len(p), n))
             at.append(p)
+        # the items laid end to end, apart by a mark that no text has
+        apart = np.full(k + window, -2, np.int64)
+        self.flat = np.concatenate([apart, *(x for _, ids in self.items for x in (ids, apart))])
+        self.begins = len(apart) + np.concatenate([[0], np.cumsum([len(ids) + len(apart) for _, ids in self.items])[:-1]]).astype(np.int64) if self.items else np.empty(0, np.int64)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
@@ -147,28 +151,39 @@ class Index:
         high = np.searchsorted(self.hashes, h[p], "right")
         hit = high > low
         p, low, high = p[hit], low[hit], high[hit]
-        if len(p) < 2:
+        if len(p) == 0:
             return []
         count = high - low
         where = np.repeat(p, count)
         rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        # one text and one diagonal of one item have one key: the text is told by the place itself
-        shift = len(ids) + 1
+        owner, at = self.owner[rows], self.at[rows]
+        # one text and one diagonal of one item have one key: the text is told by the hit's own place
         longest = max(len(i) for _, i in self.items) + 1
-        key, n = np.unique(self.owner[rows] * (shift + longest) + (where - self.at[rows] + longest), return_counts=True)
+        reach = len(ids) + 1 + longest
+        key = ((np.searchsorted(begins, where, "right") - 1) * len(self.items) + owner) * reach + (where - at + longest)
+        diagonals, n = np.unique(key, return_counts=True)
+        # one hit is enough where it stands in a run of window + k - 1 words, as every span sought has one
+        place, run = self.begins[owner] + at, np.full(len(where), self.k)
+        for step in (-1, 1):
+            ok = np.ones(len(where), bool)
+            for j in range(1, self.window):
+                far = j if step > 0 else -j
+                edge = self.k - 1 if step > 0 else 0
+                ok &= self.flat[place + edge + far] == ids[where + edge + far]
+                run += ok
+        keep = (n >= 2) | np.isin(diagonals, key[run >= self.window + self.k - 1])
         found: dict[tuple[int, int], int] = {}
-        for one in key[n >= 2].tolist():
-            o, d = divmod(one, shift + longest)
+        for one in diagonals[keep].tolist():
+            pair, d = divmod(one, reach)
+            t, o = divmod(pair, len(self.items))
             d -= longest
             item_ids = self.items[o][1]
-            text = int(np.searchsorted(begins, max(d, 0) + len(item_ids) // 2, "right")) - 1
-            for t in {text, int(np.searchsorted(begins, max(d, 0), "right")) - 1, int(np.searchsorted(begins, d + len(item_ids) - 1, "right")) - 1}:
-                if not 0 <= t < len(texts):
-                    continue
-                start, end = int(begins[t]), int(begins[t + 1])
-                span = self._align(ids[start:end], item_ids, d - start, least)
-                if span > found.get((t, o), 0):
-                    found[t, o] = span
+            if found.get((t, o), 0) == len(item_ids):
+                continue
+            start, end = int(begins[t]), int(begins[t + 1])
+            span = self._align(ids[start:end], item_ids, d - start, least)
+            if span > found.get((t, o), 0):
+                found[t, o] = span
         return [(t, self.items[o][0], s, len(self.items[o][1])) for (t, o), s in found.items()]
 
     @staticmethod

@@ -391,6 +391,25 @@ def test_leaks(spark):
     assert rows(leakage.leaked(d.limit(0), i.limit(0))) == []
 
 
+def test_single_hits_and_inner_passages_are_aligned():
+    rng = random.Random(12)
+    item = [f"w{k}" for k in range(600)]
+    missed = []
+    for trial in range(300):
+        at = rng.randrange(100, 480)
+        span = item[at : at + 20]
+        changed = span[:5] + ["other"] + span[6:11] + ["thing"] + span[12:]  # runs of 5, 5 and 8
+        added = span[:6] + ["other"] + span[6:12] + ["thing"] + span[12:]  # runs of 6, 6 and 8
+        inner = item[at : at + 30]  # a text shorter than half the item
+        index = leakage.Index([(1, item[:at] + span + item[at + 20 :])], 4, 3)
+        for text in (changed, added, inner):
+            words = [f"x{trial}a{k}" for k in range(9)]
+            got = index.search(["none here", " ".join(words + text + words), ""], 20)
+            if [(t, i) for t, i, *_ in got] != [(1, 1)]:
+                missed.append((trial, text))
+    assert not missed
+
+
 def test_winnowing_guarantee():
     import numpy as np
 
