@@ -3,20 +3,22 @@
 Three steps over pages (``pages_text``, or ``full_text`` between form feeds):
 
 1. Corpus counts: every task counts words and word pairs of all texts in memory and
-   emits partial sums, which are added up by key.
-2. The channel: every well-known word is turned into the forms one or two character
+   emits partial sums, which are added up by key. None is left out, however rare.
+2. The channel: every known word is turned into the forms one or two character
    confusions make of it; joined with the words that occur, this gives each odd word its
-   candidates with channel times language-model odds. Odds, not counts, decide, so
+   candidates. Ratios of counts, not counts, admit a candidate, so
    the rule is the same at every corpus size. Misread names must be told from other
    names, so for words that are mostly capitalised the right form has to stand in
    the same document, or outweigh by far.
-3. Per line the candidates are decoded by Viterbi with the counts of the pairs
-   before, between and after. Words split over two lines are joined with or without
+3. Per line the candidates form a lattice: a node for every reading of a word, weighed by
+   channel times word count, and an edge for every reading of the next word, weighed by
+   the smoothed count of the pair. Viterbi finds the best path, so that neighbouring odd
+   words decide each other. Words split over two lines are joined with or without
    their hyphen, whichever the corpus knows better; running headers and page numbers
    are lines at a page's edge that recur, page numbers aside, over the pages.
 
-The list of frequent words that need no correction (at most ``known_words``) only
-saves work: those words have no candidate in step 2.
+The list of frequent words without any candidate (at most ``known_words``) only keeps
+these words from being looked up: results are equal for every length of it.
 
 Null, empty and blank pages give no rows. Texts of one page show no furniture and are
 not taken for scans. Repeated rows of one id give each case once.
@@ -24,11 +26,13 @@ not taken for scans. Repeated rows of one id give each case once.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,33 +75,55 @@ def _unbroken(text: str) -> str:
     return BREAK.sub(r"\1", text) if any(x in text for x in ENDS) else text
 
 
+FLUSH = 2_000_000  # words held by a task before it emits its sums
+
+
 def _count(batches):
-    """Rows (a, b, n, capital): counts of words (b null) and of pairs of words next to each other in a line."""
-    single: Counter = Counter()
-    capital: Counter = Counter()
-    pairs: Counter = Counter()
+    """Rows (a, b, n, capital): counts of words (b null) and of pairs of words next to each other."""
+    places: defaultdict[str, int] = defaultdict()
+    places.default_factory = places.__len__
+    held: list[list[int]] = []
+    size = 0
 
     def flush():
-        rows = [(a, None, n, capital[a]) for a, n in single.items()] + [(a, b, n, 0) for (a, b), n in pairs.items()]
-        single.clear(), capital.clear(), pairs.clear()
-        return pd.DataFrame(rows, columns=["a", "b", "n", "capital"])
+        forms = list(places)
+        ids = np.concatenate([np.array(x, np.int64) for x in held]) if held else np.empty(0, np.int64)
+        low: defaultdict[str, int] = defaultdict()
+        low.default_factory = low.__len__
+        fold = np.array([low[w.lower()] for w in forms], np.int64)
+        capital = np.array([w[:1].isupper() and w[1:2].islower() for w in forms], bool)
+        words = np.array(list(low), object)
+        apart = low.get("", -1)
+        single = np.bincount(fold[ids], minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
+        first = np.bincount(fold[ids], capital[ids], minlength=len(words)).astype(np.int64) if len(ids) else single
+        small = fold[ids]
+        left, right = small[:-1], small[1:]
+        inside = (left != apart) & (right != apart)
+        code, n = np.unique((left[inside] << 32) | right[inside], return_counts=True)
+        keep = (single > 0) & (np.arange(len(words)) != apart)
+        places.clear(), held.clear()
+        return pd.DataFrame(
+            {
+                "a": np.concatenate([words[keep], words[code >> 32]]), "b": np.concatenate([np.full(keep.sum(), None, object), words[code & 0xFFFFFFFF]]),
+                "n": np.concatenate([single[keep], n]), "capital": np.concatenate([first[keep], np.zeros(len(n), np.int64)]),
+            }
+        )
 
     for pdf in batches:
         for text in pdf["full_text"].tolist():
-            text = _unbroken(_barred(text))
-            low = TOKEN.findall(text.lower())
-            single.update(low)
-            capital.update([w.lower() for w in CAPITAL.findall(text) if w[1].islower()])
-            pairs.update(zip(low, low[1:]))
-            if len(pairs) > 400_000:
+            ids = list(map(places.__getitem__, [*TOKEN.findall(_unbroken(_barred(text))), ""]))
+            held.append(ids)
+            size += len(ids)
+            if size > FLUSH:
                 yield flush()
+                size = 0
     yield flush()
 
 
 def corpus_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words: word, n, capital) and (pairs: a, b, n) of all texts. A pair seen once in all is left out: it weighs as an unseen one."""
+    """(words: word, n, capital) and (pairs: a, b, n) of all texts."""
     both = texts.select("full_text").filter("full_text is not null").mapInPandas(_count, "a string, b string, n bigint, capital bigint")
-    both = cut(both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")).filter("b is null or n > 1"))
+    both = cut(both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")))
     return both.filter("b is null").select(F.col("a").alias("word"), "n", "capital"), both.filter("b is not null").select("a", "b", "n")
 
 
@@ -123,20 +149,22 @@ def _spread(batches):
         yield pd.DataFrame(rows, columns=["seen", "right", "changes", "n_right", "capital_right"])
 
 
-def channel(words: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (seen, right, weight, name): candidates whose odds beat the word as it is seen.
+def channel(words: DataFrame, times: float = 4.0) -> DataFrame:
+    """Rows (seen, right, weight, weight_seen, name, far): the candidates of odd words.
 
-    ``weight`` is the log of channel share times word count; ``name`` tells that the right form is mostly capitalised.
+    A form with digits or other foreign signs has every more frequent word as candidate, another form
+    those ``times`` as frequent. ``weight`` is the log of channel share times word count; ``name`` tells that the
+    right form is mostly capitalised, ``far`` that its odds are beyond doubt.
     """
-    known = words.filter((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}'\-]{3,40}$"))
+    # a right form stands more often than an odd one, which stands at least once
+    known = words.filter((F.col("n") > 1) & F.col("word").rlike(r"^[\p{L}'\-]{3,40}$"))
     forms = known.mapInPandas(_spread, "seen string, right string, changes int, n_right bigint, capital_right bigint")
     seen = words.select(F.col("word").alias("seen"), F.col("n").alias("n_seen"))
     digit = F.col("seen").rlike(r"[\dǀﬁﬂ]")
-    odds = F.col("n_right") * F.pow(F.lit(SHARE), F.lit(1.0))
-    pairs = forms.join(seen, "seen").filter(digit | (odds >= F.col("n_seen")) | ((F.col("n_seen") <= 2) & (F.col("n_right") >= 4 * F.col("n_seen"))))
+    pairs = forms.join(seen, "seen").filter((digit & (F.col("n_right") > F.col("n_seen"))) | (F.col("n_right") >= F.lit(times) * F.col("n_seen")))
     return pairs.select(
         "seen", "right", (F.log("n_right") + F.log(F.lit(SHARE)) * F.col("changes")).alias("weight"), (F.log("n_seen") + F.when(digit, F.log(F.lit(SHARE))).otherwise(0.0)).alias("weight_seen"),
-        ((F.col("capital_right") >= 0.8 * F.col("n_right")) & ~digit).alias("name"), (odds >= 2 * F.col("n_seen")).alias("far"),
+        ((F.col("capital_right") >= 0.8 * F.col("n_right")) & ~digit).alias("name"), (F.col("n_right") * F.lit(SHARE) >= 2 * F.col("n_seen")).alias("far"),
     )
 
 
@@ -145,49 +173,68 @@ def _key(line: str) -> str:
     return re.sub(r"[\W_]+", " ", bare.translate(FOLD).lower()).strip()
 
 
-def furniture(pages: list[str]) -> list[dict[int, str]]:
-    """Per page: line number (from 0) to 'header' or 'page_number'."""
-    split = [(p or "").split("\n") for p in pages]
-    edges = []
-    for lines in split:
-        full = [i for i, x in enumerate(lines) if x.strip()]
-        edges.append((full[:3], full[::-1][:3]))
-    keys: Counter = Counter()
-    shown: dict[str, str] = {}
-    for n, (top, bottom) in enumerate(edges):
-        for k in {_key(split[n][i]) for i in [*top, *bottom] if len(split[n][i].strip()) < 100 and not PAGE_NUMBER.match(split[n][i].strip())}:
-            if len(k) >= 4:
-                keys[k] += 1
-    def running(line: str) -> bool:
-        if len(line.strip()) >= 100:
-            return False
+class _Running:
+    """The edge lines of a document's pages, by key."""
+
+    def __init__(self, edges: list[list[str]]):
+        self.keys: Counter = Counter()
+        for lines in edges:
+            self.keys.update({k for k in map(_key, (x for x in lines if not PAGE_NUMBER.match(x.strip()))) if len(k) >= 4})
+        self.near: defaultdict[str, list[str]] = defaultdict(list)
+        for k in self.keys:
+            self.near["^" + k[:5]].append(k)
+            self.near["$" + k[-5:]].append(k)
+            for w in set(k.split()):
+                self.near[w].append(k)
+
+    def __contains__(self, line: str) -> bool:
         k = _key(line)
         if len(k) < 4:
             return False
         ended = line.rstrip()[-1:] in ".,;!?"
-        if keys[k] >= 2 + ended:
+        if self.keys[k] >= 2 + ended:
             return True
         if ended:
             return False
-        # a misread one: like another page's, of which it shares part of the words or the beginning
-        mine = set(k.split())
-        return any(c != k and abs(len(k) - len(c)) <= 3 and (c[:5] == k[:5] or c[-5:] == k[-5:] or 2 * len(mine & set(c.split())) >= len(mine)) and SequenceMatcher(None, k, c, autojunk=False).ratio() >= 0.86 for c in keys)
+        # a misread one: like another page's, of which it shares half of the words or the beginning or end
+        mine = sorted(set(k.split()), key=lambda w: len(self.near[w]))
+        posts = ["^" + k[:5], "$" + k[-5:], *mine[: len(mine) // 2 + 1]]  # half the words hold one of these at least
+        for c in {c for post in posts for c in self.near[post] if c != k and abs(len(k) - len(c)) <= 3}:
+            if c[:5] == k[:5] or c[-5:] == k[-5:] or 2 * len(set(mine) & set(c.split())) >= len(mine):
+                m = SequenceMatcher(None, k, c, autojunk=False)
+                if m.quick_ratio() >= 0.86 and m.ratio() >= 0.86:
+                    return True
+        return False
+
 
+def furniture(pages: list[str]) -> list[dict[int, str]]:
+    """Per page: line number (from 0) to 'header' or 'page_number'."""
+    split = [(p or "").split("\n") for p in pages]
+    full = [[i for i, x in enumerate(lines) if x.strip()] for lines in split]
     scanned = any(x.rstrip()[-1:] in DASHES and END_HYPHEN.search(x) for lines in split for x in lines if x)
-    out: list[dict[int, str]] = []
-    for n, (top, bottom) in enumerate(edges):
-        got: dict[int, str] = {}
-        for edge in (top, bottom):
-            for i in edge:
-                s = split[n][i].strip()
-                if PAGE_NUMBER.match(s) and any(c.isdigit() or c in "ivxlcOlI" for c in s) and not re.fullmatch(r"[A-Za-z]{6,}", s):
-                    got[i] = "page_number"
-                elif running(split[n][i]) or (scanned and len(s) < 70 and (LONE_HEADER.match(s) or (n > 0 and CAPITALS.match(s) and not any(w in formal_names() for w in s.lower().split())))):
-                    got[i] = "header"
+    deep = 3
+    while True:
+        edges = [(at[:deep], at[::-1][:deep]) for at in full]
+        running = _Running([[split[n][i] for i in {*top, *bottom}] for n, (top, bottom) in enumerate(edges)])
+        out: list[dict[int, str]] = []
+        more = False
+        for n, both in enumerate(edges):
+            got: dict[int, str] = {}
+            for edge in both:
+                for i in edge:
+                    s = split[n][i].strip()
+                    if PAGE_NUMBER.match(s) and any(c.isdigit() or c in "ivxlcOlI" for c in s) and not re.fullmatch(r"[A-Za-z]{6,}", s):
+                        got[i] = "page_number"
+                    elif split[n][i] in running or (scanned and len(s) < 70 and (LONE_HEADER.match(s) or (n > 0 and CAPITALS.match(s) and not any(w in formal_names() for w in s.lower().split())))):
+                        got[i] = "header"
+                    else:
+                        break
                 else:
-                    break
-        out.append(got)
-    return out
+                    more = more or len(edge) < len(full[n])
+            out.append(got)
+        if not more:
+            return out
+        deep *= 2  # all lines looked at are furniture: look further
 
 
 def _pages(pages, text: str | None) -> list[str]:
@@ -197,7 +244,7 @@ def _pages(pages, text: str | None) -> list[str]:
 
 
 def _extract(batches, known):
-    """Rows (document_id, page_no, kind, value, a, b, line, at, before, after) of one scanned document's cases and odd words."""
+    """One row per scanned document: its furniture, split words, body (words by blank, lines, pages) and the words to look up."""
     skip = known.value
     for pdf in batches:
         rows = []
@@ -206,12 +253,13 @@ def _extract(batches, known):
             if len(parts) < 2:
                 continue
             marks = furniture(parts)
+            edges, hyphens, bodies, asked = [], [], [], set()
             for n, (page, got) in enumerate(zip(parts, marks), 1):
                 lines = page.split("\n")
-                for i, kind in got.items():
-                    rows.append((doc, n, kind, " ".join(lines[i].split()) if kind == "header" else lines[i].strip(), None, None, None, None, None, None))
+                edges += [(n, kind, " ".join(lines[i].split()) if kind == "header" else lines[i].strip()) for i, kind in got.items()]
                 body = [i for i, x in enumerate(lines) if x.strip() and i not in got]
                 head = None  # right part of a word split before
+                out = []
                 for k, i in enumerate(body):
                     line = _barred(lines[i].rstrip())
                     m = END_HYPHEN.search(line) if line[-1:] in DASHES else None
@@ -225,50 +273,95 @@ def _extract(batches, known):
                         found[0] = head
                     if split and found:
                         head = split[0] + split[1]
-                        rows.append((doc, n, "hyphen", None, split[0] + split[1], split[0] + "-" + split[1], None, None, None, None))
+                        hyphens.append((n, split[0] + split[1], split[0] + "-" + split[1]))
                         found[-1] = head
                     else:
                         head = None
                     low = [w.lower().replace("’", "'") for w in found]
-                    for at, w in enumerate(low):
-                        if w in skip or len(w) < 3:
-                            continue
-                        if not any(c.isalpha() for c in w) or sum(c.isdigit() for c in w) > 2:
-                            continue
-                        rows.append((doc, n, "word", None, w, None, i, at, low[at - 1] if at else None, low[at + 1] if at + 1 < len(low) else None))
-        yield pd.DataFrame(rows, columns=["document_id", "page_no", "kind", "value", "a", "b", "line", "at", "before", "after"]).astype({"page_no": "int32", "line": "Int32", "at": "Int32"})
+                    asked.update(low)
+                    out.append(" ".join(low))
+                bodies.append("\n".join(out))
+            body = "\f".join(bodies)
+            asked = [w for w in asked - skip if len(w) > 2 and any(c.isalpha() for c in w) and sum(c.isdigit() for c in w) < 3]
+            rows.append((doc, int.from_bytes(hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), edges, hyphens, body, asked))
+        yield pd.DataFrame(rows, columns=["document_id", "row", "edges", "hyphens", "body", "asked"])
 
 
-EXTRACT = "document_id bigint, page_no int, kind string, value string, a string, b string, line int, at int, before string, after string"
+EXTRACT = "document_id bigint, row bigint, edges array<struct<page_no: int, kind: string, value: string>>, hyphens array<struct<page_no: int, a: string, b: string>>, body string, asked array<string>"
 
 
-def _decode(batches):
-    """Viterbi over the candidates of each line's odd words; rows (document_id, page_no, seen, right)."""
+def lattice(body: str, options: dict[str, list[tuple]]):
+    """Edges (page_no, run, at, a, weight_a, changed_a, b, weight_b, changed_b, own) of every run of odd words.
+
+    ``options`` has (right, weight, weight_seen, name, far) of odd words. A run is a stretch of neighbouring odd words
+    of one line with the plain word, or '', on either side; ``own`` tells whether the pair's count tells anything:
+    an odd word's own neighbours are copies of one page as likely as usage, so beyond doubt they don't count.
+    """
+    here = set(body.split())
+    nodes: dict[str, list[tuple[str, float, bool, bool]]] = {}
+    for seen, found in options.items():
+        kept = [o for o in found if not o[3] or o[4] or o[0] in here]
+        if kept:
+            nodes[seen] = [(seen, kept[0][2], False, not any(o[4] for o in kept)), *((o[0], o[1], True, True) for o in kept)]
+    run = 0
+    for page_no, page in enumerate(body.split("\f"), 1):
+        for line in page.split("\n"):
+            words = line.split(" ")
+            prior: list | None = None
+            for at, w in enumerate(words):
+                mine = nodes.get(w)
+                if mine is None and prior is None:
+                    continue
+                if prior is None:
+                    run += 1
+                    prior = [(words[at - 1] if at else "", 0.0, False, True)]
+                step = mine or [(w, 0.0, False, True)]
+                for a, wa, ca, oa in prior:
+                    for b, wb, cb, ob in step:
+                        yield page_no, run, at, a, wa, ca, b, wb, cb, oa and ob
+                prior = step if mine else None
+            if prior is not None:
+                for a, wa, ca, oa in prior:
+                    yield page_no, run, len(words), a, wa, ca, "", 0.0, False, oa
+
+
+def _edges(batches):
     for pdf in batches:
         rows = []
-        for doc, page, words in zip(pdf["document_id"].tolist(), pdf["page_no"].tolist(), pdf["words"]):
-            states: dict[str, tuple[float, list]] = {}
-            last = None
-            by_at: dict[int, list] = {}
-            for w in words:
-                by_at.setdefault(w["at"], []).append(w)
-            for at in sorted(by_at):
-                follows = last is not None and at == last + 1
-                options = by_at[at]
-                first = options[0]
-                # an odd word's own neighbours are copies of one page as likely as usage, so beyond doubt they don't count
-                own_pairs = 0 if any(o["far"] for o in options) else 1
-                choice = [(first["a"], first["weight_seen"], own_pairs * first["left_seen"], own_pairs * first["right_seen"], False)] + [(o["right"], o["weight"], o["left_n"], o["right_n"], True) for o in options]
-                new: dict[str, tuple[float, list]] = {}
-                prior = list(states.items()) if states else [("", (0.0, []))]
-                for form, weight, left, right, changed in choice:
-                    own = weight + math.log1p(0 if follows else left) + math.log1p(right)
-                    score, path = max(((s + own, p) for _, (s, p) in prior), key=lambda x: x[0])
-                    new[form] = (score, [*path, (first["a"], form)] if changed else path)
-                states, last = new, at
-            if states:
-                for seen, right in max(states.values(), key=lambda x: x[0])[1]:
-                    rows.append((doc, page, seen, right))
+        for doc, row, body, odd in zip(pdf["document_id"].tolist(), pdf["row"].tolist(), pdf["body"].tolist(), pdf["odd"]):
+            options = defaultdict(list)
+            for o in odd:
+                options[o["seen"]].append((o["right"], o["weight"], o["weight_seen"], o["name"], o["far"]))
+            rows += [(doc, row, *e) for e in lattice(body, options)]
+        yield pd.DataFrame(rows, columns=["document_id", "row", "page_no", "run", "at", "a", "weight_a", "changed_a", "b", "weight_b", "changed_b", "own"])
+
+
+EDGES = "document_id bigint, row bigint, page_no int, run int, at int, a string, weight_a double, changed_a boolean, b string, weight_b double, changed_b boolean, own boolean"
+
+
+def best_path(edges) -> list[tuple[str, str]]:
+    """Viterbi over one run's edges (at, a, changed_a, b, weight_b, changed_b, n): (seen, right) of every word put right."""
+    steps = defaultdict(list)
+    for e in edges:
+        steps[e["at"]].append(e)
+    states: dict[tuple[str, bool], tuple[float, tuple]] = {}
+    for at in sorted(steps):
+        seen = next((e["b"] for e in steps[at] if not e["changed_b"]), "")
+        new: dict[tuple[str, bool], tuple[float, tuple]] = {}
+        for e in sorted(steps[at], key=lambda e: (e["changed_b"], e["b"], e["changed_a"], e["a"])):
+            score, path = states.get((e["a"], e["changed_a"]), (0.0, ()))
+            score += e["weight_b"] + math.log1p(e["n"])
+            state = (e["b"], e["changed_b"])
+            if state not in new or score > new[state][0]:
+                new[state] = (score, (*path, (seen, e["b"])) if e["changed_b"] else path)
+        states = new
+    return list(max(states.values(), key=lambda x: x[0])[1]) if states else []
+
+
+def _decode(batches):
+    """Rows (document_id, page_no, seen, right)."""
+    for pdf in batches:
+        rows = [(doc, page, *x) for doc, page, edges in zip(pdf["document_id"].tolist(), pdf["page_no"].tolist(), pdf["edges"]) for x in best_path(edges)]
         yield pd.DataFrame(rows, columns=["document_id", "page_no", "seen", "right"]).astype({"page_no": "int32"})
 
 
@@ -284,26 +377,17 @@ def scan_cases(texts: DataFrame, known_words: int = 4000) -> tuple[DataFrame, Da
     odd = cut(channel(words))
     plain = words.join(odd.select(F.col("seen").alias("word")).distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words)
     known = spark.sparkContext.broadcast(frozenset(r["word"] for r in plain.select("word").collect()))
-    scans = base.filter(_several_pages())
-    found = cut(scans.mapInPandas(lambda it: _extract(it, known), EXTRACT))
-
-    edge = found.filter("kind in ('header', 'page_number')").select("document_id", "page_no", "kind", "value")
-    rare = found.filter("kind = 'word'").select("document_id", "page_no", "a", "line", "at", "before", "after").distinct()
-    hit = rare.join(odd.withColumnRenamed("seen", "a"), "a")
-    # a name has to stand in its right form in the same document, unless the odds are great
-    here = rare.select("document_id", F.col("a").alias("right"), F.lit(True).alias("here")).distinct()
-    hit = hit.join(here, ["document_id", "right"], "left").filter("not name or here or far")
-
-    def pair(left, right, name):
-        return pairs.select(F.col("a").alias(left), F.col("b").alias(right), F.col("n").alias(name))
+    found = cut(base.filter(_several_pages()).mapInPandas(lambda it: _extract(it, known), EXTRACT))
 
-    hit = hit.join(pair("before", "right", "left_n"), ["before", "right"], "left").join(pair("right", "after", "right_n"), ["right", "after"], "left")
-    hit = hit.join(pair("before", "a", "left_seen"), ["before", "a"], "left").join(pair("a", "after", "right_seen"), ["a", "after"], "left").na.fill(0, ["left_n", "right_n", "left_seen", "right_seen"])
-    lines = hit.groupBy("document_id", "page_no", "line").agg(F.collect_list(F.struct("at", "a", "right", "weight", "weight_seen", "far", "left_n", "right_n", "left_seen", "right_seen")).alias("words"))
-    corrections = cut(lines.mapInPandas(_decode, "document_id bigint, page_no int, seen string, right string").distinct())
+    edge = found.select("document_id", F.explode("edges").alias("e")).select("document_id", "e.page_no", "e.kind", "e.value")
+    odd_here = found.select("document_id", F.explode("asked").alias("seen")).distinct().join(odd, "seen").groupBy("document_id").agg(F.collect_list(F.struct("seen", "right", "weight", "weight_seen", "name", "far")).alias("odd"))
+    edges = found.select("document_id", "row", "body").join(odd_here, "document_id").mapInPandas(_edges, EDGES)
+    edges = edges.join(pairs, ["a", "b"], "left").withColumn("n", F.when(F.col("own"), F.coalesce("n", F.lit(0))).otherwise(0))
+    runs = edges.groupBy("document_id", "row", "page_no", "run").agg(F.collect_list(F.struct("at", "a", "changed_a", "b", "weight_b", "changed_b", "n")).alias("edges"))
+    corrections = cut(runs.mapInPandas(_decode, "document_id bigint, page_no int, seen string, right string").distinct())
 
     n = words.select("word", "n")
-    broken = found.filter("kind = 'hyphen'").select("document_id", "page_no", "a", "b").distinct()
+    broken = found.select("document_id", F.explode("hyphens").alias("h")).select("document_id", "h.page_no", "h.a", "h.b").distinct()
     broken = broken.join(n.select(F.col("word").alias("wa"), F.col("n").alias("na")), F.lower("a") == F.col("wa"), "left").join(n.select(F.col("word").alias("wb"), F.col("n").alias("nb")), F.lower("b") == F.col("wb"), "left")
     whole = F.when(F.coalesce("nb", F.lit(0)) > F.coalesce("na", F.lit(0)), F.col("b")).otherwise(F.col("a"))
     broken = broken.select("document_id", "page_no", F.lower("a").alias("seen"), whole.alias("value"), F.col("a").alias("joined"))
