@@ -19,7 +19,7 @@ def rows(df, *columns):
 def _scans(spark):
     # alone, "8and" is sand and "8ank" is sank; side by side they are what often stands side by side
     plain = ["a band bank there"] * 30 + ["the sand is dry"] * 60 + ["it sank below"] * 60
-    page = ["Some words of the 8and 8ank stand here", "Other words of the 8and is here and it 8ank below"]
+    page = ["Some words of 8and 8ank and others", "Other words of the 8and is here and it 8ank below"]
     t = spark.createDataFrame([(i, None, x) for i, x in enumerate(plain)] + [(900, page, "\n".join(page))], PAGES)
     return t
 
