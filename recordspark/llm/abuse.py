@@ -1,15 +1,23 @@
 """Problem 10: abusive, hateful or sexual content, by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Clauses that hold a trigger (found by one automaton over
-the whole text) are turned into word classes, and small transducers for insult,
-threat, hate and sexual address run over the classes. Each accepted path yields a
-kind and a weight; negation and indirect reports lower it, so that a sober account
-of abuse is not abuse, while words quoted as they were said are. A text's score is
-the greatest clause weight, with a little for further clauses.
-
-Disguises are undone per word: separators inside a word, digits and signs for
-letters, repeated letters, masked letters and spelled-out letters. Line ends and
-quotation marks of emails count as spaces.
+Transducers in a cascade, each reading what the one before it writes:
+
+1. words to word classes (``lexicon.py``: stems of four languages and rules that inflect
+   them), disguises undone: separators inside a word, digits and signs for letters,
+   repeated letters, masked letters, letters spelled out one by one. A class symbol
+   carries the word's own weight;
+2. class symbols to phrases: address, insulting noun phrase, threatened person or
+   thing, group, exclusion, bodily and sexual words (``NETWORKS``);
+3. phrases to clauses of one kind: insult, threat, hate, sexual (``CLAUSES``). The
+   weight of a path is the product of its arcs: the clause's, those of the scored words
+   in it, and one for each word skipped in a gap;
+4. the context of a matched clause: negation and indirect report lower its weight, so
+   that a sober account of abuse is not abuse, while words quoted as they were said are.
+
+Phrases and clauses are composed by substitution into one automaton per clause, which
+runs over a text's symbols; no path crosses the end of a sentence. A clause weighs as its
+best path in its best context. A text's score is the greatest clause weight, with a
+little for further clauses.
 
 Null, empty and blank texts score 0. Repeated rows give one row per id. Very long
 texts are read whole.
@@ -20,298 +28,331 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The lexicon of the grammar, by word class.
-LEXICON: dict[str, str] = {
-    "INSULT": "idiot imbecile moron cretin halfwit dimwit fool scumbag scum dirtbag douchebag lowlife filth slime vermin maggot parasite leech rat pig swine weasel coward clown degenerate bastard bitch whore slut arsehole asshole prick wanker jerk loser liar cunt dickhead creep freak sewer-rat traitor trash garbage snake toad worm cockroach dog bastards idiots morons rats pigs vermins maggots parasites cowards animals "
-    "cerdo cabrón imbécil idiota canalla mentiroso hijoputa gilipollas puta zorra porc connard salaud ordure menteur salope enculé pute schwein mistkerl arschloch vollidiot drecksack lügner hure schlampe wichser idioten",
-    "ADJ": "worthless pathetic filthy useless disgusting spineless stinking brainless lying rotten greasy slimy bloody two-faced gutless stupid dirty ugly fat lazy miserable fucking damn goddamn bloody-minded vile repulsive cowardly dumb ignorant wretched "
-    "repugnante inútil asqueroso asquerosa gros sale pauvre dreckiger dreckige dummes blödes verdammter",
-    "YOU": "you u ya du tú tu vous",
-    "YOUR": "your yourself",
-    "BE": "are re is be being eres es bist",
-    "DET": "a an the such un une ein eine unos",
-    "NEG": "not never no isn't aren't wasn't neither",
-    "ADV": "really just nothing but complete completely total utter absolute fucking qu'un qu'une",
-    "VIOLENT": "break burn smash kill cut slit shoot bury hurt beat crush strangle stab drown destroy skin gut tear rip kick punch hang poison choke snap",
-    "SUFFER": "bleed die suffer pay burn regret scream rot",
-    "BODY": "fingers house teeth neck legs throat face bones head skull knees arms family car home children kids in down",
-    "NUDE": "naked nude topless undressed",
-    "LIKENESS": "pictures photos pics selfies videos images",
-    "BREED": "breed multiply spawn",
-    "PEST": "rats flies roaches cockroaches vermin rabbits insects lice maggots",
-    "OUT": "wiped driven exterminated shipped locked gassed deported hanged shot eradicated purged burned thrown",
-    "SUB": "disease animals vermin plague parasites scum cancer subhuman savages filth rats cockroaches",
-    "REPORT": "said says stated states alleged alleges heard testified reported reports claimed claims denied denies wrote asked complaint",
+from recordspark.llm.lexicon import compound, lexicon
+
+# Phrases over classes. A part is a class, A|B for several, <NAME> for another phrase, ~n for up to n words skipped;
+# ? and * make a part optional or repeat it, ! makes the word's own weight count.
+NETWORKS: dict[str, str] = {
+    "SLUR_NP": "DET? ADV* ADJ!* INSULT! ADJ!*",  # an insulting noun phrase, adjectives on either side
+    "COARSE_NP": "DET? ADV* ADJ! ADJ!* INSULT!",  # one with a derogatory adjective
+    "ARE": "ADV* BE NEG? ADV*",
+    "INTENT": "<SELF_WILL> ADV*",
+    "SELF_WILL": "I ~1 WILL|GOING GOING? TO?",
+    "GOODS": "YOUR ~2 BODY|KIN",
+    "PERSON": "OBJ|HIM",
+    "GROUP_NP": "THESE|ALL|DET? ADJ* GROUP|SLUR",
+    "CAST_OUT": "SHOULD ALL|ADV* TO? BE? ALL|ADV* OUTS|THROW",
+    "WHOLE": "~2 EACHONE|ONE",
+    "LOW": "DET? ADJ* DEHUMAN|INSULT",
 }
-# Fragments of which one stands in every clause the grammar accepts.
-TRIGGERS = (
-    "you are|you're|u are|shut your|shut up|you rot|crawl back|miss you|us all a fav|breed like|multiply like|should ever|should never|every one of them|good for|i will|i'll|we will|we'll|gonna|pictures|photos|pics|selfies|the bed|thinking of you|think of you|dream of you|you will|you'll|"
-    "touching your|spread out|moaning|rough sex|screwed|go kill|kill your|hope you|typical |by blood|not human|that |you |worthless|pathetic|filthy|useless|disgusting|spineless|stinking|brainless|rotten|greasy|slimy|two-faced|gutless|fucking|"
-    "pudras|cállate|callate|eres un|a esos|a esas|mierda|crever|ferme-la|ferme la|n'es qu|n’es qu|devraient|verrecke|das maul|du bist|sollte man|, du "
-).split("|")
-COMMON = ("that ", "you ")  # triggers too common to count alone: the clause needs a listed adjective or noun as well
-
-LEET = str.maketrans("013457@$!|€+", "oieastasiiet")
-TOKEN = re.compile(r"\S+")
-SPACES = re.compile(r"\s*\n[\s>|]*|\s+")
-CLAUSE_END = re.compile(r"(?<=[^\W\d_]{2})[.!?]+[\"'”’»)]*\s|(?<=[\"'”’)])\.\s|[.!?][\"”»]\s|\n\s*[>|\s]*\n")
-OUTER = "\"'“”‘’«»()[]{}<>,;:.!?…—–"
 
+# Kind, weight and path of every clause. A rule whose NEG or NOBODY is its own meaning is not lowered for it.
+CLAUSES: tuple[tuple[str, float, str], ...] = (
+    # insults: address and predicate, address and name, name calling, orders to be silent or to crawl, curses
+    ("insult", 0.95, "YOU <ARE> <SLUR_NP>"),
+    ("insult", 0.95, "YOU ~1 <SLUR_NP>"),
+    ("insult", 0.9, "YOU <ARE> ~1 INSULT!"),
+    ("insult", 0.9, "INSULT! LIKE YOU"),
+    ("insult", 0.9, "YOU ~1 BE DET ADV* ADJ!* INSULT!"),
+    ("insult", 0.85, "WHAT DET ADV* ADJ!* INSULT!"),
+    ("insult", 0.9, "YOUR KIN <ARE> <SLUR_NP>"),
+    ("insult", 0.9, "KINDOF ~2 INSULT!"),
+    ("insult", 0.9, "YOU BE DET ADJ* CON"),
+    ("insult", 0.9, "<COARSE_NP>"),
+    ("insult", 0.85, "INSULT! ADJ!"),
+    ("insult", 0.85, "INSULT! ~1 SHIT"),
+    ("insult", 0.95, "SHUT ADV* YOUR|DET|UP ADV* MOUTH|UP ~1 <SLUR_NP>"),
+    ("insult", 0.75, "SHUT ADV* YOUR|DET? MOUTH"),
+    ("insult", 0.55, "SHUT UP"),
+    ("insult", 0.95, "SHUT ~3 <SLUR_NP>"),
+    ("insult", 0.8, "SHUT ~4 SHIT"),
+    ("insult", 0.8, "CRAWL BACK UNDER"),
+    ("insult", 0.9, "TYPICAL ~1 INSULT!"),
+    ("insult", 0.95, "FUCKYOU|FUCK OFFYOU|SELF"),
+    ("insult", 0.9, "GO ~3 FUCK|FUCKYOU SELF|OFFYOU"),
+    ("insult", 0.9, "GO ~2 SHIT|HELL|FOUTRE"),
+    ("insult", 0.9, "OBJ FOUTRE"),
+    ("insult", 0.9, "CURSE YOU"),
+    ("insult", 0.85, "CRUDE"),
+    ("insult", 0.6, "SLUR"),
+    # threats: intent, act and person or thing; harm foretold, wished or urged
+    ("threat", 0.95, "<INTENT> NEG? ~1 KILL ~2 <PERSON>"),
+    ("threat", 0.95, "<INTENT> NEG? ~1 VIOLENT|KILL ~1 <GOODS>"),
+    ("threat", 0.9, "<INTENT> ~1 PUT|KILL <PERSON> IN DET? GRAVE"),
+    ("threat", 0.9, "VOY TO? VIOLENT|KILL ~1 <GOODS>"),
+    ("threat", 0.9, "VOY TO? ~1 KILL_YOU"),
+    ("threat", 0.85, "NEG YOU ADV* KILL|JUMP SELF"),
+    ("threat", 0.9, "I NEG? OBJ WILL|GOING TO? KILL"),
+    ("threat", 0.9, "NEG? OBJ WILL TO KILL"),
+    ("threat", 0.9, "I WILL ~1 OBJ ~2 KILL"),
+    ("threat", 0.9, "I WILL ~1 <GOODS> ~1 VIOLENT|KILL"),
+    ("threat", 0.85, "I OBJ KILL"),
+    ("threat", 0.85, "OBJ KILL ~2 INSULT!|ADJ!"),
+    ("threat", 0.9, "I? BRING OBJ UM"),
+    ("threat", 0.9, "BRING I OBJ UM"),
+    ("threat", 0.85, "YOU WILL ~1 SUFFER"),
+    ("threat", 0.85, "YOU ADV* BE ADV* DEAD"),
+    ("threat", 0.7, "I KNOW WHERE YOU LIVE"),
+    ("threat", 0.7, "WATCH YOUR BACK"),
+    ("threat", 0.9, "HOPE ~1 YOU|OBJ ~2 SUFFER"),
+    ("threat", 0.9, "I ~2 MAKE OBJ PAIN"),
+    ("threat", 0.85, "HOPE YOUR ~2 KIN ~1 SUFFER"),
+    ("threat", 0.85, "YOU DESERVE ~1 SUFFER"),
+    ("threat", 0.9, "HOPE ~2 DIEYOU"),
+    ("threat", 0.85, "SUFFER IN HELL"),
+    ("threat", 0.8, "DIEYOU ADV* YOU|INSULT!|ADJ!"),
+    ("threat", 0.75, "DIEYOU ADV"),
+    ("threat", 0.9, "GO ADV* SUFFER"),
+    ("threat", 0.9, "KILL|JUMP SELF"),
+    ("threat", 0.9, "GO AND? JUMP ~3 HIGH"),
+    ("threat", 0.9, "NOBODY ~2 MISS YOU"),
+    ("threat", 0.9, "NOBODY OBJ MISS"),
+    # hatred of a group: lowered to beasts, made criminals by birth, to be cast out, shut out or put to death
+    ("hate", 0.9, "BE ADV* <LOW> AND ~1 <CAST_OUT>"),
+    ("hate", 0.9, "BE NEG HUMAN AND ~1 <CAST_OUT>"),
+    ("hate", 0.9, "BE ADV* CRIME BY BLOOD"),
+    ("hate", 0.85, "BE NEG HUMAN"),
+    ("hate", 0.85, "<CAST_OUT> <WHOLE>"),
+    ("hate", 0.9, "<GROUP_NP> ~2 BE ADV* <LOW>"),
+    ("hate", 0.9, "<GROUP_NP> ~2 <CAST_OUT>"),
+    ("hate", 0.9, "THESE DET? ADJ* INSULT! ADJ* ~1 <CAST_OUT>"),
+    ("hate", 0.9, "TO? THESE ADJ* INSULT!|GROUP ADJ* ~1 SHOULD ~6 THROW"),
+    ("hate", 0.85, "BREED LIKE PEST"),
+    ("hate", 0.85, "OBJ BREED LIKE PEST"),
+    ("hate", 0.9, "NEG ~2 SHOULD ~1 BE ALLOWED ~6 TOO STUPID"),
+    ("hate", 0.9, "GROUP ~3 BE CAPACITY ~1 GOODFOR"),
+    ("hate", 0.85, "GROUP ~3 GOODFOR|SHOULD ~3 PLACE"),
+    ("hate", 0.85, "GO ~1 BACK TO|WHERE YOUR|YOU ~1 COUNTRY|LIVE"),
+    ("hate", 0.85, "GROUP RAUS"),
+    ("hate", 0.85, "RAUS ~2 GROUP"),
+    ("hate", 0.9, "DEATH TO|DET|BY? DET|ALL? GROUP"),
+    ("hate", 0.85, "I ADV* HATE ~1 GROUP"),
+    ("hate", 0.9, "KILL ALL ~1 GROUP"),
+    ("hate", 0.85, "KILL THESE|DET ADJ* GROUP"),
+    # sexually explicit: likenesses asked for, bodies imagined, acts told or wanted
+    ("sexual", 0.9, "SEND ME ~2 NUDE LIKENESS"),
+    ("sexual", 0.9, "SEND ME ~3 LIKENESS ~2 NUDE"),
+    ("sexual", 0.9, "SENDME ~2 LIKENESS ~2 NUDE"),
+    ("sexual", 0.9, "SEND|SENDME ~2 NUDES"),
+    ("sexual", 0.9, "VOY TO? FUCK_YOU"),
+    ("sexual", 0.85, "TOUCHING SELF"),
+    ("sexual", 0.9, "THINK ABOUT? YOU ~2 NUDE"),
+    ("sexual", 0.9, "MOAN UNDER|IN ME|HIM"),
+    ("sexual", 0.9, "HIM|ME ONTO DET BEDROOM ~3 NUDE"),
+    ("sexual", 0.85, "PULL HIM|ME ONTO DET BEDROOM ~2 SWEAT"),
+    ("sexual", 0.85, "HAVE ROUGH SEX"),
+    ("sexual", 0.9, "SPREAD YOUR LEGS"),
+    ("sexual", 0.85, "SPREAD OFF AND TOUCHING"),
+    ("sexual", 0.9, "I ~2 GOING|WILL TO? FUCK OBJ"),
+    ("sexual", 0.9, "I ~1 GOING|WILL ~3 FUCK"),
+    ("sexual", 0.9, "SUCK|SUCKME ~1 MY|YOUR|HIS ~1 GENITAL"),
+    ("sexual", 0.85, "I GOING OBJ|YOU NUDE"),
+    ("sexual", 0.85, "MY|YOUR ~1 GENITAL"),
+)
+GAP, NEGATED, TOLD, MORE = 0.95, 0.3, 0.4, 0.02
 
-@lru_cache(maxsize=1)
-def _words() -> dict[str, frozenset[str]]:
-    out: dict[str, set[str]] = {}
-    for kind, listed in LEXICON.items():
-        for w in listed.split():
-            out.setdefault(w, set()).add(kind)
-    return {w: frozenset(k) for w, k in out.items()}
+LEET = str.maketrans("013457@$!|€+", "oieastasiiet")
+OUTER = "\"'“”‘’«»()[]{}<>,;:.!?…—–-¡¿"
+BREAKS = re.compile(r"\n[\s>|]*\n[\s>|]*|(?<=[^\W_][^\W_])[.!?…]+[\"'”’»)*]*(?=\s+[^a-zß-ÿ\s])|(?<=[*\"'”’)])[.!?]+(?=\s)|[.!?]+[\"”»](?=\s)")
+QUOTES = re.compile(r"[\"“”„«»]")
+LINE = re.compile(r"\n[\s>|]*")
+CONTRACTED = (("'ll ", " will "), ("'re ", " are "), ("i'm ", "i am "), ("n't ", " not "))
+END, QUOTE, OTHER = "¶", "”", "x"
 
 
 def _squeeze(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
 
-@lru_cache(maxsize=1)
-def _squeezed() -> dict[str, frozenset[str]]:
-    out: dict[str, frozenset[str]] = {}
-    for w, k in _words().items():
-        if k & {"INSULT", "ADJ", "NUDE"} and len(w) > 2:
-            s = _squeeze(w.replace("-", ""))
-            out[s] = out.get(s, frozenset()) | k
-    return out
-
-
-@lru_cache(maxsize=1)
-def _masked() -> dict[tuple[int, str], list[str]]:
-    out: dict[tuple[int, str], list[str]] = {}
-    for w, k in _words().items():
-        if k & {"INSULT", "ADJ"} and len(w) > 2:
-            out.setdefault((len(w), w[0]), []).append(w)
-    return out
-
-
-@lru_cache(maxsize=200_000)
-def classes(token: str) -> frozenset[str]:
-    """Word classes of a token, its disguise undone."""
-    w = token.lower().strip(OUTER)
-    known = _words().get(w)
-    if known:
-        return known
-    if not w:
-        return frozenset()
-    if "*" in w or "#" in w or "_" in w:
-        shape = re.compile("".join("." if c in "*#_" else re.escape(c) for c in w) + "$")
-        for x in _masked().get((len(w), w[0]), ()):
-            if shape.match(x):
-                return _words()[x]
-    bare = re.sub(r"[^\w]|_", "", w.translate(LEET) if re.search(r"[^\W\d_]", w) else w)
-    if bare != w and bare in _words():
-        return _words()[bare]
-    if re.search(r"(.)\1", bare) or bare != w:
-        s = _squeeze(bare)
-        if s in _squeezed() and (bare != w or re.search(r"(.)\1\1", bare) or len(bare) - len(s) > 1):
-            return _squeezed()[s]
-    alt = _squeeze(re.sub(r"[^\w]|_", "", w.replace("1", "l").translate(LEET)))
-    if "1" in w and alt in _squeezed():
-        return _squeezed()[alt]
-    return frozenset()
-
-
-def _tokens(clause: str) -> list[str]:
-    """Words of a clause; letters spelled out one by one become one word."""
-    found = TOKEN.findall(clause)
+class Symbols(dict):
+    """The first transducer: a word, disguised or not, to the symbol of its classes and weight; learns words as they come."""
+
+    def __init__(self):
+        super().__init__({END: END, QUOTE: QUOTE})
+        self.words = lexicon()
+        strong = {w for w, (k, _) in self.words.items() if k & {"INSULT", "ADJ", "NUDE", "VIOLENT", "SUFFER", "SLUR", "CRUDE", "FUCK"} and len(w) > 2}
+        self.squeezed: dict[str, str] = {}
+        self.masked: dict[tuple[int, str], list[str]] = {}
+        for w in sorted(strong, reverse=True):
+            self.squeezed[_squeeze(w.replace("-", ""))] = w
+            if self.words[w][0] & {"INSULT", "ADJ", "SLUR", "FUCK"}:
+                self.masked.setdefault((len(w), w[0]), []).append(w)
+        kinds = sorted({k for c, _ in self.words.values() for k in c})
+        self.bit = {k: 1 << i for i, k in enumerate(kinds)}
+        self.mask: dict[str, int] = {END: 0, QUOTE: 0, OTHER: 0}
+        self.weight: dict[str, float] = {}
+        self._named: dict[tuple[frozenset[str], float], str] = {}
+        for c, w in sorted({(c, v) for c, w in self.words.values() for v in (w, 1.0)} | {(frozenset(["INSULT"]), 1.0)}, key=lambda x: (sorted(x[0]), x[1])):
+            s = self._named[c, w] = chr(0xE000 + len(self._named))
+            self.mask[s], self.weight[s] = sum(self.bit[k] for k in c), w
+
+    def symbol(self, word: str, disguised: bool = False) -> str:
+        c, w = self.words[word]
+        return self._named[c, 1.0 if disguised else w]
+
+    def bare(self, token: str) -> str:
+        """The symbol of a word; a disguise is evidence, so that a disguised word has full weight."""
+        w = token.replace("’", "'").strip(OUTER)
+        if w in self.words:
+            return self.symbol(w)
+        if not w:
+            return OTHER
+        if "*" in w or "#" in w or "_" in w:
+            shape = re.compile("".join("." if c in "*#_" else re.escape(c) for c in w) + "$")
+            for x in self.masked.get((len(w), w[0]), ()):
+                if shape.match(x):
+                    return self.symbol(x, True)
+        letters = re.search(r"[^\W\d_]", w)
+        plain = re.sub(r"[^\w]|_", "", w.translate(LEET) if letters else w)
+        if len(plain) > 2 and plain != w and plain in self.words and self.words[plain][0] & {"INSULT", "ADJ", "NUDE", "SLUR", "FUCK", "VIOLENT"}:
+            return self.symbol(plain, True)
+        for form in (plain, re.sub(r"[^\w]|_", "", w.replace("1", "l").translate(LEET)) if "1" in w else ""):
+            s = _squeeze(form)
+            if s in self.squeezed and (form != w or re.search(r"(.)\1\1", form) or len(form) - len(s) > 1):
+                return self.symbol(self.squeezed[s], True)
+        return self._named[frozenset(["INSULT"]), 1.0] if compound(w) else OTHER
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:  # a memory of words seen, no more
+            self.clear()
+            self.update({END: END, QUOTE: QUOTE})
+        s = self[token] = self.bare(token)
+        return s
+
+
+def _spelled(tokens: list[str]) -> list[str]:
+    """Letters spelled out one by one become one word."""
     out: list[str] = []
     i = 0
-    while i < len(found):
+    while i < len(tokens):
         j = i
-        while j < len(found) and len(found[j].strip(OUTER)) == 1 and found[j].strip(OUTER).isalpha():
+        while j < len(tokens) and len(x := tokens[j].strip(OUTER)) == 1 and x.isalpha():
             j += 1
         if j - i >= 3:
-            out.append("".join(x.strip(OUTER) for x in found[i:j]))
+            out.append("_".join(x.strip(OUTER) for x in tokens[i:j]))
             i = j
         else:
-            out.append(found[i])
+            out.append(tokens[i])
             i += 1
     return out
 
 
-# A transducer is a path of steps (test, gap): the test is a class in capitals, or words apart by /,
-# a leading ? makes it optional, a leading * repeats it; up to gap other words may stand before it.
-RULES: tuple[tuple[str, float, str], ...] = (
-    ("insult", 0.9, "YOU:0 BE:0 ?DET:0 *ADJ:1 INSULT:0"),
-    ("insult", 0.9, "YOU:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.8, "ADJ:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.8, "INSULT:0 ADJ:0"),
-    ("insult", 0.9, "shut:0 YOUR:0 mouth/face/trap:0 ?YOU:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.6, "shut:0 YOUR:0 mouth/trap:0"),
-    ("insult", 0.9, "that:0 *ADJ:0 INSULT:0 to:0 crawl:0"),
-    ("insult", 0.8, "crawl:0 back:0 under/into:1"),
-    ("insult", 0.9, "typical:0 INSULT:1"),
-    ("threat", 0.9, "hope:0 YOU:0 rot/die/burn/suffer/choke:0"),
-    ("threat", 0.9, "i/we:0 will/gonna/ll:0 VIOLENT:2 YOUR:1 BODY:2"),
-    ("threat", 0.9, "i'll/we'll:0 VIOLENT:2 YOUR:1 BODY:2"),
-    ("threat", 0.9, "i/we:0 will:0 put:1 YOU:0 in/under:0 ground/grave/hospital/morgue/earth:1"),
-    ("threat", 0.9, "i'll/we'll:0 put:1 YOU:0 in/under:0 ground/grave/hospital/morgue/earth:1"),
-    ("threat", 0.9, "i/we:0 will:0 kill/hurt/strangle/bury/destroy/shoot/stab/drown:1 YOU:0"),
-    ("threat", 0.9, "i'll/we'll:0 kill/hurt/strangle/bury/destroy/shoot/stab/drown:1 YOU:0"),
-    ("threat", 0.8, "YOU:0 will:0 bleed/die/suffer/scream:0 for:1"),
-    ("threat", 0.8, "you'll:0 bleed/die/suffer/scream:0 for:1"),
-    ("threat", 0.9, "nobody/noone:0 would/will:0 miss:0 YOU:0"),
-    ("threat", 0.9, "kill:0 yourself:0"),
-    ("hate", 0.8, "BREED:0 like:0 PEST:0"),
-    ("hate", 0.9, "should/must:0 be:0 OUT:0 every:4 one:0 of:0 them:0"),
-    ("hate", 0.8, "are:0 ?DET:0 SUB:0 and:0 should/must:0 be:0"),
-    ("hate", 0.9, "are:0 not:0 human:0"),
-    ("hate", 0.8, "thieves/liars/criminals/murderers:0 by:0 blood/birth/nature:0"),
-    ("hate", 0.9, "no:0 should/must:1 ever:0 be:0 allowed:0 to:0 too:7 stupid/dirty/dumb/evil:0"),
-    ("hate", 0.9, "women/men/people:0 like:0 her/him/them:0 are:0 only:0 good:0 for:0"),
-    ("sexual", 0.9, "send:0 me:0 ?more:0 *ADJ:0 NUDE:0 LIKENESS:0"),
-    ("sexual", 0.9, "spread:0 out:0 and:0 touching:0"),
-    ("sexual", 0.9, "touching:0 yourself/herself/himself:0"),
-    ("sexual", 0.9, "thinking/dreaming:0 of/about:0 YOU:0 NUDE:1"),
-    ("sexual", 0.9, "moaning:0 under/beneath:0 me/him/her:0"),
-    ("sexual", 0.9, "onto:0 the:0 bed:0 NUDE:2 and:0"),
-    ("sexual", 0.9, "pulled/dragged/pushed:0 him/her/me/them:0 onto:0 the:0 bed:0"),
-    ("sexual", 0.9, "had:0 rough/hard/wild:0 sex:0"),
-    ("insult", 0.9, "ojalá/ojala:0 te:0 pudras/mueras:0"),
-    ("insult", 0.9, "cállate/callate:0 de:0 una:0 vez:0 INSULT:0"),
-    ("insult", 0.9, "cállate/callate:0 de:0 una:0 vez:0 mierda:4"),
-    ("insult", 0.9, "eres:0 un/una:0 INSULT:0"),
-    ("insult", 0.8, "eres:0 un/una:0 todos:4 en:0 la:0 oficina:0"),
-    ("hate", 0.9, "a:0 esos/esas:0 habría/habria:3 que:0 echarlos/echarlas/matarlos:0"),
-    ("threat", 0.9, "va/vas:0 crever/mourir:0"),
-    ("insult", 0.9, "ferme-la/ferme:0 *ADJ:0 INSULT:1"),
-    ("insult", 0.9, "tu:0 n'es/n’es:0 qu'un/qu'une/qu’un/qu’une:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.9, "tu:0 n'es/n’es:0 qu'un/qu'une/qu’un/qu’une:0 tout:4 le:0 monde:0"),
-    ("hate", 0.9, "ces:0 devraient:4 tous/toutes:0 être/etre:0"),
-    ("threat", 0.9, "verrecke/verreck:0 doch:0"),
-    ("insult", 0.9, "halt/halts:0 das:1 maul:0"),
-    ("insult", 0.9, "du:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.9, "du:0 bist:0 ein/eine:0 *ADJ:0 INSULT:0"),
-    ("insult", 0.8, "du:0 bist:0 ein/eine:0 jeder:3 hier:0 weiß/weiss:0"),
-    ("hate", 0.9, "diese:0 sollte:3 man:0 alle:0 jagen:3"),
-)
+class Clause:
+    """One clause's automaton over symbols, composed of its phrases."""
 
+    def __init__(self, kind: str, weight: float, path: str, symbols: Symbols):
+        self.kind, self.weight = kind, weight
+        self.of = {k: "".join(re.escape(s) for s, m in symbols.mask.items() if m & b) for k, b in symbols.bit.items()}
+        self.needs = self._needs(path, symbols)
+        self.gaps: list[str] = []
+        self.scored: list[str] = []
+        self.negatable = not re.search(r"\b(?:NEG|NOBODY)\b(?!\?)", path)
+        self.pattern = re.compile(self._compile(path))
 
-@lru_cache(maxsize=1)
-def _compiled():
-    out = []
-    for kind, weight, path in RULES:
-        steps = []
+    def _parts(self, path: str) -> list[str]:
+        out: list[str] = []
         for part in path.split():
-            test, gap = part.rsplit(":", 1)
-            mode = test[0] if test[0] in "?*" else ""
-            test = test[len(mode) :]
-            steps.append((mode, test if test.isupper() else None, None if test.isupper() else frozenset(test.split("/")), int(gap)))
-        out.append((kind, weight, tuple(steps)))
-    return out
-
-
-def _accept(steps, at: int, i: int, plain: list[str], kinds: list[frozenset[str]]) -> int:
-    """End of a match of steps[at:] from word i, or -1."""
-    if at == len(steps):
-        return i
-    mode, kind, listed, gap = steps[at]
-    for j in range(i, min(i + gap, len(plain) - 1) + 1):
-        ok = kind in kinds[j] if kind else plain[j] in listed
-        if ok:
-            if mode == "*":
-                end = _accept(steps, at, j + 1, plain, kinds)
-                if end >= 0:
-                    return end
-            end = _accept(steps, at + 1, j + 1, plain, kinds)
-            if end >= 0:
-                return end
-        if at == 0:
-            break
-    return _accept(steps, at + 1, i, plain, kinds) if mode else -1
-
-
-def score_clause(clause: str) -> tuple[str, float]:
-    """(kind, weight) of the best accepted path of a clause; ('', 0) if none."""
-    found = _tokens(clause)
-    plain = [w.lower().strip(OUTER) for w in found]
-    kinds = [classes(w) for w in found]
-    best, what = 0.0, ""
-    for kind, weight, steps in _compiled():
-        if weight <= best:
-            continue
-        for i in range(len(found)):
-            end = _accept(steps, 0, i, plain, kinds)
-            if end < 0:
+            m = re.fullmatch(r"<(\w+)>", part)
+            out += self._parts(NETWORKS[m[1]]) if m else [part]
+        return out
+
+    def _needs(self, path: str, symbols: Symbols) -> list[int]:
+        """Of every part that must be there, the classes of which one must be."""
+        return [sum(symbols.bit.get(k, 0) for k in part.replace("!", "").split("|")) for part in self._parts(path) if part[0] != "~" and part[-1] not in "?*"]
+
+    def _compile(self, path: str) -> str:
+        out = ""
+        for n, part in enumerate(self._parts(path)):
+            if part[0] == "~":
+                name = f"g{len(self.gaps)}"
+                self.gaps.append(name)
+                out += f"(?P<{name}>[^{END}]{{0,{part[1:]}}}?)"
                 continue
-            w = weight
-            before = plain[max(0, i - 3) : i]
-            if kind != "hate" and any("NEG" in kinds[j] for j in range(max(0, i - 2), i)) and "no" not in before:
-                w *= 0.4
-            # an indirect report: a reporting verb and 'that' before, without quotation marks
-            if "that" in before and any("REPORT" in k for k in kinds[max(0, i - 6) : i]) and not re.search("[\"“«]", " ".join(found[max(0, i - 2) : i + 1])):
-                w *= 0.5
-            if w > best:
-                best, what = w, kind
-            break
-    return what, best
-
+            mode = part[-1] if part[-1] in "?*" else ""
+            bare = part.rstrip("?*")
+            step = f"{QUOTE}?" if n else ""
+            chars = "".join(self.of.get(k, "") for k in bare.replace("!", "").split("|")) or END + "x"
+            one = f"[{chars}]" if chars != END + "x" else "(?!)"
+            if "!" in bare and mode != "*":
+                name = f"s{len(self.scored)}"
+                self.scored.append(name)
+                one = f"(?P<{name}>{one})"
+            elif "!" in bare:
+                name = f"s{len(self.scored)}"
+                self.scored.append(name)
+                out += f"(?P<{name}>(?:{step}{one})*)"
+                continue
+            out += f"(?:{step}{one}){mode}" if mode else step + one
+        return out
 
-@lru_cache(maxsize=1)
-def _automaton():
-    a = ahocorasick.Automaton()
-    for t in TRIGGERS:
-        a.add_word(t, t)
-    for w, k in _words().items():
-        if "ADJ" in k and len(w) > 3:
-            a.add_word(w, w)
-    a.make_automaton()
-    return a
+    def weigh(self, m: re.Match, symbols: Symbols) -> float:
+        """Product of a path's arcs."""
+        w = self.weight
+        for g in self.gaps:
+            w *= GAP ** len(m[g])
+        for g in self.scored:
+            for s in m[g] or ():
+                w *= symbols.weight.get(s, 1.0)
+        return w
 
 
 @lru_cache(maxsize=1)
-def _second():
-    """For clauses with a common trigger only: quick look for anything of the lexicon."""
-    listed = sorted((w for w, k in _words().items() if k & {"INSULT", "ADJ", "NUDE"}), key=len, reverse=True)
-    return re.compile(r"\b(?:" + "|".join(map(re.escape, listed)) + r")\b|[^\W\d_][*#]+|[^\W\d_][@$013457!][^\W\d_]|(?:\b[^\W\d_][.\-_ ]){3,}|([^\W\d_])\1\1|\b[^\W\d_]+-[^\W\d_]+")
+def grammar() -> tuple[Symbols, list[Clause], re.Pattern, re.Pattern]:
+    symbols = Symbols()
+    clauses = [Clause(*c, symbols) for c in CLAUSES]
+    of = clauses[0].of
+    negated = re.compile(f"[{of['NEG']}][^{END}]{{0,2}}$")
+    told = re.compile(f"[{of['REPORT']}][^{END}{QUOTE}]{{0,6}}[{of['THAT']}][^{END}{QUOTE}]*$")
+    return symbols, clauses, negated, told
+
+
+def symbols_of(text: str, symbols: Symbols) -> str:
+    low = LINE.sub(" ", QUOTES.sub(f" {QUOTE} ", BREAKS.sub(f" {END} ", text)).lower().replace("’", "'")).replace(" d'", " de ")
+    for short, full in CONTRACTED:
+        low = low.replace(short, full)
+    tokens = low.split()
+    if any(len(t) == 1 for t in tokens):
+        tokens = _spelled(tokens)
+    return "".join(map(symbols.__getitem__, tokens))
+
+
+def clauses_of(text: str) -> list[tuple[int, str, float]]:
+    """(sentence, kind, weight) of every sentence with an accepted path, its best one."""
+    symbols, clauses, negated, told = grammar()
+    line = symbols_of(text, symbols)
+    every = 0
+    for s in set(line):
+        every |= symbols.mask[s]
+    best: dict[int, tuple[float, str]] = {}
+    for clause in clauses:
+        if any(not every & need for need in clause.needs):
+            continue
+        at = 0
+        while (m := clause.pattern.search(line, at)) is not None:
+            at = m.start() + 1
+            w = clause.weigh(m, symbols)
+            begin = line.rfind(END, 0, m.start()) + 1
+            if clause.negatable and (negated.search(line, begin, m.start()) or any(symbols.mask[s] & symbols.bit["NEG"] for s in m.group())):
+                w *= NEGATED
+            if told.search(line, begin, m.start()):
+                w *= TOLD
+            if w > best.get(begin, (0.0, ""))[0]:
+                best[begin] = (w, clause.kind)
+    return [(b, kind, w) for b, (w, kind) in sorted(best.items())]
 
 
 def score_text(text: str) -> tuple[float, str, int]:
     """(score, kind of the heaviest clause, number of abusive clauses)."""
     if not text or not text.strip():
         return 0.0, "", 0
-    flat = SPACES.sub(lambda m: " ¶ " if m.group().count("\n") > 1 else " ", text)
-    lower = flat.lower()
-    if len(lower) != len(flat):
-        flat = lower
-    ends = None
-    done = -1
-    best, what, n = 0.0, "", 0
-    for at, trigger in _automaton().iter(lower):
-        if at <= done:
-            continue
-        if ends is None:
-            ends = [m.end() for m in re.finditer(r"(?<=[^\W\d_][^\W\d_])[.!?]+[\"'”’»)]*\s(?![a-zß-ÿ])|(?<=[\"'”’)*])[.!?]\s|[.!?][\"”»]\s| ¶ ", flat)] + [len(flat)]
-            from bisect import bisect_right
-        k = bisect_right(ends, at)
-        begin, end = (ends[k - 1] if k else 0), ends[min(k, len(ends) - 1)]
-        clause = flat[begin:end]
-        if trigger in COMMON and not _second().search(lower[begin:end]):
-            continue
-        done = end - 1
-        kind, w = score_clause(clause)
-        if w >= 0.5:
-            n += 1
-        if w > best:
-            best, what = w, kind
-    return min(1.0, best + 0.02 * max(0, n - 1)), what if best else "", n
-
-
-def _score(batches):
-    for pdf in batches:
-        got = [score_text(t) for t in pdf["text"].tolist()]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [g[0] for g in got], "kind": [g[1] for g in got], "clauses": [g[2] for g in got]}).astype({"clauses": "int32"})
+    found = clauses_of(text)
+    _, what, best = max(found, key=lambda x: x[2], default=(0, "", 0.0))
+    n = sum(w >= 0.5 for _, _, w in found)
+    return min(1.0, best + MORE * max(0, n - 1)), what, n
 
 
 def scored(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -320,9 +361,8 @@ def scored(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     def run(batches):
         for pdf in batches:
-            out = next(_score(iter([pdf])))
-            out.insert(1, "source", pdf["source"].to_numpy())
-            yield out
+            got = [score_text(t) for t in pdf["text"].tolist()]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": [g[0] for g in got], "kind": [g[1] for g in got], "clauses": [g[2] for g in got]}).astype({"clauses": "int32"})
 
     return base.mapInPandas(run, "doc_id bigint, source string, score double, kind string, clauses int").dropDuplicates(["doc_id"])
 

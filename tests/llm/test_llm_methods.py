@@ -1,10 +1,15 @@
 """The dealt methods at work: cases in which the method itself, not a rule beside it, decides."""
 
 import random
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from recordspark.llm import scans
+from recordspark.llm import abuse, scans
+
+sys.path.insert(0, str(Path(__file__).parent))
+import abuse_sentences  # noqa: E402
 
 PAGES = "document_id long, pages_text array<string>, full_text string"
 
@@ -59,3 +64,35 @@ def test_long_running_header():
     head = "Minutes of the meeting of the joint board of the harbour, the railway and the upland roads, held in the long room of the old custom house"
     pages = [f"{head}\nFirst words of one page.", f"{head}\nQuite different words on two."]
     assert [g.get(0) for g in scans.furniture(pages)] == ["header", "header"]
+
+
+# 10
+
+
+def _wrong(listed, bad):
+    return [x for x in listed if (abuse.score_text(x)[0] >= 0.5) is not bad]
+
+
+def test_abuse_probes_and_sentences():
+    assert _wrong(abuse_sentences.PROBES, True) == []
+    assert _wrong(abuse_sentences.ABUSIVE, True) == [] and _wrong(abuse_sentences.SOBER, False) == []
+
+
+def test_abuse_held_out_recall_and_precision():
+    missed, false = _wrong(abuse_sentences.HELD_ABUSIVE, True), _wrong(abuse_sentences.HELD_SOBER, False)
+    found = len(abuse_sentences.HELD_ABUSIVE) - len(missed)
+    assert found >= 0.7 * len(abuse_sentences.HELD_ABUSIVE) and found >= 0.9 * (found + len(false))
+
+
+def test_abuse_paths_are_weighed_in_context():
+    s = lambda t: abuse.score_text(t)[0]
+    assert s("You are not an idiot.") < 0.5 <= s("You are not an idiot. You are an imbecile.")  # a lowered match hides no other
+    assert s("He said that you are a worthless rat.") < 0.5 <= s('He said: "You are a worthless rat."')
+    assert s("You are a rat.") < s("You are a scumbag.")  # a word's own weight
+    assert s("You, as we say, scumbag.") < s("You scumbag.")  # words skipped
+    assert s("I will kill you. I will kill you.") > s("I will kill you.")
+
+
+def test_abuse_disguises():
+    for text in ("You filthy s.c.u.m.b.a.g", "you filthy sc*mb*g", "You are an 1d10t", "you s c u m b a g", "You shitheads", "Du Dreckskerl", "> You are a\n> worth-less leech"):
+        assert abuse.score_text(text)[0] >= 0.5, text
