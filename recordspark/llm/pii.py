@@ -1,12 +1,24 @@
 """Problem 6: personal information inside free text, by candidate gradient boosting.
 
 High-recall generators propose overlapping spans (email, phone, id number, address,
-name); boosted trees score each by its format and its surroundings; calibrated
-thresholds, one per kind, and a precedence among overlaps select what is redacted.
-The trees are fitted here, on a bounded sample (``sample_texts`` texts, those of
-least hash), whose labels come from label words beside numbers and from the whole entities
-table: a word is a name word if persons bear it more often than organisations and
-places do. Everything else runs over all rows and whole texts.
+name); boosted trees score each by its format and its surroundings; thresholds, one
+per kind, and a precedence among overlaps select what is redacted.
+
+What the generators know of words (which are common, which open sentences) is counted
+over all texts and snippets, and decided by shares and ratios. Only the trees are fitted on a
+bounded sample (``sample_texts`` texts and as many snippets, those of least hash). Their
+labels come from evidence that the trees do not see:
+
+* names from a join with the whole entities table: persons, organisations or places bear the words;
+* phone and id numbers from the label words before them, which the trees of the format do
+  not see; trees of the surroundings are fitted in turn to what the format alone makes
+  certain, and the odds of both are added;
+* emails and addresses from other records: a domain with several users or a user named as
+  a person is, a street or a town of several addresses; and, as texts may hold few, from
+  sentences written here: some true ones, and decoys such as prices, versions and numbered rules.
+
+Every fifth row is held out: it calibrates the odds and sets each kind's threshold, the
+least at which the stated ``precision`` is reached there (``Detector.report``).
 
 Line ends with the quotation marks of emails count as spaces inside a value.
 Null, empty and blank texts give no spans and stay as they are. Equal values of one
@@ -15,8 +27,10 @@ record are one row.
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
+from bisect import bisect_right, insort
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -27,10 +41,11 @@ from pyspark.sql import functions as F
 from recordspark.llm.boosting import BoostedTrees
 from recordspark.llm.names import trade_words
 from recordspark.llm.nicknames import TITLES, formal_names
+from recordspark.session import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 S = r"(?:[^\S\n]|\n[>|\s]*)"
-AT_LEFT, AT_RIGHT = re.compile(r"[\w.+\-]+$"), re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
+AT_RIGHT = re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
 DIGITS = re.compile(r"\d+")
 # matched at the head of a number that stands apart
 PHONE = re.compile(rf"(?:\+\d{{1,3}}(?:{S}|[.\-/])?)?(?:\(\d{{2,5}}\){S}?|\d{{2,5}}[ .\-/])?(?:\d{{3,4}}[ .\-/])?\d{{3,4}}[ .\-/]\d{{3,6}}(?![\w\-/]|\.\d)|\+?\d{{10,13}}(?![\w\-/]|\.\d)")
@@ -65,7 +80,8 @@ ANY_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 GAP = re.compile(r"[.!]?(?:\s?\.\.\.)?(,?)((?:[^\S\n]|\n[>|\s]*)+)$")
 PHONE_WORDS = re.compile(r"(?:tel|phone|mobile|call|reach|office|fax|cell|contact|messages|again at|ring|\bt|\bo|\bm|direct|details were)\W{0,12}(?:at\W+)?$|@[\w.\-]+\W{1,4}$", re.I)
 ID_WORDS = re.compile(r"(?:ssn|soc(?:ial|\.)\s*sec\S*(?:\s*no\.?)?|tax\s*id|insurance\s*(?:no\.?|number)|passport(?:\s*number|\s*no\.?)?|licen[cs]e(?:\s*no\.?|\s*number)?|identity\s*\S*)\W*$", re.I)
-OTHER_WORDS = re.compile(r"(?:bates(?:\s+range)?|invoice|docket|meter\s+reading|part\s+no\.?|lot|box|folder|size|pages|\bno\.|usd|eur|[$£€]|ARC-|INV-)\W*$", re.I)
+OTHER_WORDS = re.compile(r"(?:bates(?:\s+range)?|invoice|docket|meter\s+reading|part\s+no\.?|lot|box|folder|size|pages|\bno\.|usd|eur|[$£€]|(?<![\w@])(?:on|dated?|sent|since|until|between|taken))\W*$", re.I)
+COUNTERS = re.compile(r"\b(?:chapter|rule|section|page|pages|exhibit|figure|table|article|room|part|volume|vol|no|item|clause|paragraph|act|psalm|heat|lane|top|the|these|those|all|about|some)\.?\s$", re.I)
 ORG_WORDS = frozenset(
     "department dept holdings hldgs trust tr international intl company co limited ltd partners ptnrs cooperative co-op foundation fdn association assn corporation corp incorporated inc services svcs institute inst brothers bros group grp".split()
 )
@@ -118,11 +134,8 @@ def _names(text: str, vocabulary: Vocabulary, folded: bool):
         if gap == " ":
             links.append(" ")
             continue
-        if len(gap) > 40:
-            links.append(None)
-            continue
-        m = GAP.match(gap)
-        if not m or ("\n" in gap and gap.count("\n") > 1):
+        m = None if gap.strip(" \t\r\n\f\v\u00a0>|.,!") or gap.count("\n") > 1 else GAP.match(gap)
+        if not m:
             links.append(None)
         elif m[1]:
             links.append(",")
@@ -206,6 +219,16 @@ def _names(text: str, vocabulary: Vocabulary, folded: bool):
     return out, families
 
 
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the n-th word before a place begins."""
+    for _ in range(n):
+        while at and not text[at - 1].isalnum():
+            at -= 1
+        while at and text[at - 1].isalnum():
+            at -= 1
+    return at
+
+
 def propose(text: str, vocabulary: Vocabulary):
     """Overlapping candidates: (kind, begin, end, features)."""
     out = []
@@ -225,7 +248,7 @@ def propose(text: str, vocabulary: Vocabulary):
         f[4] = 0 if kind == "name" else int(bool(OTHER_WORDS.search(before)))
         f[5] = int(bool(re.match(r"(?:19|20)\d\d[\-/.]|\d{1,2}[\-/.]\d{1,2}[\-/.](?:19|20)\d\d", value))) if digits else 0
         f[6] = more.get("shape", 0)
-        f[7] = int("555" in value or re.sub(r"\D", "", value)[:7] in ("0770090", "4477009"))
+        f[7] = 1 + min(14, len(re.findall(r"\d+", value))) if digits else 0
         f[8] = more.get("pattern", 0)
         f[9] = int(more.get("titled", False))
         f[10] = " GXIOPCWT".find(more.get("following") or " ")
@@ -242,10 +265,13 @@ def propose(text: str, vocabulary: Vocabulary):
 
     at = text.find("@")
     while at >= 0:
-        left, right = AT_LEFT.search(text, max(0, at - 80), at), AT_RIGHT.match(text, at + 1)
-        if left and right:
-            add("email", left.start(), right.end(), shape=1)
-            taken.append((left.start(), right.end()))
+        begin, right = at, AT_RIGHT.match(text, at + 1)
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        if begin < at and right:
+            top = right.group().rpartition(".")[2]
+            add("email", begin, right.end(), shape=1 + any(c.isalpha() for c in text[begin:at]) + 2 * top.isalpha() + 4 * (len(top) > 1) + 8 * any(c.isalpha() for c in right.group()))
+            taken.append((begin, right.end()))
         at = text.find("@", at + 1)
     numbered, placed, street, box = ADDRESSES_FOLDED if folded else ADDRESSES
     spans = []
@@ -276,12 +302,12 @@ def propose(text: str, vocabulary: Vocabulary):
             spans.append((flat.start() if flat else p, m.end()))
         else:
             m = placed.match(text, p)
-            if m and (lead := street.search(text, max(0, p - 60), p)):
+            if m and (lead := street.search(text, _words_back(text, p, 5), p)):
                 spans.append((lead.start(), m.end()))
     if "ox " in text or "OX " in text or "ox\n" in text:
         spans += [(m.start(), m.end()) for m in box.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
     for b, e in spans:
-        add("address", b, e, shape=1 + int("," in text[b:e]) + 2 * int("ox" in text[b:e].lower()))
+        add("address", b, e, shape=1 + int("," in text[b:e]) + 2 * int("ox" in text[b:e].lower()) + 4 * int(bool(COUNTERS.search(text[max(0, b - 12) : b]))), pattern=min(9, len(text[b:e].split())))
         taken.append((b, e))
     for head in LABEL.finditer(text):
         if text[head.start() - 1 : head.start()].isalpha():
@@ -292,8 +318,13 @@ def propose(text: str, vocabulary: Vocabulary):
         if m and sum(c.isdigit() for c in m["v"]) >= 5 and not re.match(r"(?:no|nr|id|num|sec)\b", m["v"], re.I):
             add("id_number", m.start("v"), m.end("v"), shape=6)
     names, families = _names(text, vocabulary, folded)
+    taken.sort()
+    begins, reach = [x for x, _ in taken], []
+    for _, y in taken:
+        reach.append(max(y, reach[-1]) if reach else y)
     for b, e, pattern, titled, following, before, words in names:
-        if any(x <= b < y for x, y in taken):
+        k = bisect_right(begins, b)
+        if k and reach[k - 1] > b:
             continue
         known = pattern in ("X", "TX") and words[-1].lower() in families
         add("name", b, e, pattern=PATTERNS.index(pattern), titled=titled, following=following, before=before, family=known)
@@ -304,9 +335,54 @@ def propose(text: str, vocabulary: Vocabulary):
 PRECEDENCE = {"email": 0, "address": 1, "id_number": 2, "phone": 3, "name": 4}
 
 
+LABELLED_BY = (3, 4)  # the columns of label words, which name the kind of a number
+AROUND = (0, 3, 4, 12, 13, 17, 18, 19)  # the columns of a number's surroundings
+MOST_AROUND = 3.0  # both views share evidence, so the surroundings alone never turn what the format makes certain
+NUMBERS = [KINDS.index("phone"), KINDS.index("id_number")]
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+class Scorer:
+    """Odds by format, of all kinds, and by surroundings, of numbers."""
+
+    def __init__(self):
+        self.format, self.around, self.prior = BoostedTrees(), None, 0.0
+
+    @staticmethod
+    def _bare(x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        x[:, LABELLED_BY] = 0
+        return x
+
+    def fit(self, x: np.ndarray, y: np.ndarray, every: np.ndarray) -> Scorer:
+        """``x`` and ``y``: labelled rows; ``every``: all candidates of the sample."""
+        self.format.fit(self._bare(x), y)
+        numbers = every[np.isin(every[:, 0], NUMBERS)] if len(every) else every
+        if len(numbers):
+            p = self.format.predict(self._bare(numbers))
+            sure = (p >= 0.9) | (p <= 0.1)
+            if sure.sum() >= 20 and 0 < (p[sure] >= 0.9).mean() < 1:
+                self.around = BoostedTrees().fit(numbers[sure][:, AROUND], p[sure] >= 0.9)
+                self.prior = float(_logit(np.array([(p[sure] >= 0.9).mean()]))[0])
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        z = _logit(self.format.predict(self._bare(x)))
+        if self.around is not None:
+            number = np.isin(x[:, 0], NUMBERS)
+            z[number] += np.clip(_logit(self.around.predict(x[number][:, AROUND])) - self.prior, -MOST_AROUND, MOST_AROUND)
+        return 1 / (1 + np.exp(-z))
+
+
 class Detector:
-    def __init__(self, vocabulary: Vocabulary, model: BoostedTrees, thresholds: dict[str, float]):
+    def __init__(self, vocabulary: Vocabulary, model, thresholds: dict[str, float], report: dict[str, tuple[int, float, float]] | None = None):
         self.vocabulary, self.model, self.thresholds = vocabulary, model, thresholds
+        #: per kind: held-out rows, precision and recall there
+        self.report = report or {}
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """Selected (kind, begin, end) of each text, in order."""
@@ -317,11 +393,12 @@ class Detector:
         for p in proposed:
             scored = [(PRECEDENCE[c[0]], -(c[2] - c[1]), c) for c, q in zip(p, chance[at : at + len(p)]) if q >= self.thresholds[c[0]]]
             at += len(p)
-            kept: list[tuple[str, int, int]] = []
+            kept: list[tuple[int, int, str]] = []
             for _, _, (kind, b, e, _) in sorted(scored, key=lambda x: (x[0], x[1], x[2][1])):
-                if all(e <= x[1] or b >= x[2] for x in kept):
-                    kept.append((kind, b, e))
-            out.append(sorted(kept, key=lambda x: x[1]))
+                k = bisect_right(kept, (b, e, ""))
+                if (k == 0 or kept[k - 1][1] <= b) and (k == len(kept) or kept[k][0] >= e):
+                    insort(kept, (b, e, kind))
+            out.append([(kind, b, e) for b, e, kind in kept])
         return out
 
 
@@ -334,69 +411,152 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_detector(texts: DataFrame, snippets: DataFrame, entities: DataFrame, sample_texts: int = 1000, threshold: float = 0.5) -> Detector:
+def corpus_vocabulary(texts: DataFrame, entities: DataFrame, share: float = 2e-6, plain: float = 0.2) -> Vocabulary:
+    """Word lists counted over all texts.
+
+    A word is common if it makes up ``share`` of all words counted (so there are at most 1 / ``share``)
+    and stands in small letters ``plain`` times as often as, inside sentences, with a capital, a given name five times as often as with a capital anywhere; or
+    if it stands with a capital four times as often at the head of a sentence as inside.
+    """
+    t = F.regexp_replace("text", r"[-‐\u00ad]\s*\n[>|\s]*", "")
+    small = F.when(F.lower(t) != t, F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_@.\-+])[a-zß-ÿ]{3,}(?![\p{L}\p{N}_@])"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    word = r"([A-ZÀ-Þ]\p{L}*(?:['’]\p{L}+)*)"
+    heads = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|(?<!\b[A-Z]|\bMr|\bMrs|\bMs|\bDr|\bProf|\bCapt)[.!?:;]|\n)[\s>|\-]*" + word), F.lit(1))
+    capitals = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}_])" + word), F.lit(1))
+    marked = lambda words, mark: F.transform(words, lambda w: F.concat(F.lit(mark), F.lower(w)))
+    counts = texts.select(F.explode(F.concat(marked(small, "s"), marked(heads, "h"), marked(capitals, "c"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.substring("w", 1, 1)
+    of = lambda k: F.sum(F.when(kind == k, F.col("n")).otherwise(0))
+    words = counts.groupBy(F.expr("substring(w, 2)").alias("word")).agg(of("s").alias("small"), of("h").alias("heads"), of("c").alias("capitals"))
+    words = cut(words)
+    least = share * (words.agg(F.sum(F.col("small") + F.col("capitals"))).first()[0] or 0)
+    inner = F.col("capitals") - F.col("heads")
+    common = words.filter((F.col("small") > least) & (F.col("small") >= F.when(F.col("word").isin(sorted(formal_names())), 5 * F.col("capitals")).otherwise(plain * inner))).select("word", F.lit(False).alias("opens"))
+    opening = words.filter((F.col("heads") > least) & (F.col("heads") >= 4 * inner)).select("word", F.lit(True).alias("opens"))
+    listed = common.unionAll(opening).collect()
+    return Vocabulary(frozenset(r["word"] for r in listed if not r["opens"] or r["word"] not in formal_names()), trade_words(entities))
+
+
+# What looks like an email or an address and is none; # is a number.
+DECOYS = {
+    "email": ("They sold apples 12@#.50 and pears 6@#.25 at the fair.", "Install core-tools@#.4.1 before the update.", "The rate was 3@#.75 a box.", "We bought 40@1.#9 and no more.", "See build x@#.0.2 for the fix."),
+    "address": ("We read Rule # Motion Court again.", "See Chapter # Summary Way of the book.", "All # Kings Court players were there.", "The # Great Way signs were old.", "It stood in Section # Upper Hill of the map.", "Some # Long Drive tests were run.", "Page # Open Road was torn."),
+}
+# True ones, for texts that hold hardly any.
+SEEDS = {
+    "email": ("Write to j.miller#@post.example.", "Her address is ann#@mail.example, as before.", "From: K. Moss <kmoss#@office.example>"),
+    "address": ("He lived at # Mill Lane, Ashby.", "Send it to # Upper Grove Street, Apt #, Ashby QX# 4BF, by noon.", "The shop stood in # Park Road.", "Write to P.O. Box #, Ashby 01#34.", "Moss & Sons\n# Station Road, Ashby 0#345\n"),
+}
+
+
+def _written(templates: dict[str, tuple[str, ...]], copies: int = 12) -> list[tuple[str, str]]:
+    rng = random.Random(6)
+    return [(kind, re.sub("#", lambda m: str(rng.randrange(1, 90)), t)) for kind, listed in templates.items() for t in listed for _ in range(copies)]
+
+
+def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The least threshold from 0.5 on with that precision, on held-out rows; of none, the one with the best."""
+    options = []
+    for t in np.arange(0.5, 0.96, 0.05):
+        chosen = p >= t
+        right = y[chosen].mean() if chosen.any() else 0.0
+        if right >= precision:
+            return float(t)
+        options.append((right, -t))
+    return -max(options)[1]
+
+
+def _address_parts(value: str) -> list[str]:
+    """The street without its number, and the town of an address."""
+    parts = [x.strip().lower() for x in _value(value).split(",")]
+    return [re.sub(r"^\d+\s*", "", parts[0]) or parts[0], *parts[-1:] * (len(parts) > 1)]
+
+
+def fit_detector(texts: DataFrame, snippets: DataFrame, entities: DataFrame, sample_texts: int = 1000, precision: float = 0.95) -> Detector:
     """Fit on about ``sample_texts`` texts and as many snippets, those whose id has the least hash.
 
-    ``texts`` and ``snippets`` have (id, text). Labels of name candidates come from a join
-    of the sample's words with the names of all entities.
+    ``texts`` and ``snippets`` have (id, text). See the module for where labels come from.
     """
     spark = texts.sparkSession
+    vocabulary = corpus_vocabulary(texts.select("text").unionAll(snippets.select("text")).filter("text is not null"), entities)
 
     def least(df):
-        full = df.filter("text is not null and trim(text) <> ''")
-        part = min(1.0, sample_texts / max(1, full.count()))
-        chosen = full.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(part * (1 << 40))))
-        return [r["text"] for r in chosen.select("id", F.substring("text", 1, 100_000).alias("text")).orderBy("id").collect()]
+        part = min(1.0, sample_texts / max(1, df.select("id").count()))
+        chosen = df.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))) & F.col("text").isNotNull())
+        return [r["text"] for r in chosen.select("id", "text").orderBy("id").collect()]
 
     sample = least(texts) + least(snippets)
-    lower = Counter(w for t in (re.sub(r"[-‐\u00ad]\s*\n[>|\s]*", "", x) for x in sample) if t.lower() != t for w in set(re.findall(r"(?<![\w@.\-+])[a-zß-ÿ]{3,}(?![\w@])", t)))
-    # words that hardly ever stand elsewhere than at the head of a sentence
-    heads, inner = Counter(), Counter()
-    for t in sample:
-        for m in CAPITAL.finditer(t):
-            before = t[max(0, m.start() - 7) : m.start()]
-            named = re.search(r"\b(?:[A-Z]|Mr|Mrs|Ms|Dr|Prof|Capt)\.\s*$", before)
-            (heads if not named and re.search(r"(?:^|[.!?:;]|\n)[\s>|\-]*$", before) else inner)[m.group().lower()] += 1
-    opening = {w for w, n in heads.items() if n >= 5 and n >= 4 * inner[w] and w not in formal_names()}
-    vocabulary = Vocabulary(frozenset(w for w, n in lower.items() if n >= 2) | opening, trade_words(entities))
     candidates = [(t, *c) for t in sample for c in propose(t, vocabulary)]
-    words = sorted({w.lower() for t, kind, b, e, _ in candidates if kind == "name" for w in ANY_WORD.findall(t[b:e])})
+    after = lambda t, e: (m.group().lower() if (m := re.match(r" ([^\W\d_]+)", t[e : e + 40])) else "").strip()
+    words = {w.lower() for t, kind, b, e, _ in candidates if kind in ("name", "email") for w in ANY_WORD.findall(t[b:e])} | {after(t, e) for t, kind, b, e, _ in candidates if kind == "name"}
     names = entities.select(F.lower("entity_type").alias("type"), F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
     person = F.col("type").startswith("per")
     tokens = names.filter("type is not null").select(person.alias("person"), F.explode(F.expr(r"regexp_extract_all(lower(name), '[\\p{L}]+', 0)")).alias("word"))
-    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    asked = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
     known = {r["word"]: (r["p"], r["o"]) for r in tokens.join(F.broadcast(asked), "word").groupBy("word").agg(F.sum(F.col("person").cast("int")).alias("p"), F.sum((~F.col("person")).cast("int")).alias("o")).collect()}
+    users, towns = defaultdict(set), defaultdict(set)
+    for t, kind, b, e, _ in candidates:
+        if kind == "email":
+            user, _, domain = t[b:e].lower().partition("@")
+            users[domain].add(user)
+        elif kind == "address":
+            for part in _address_parts(t[b:e]):
+                towns[part].add(_value(t[b:e]).lower())
     x, y = [], []
     for t, kind, b, e, f in candidates:
-        before = t[max(0, b - 48) : b]
-        if kind in ("email", "address"):
-            label = True
-        elif kind == "name":
-            found = [known.get(w.lower(), (0, 0)) for w in ANY_WORD.findall(t[b:e]) if len(w) > 1]
+        before, value = t[max(0, b - 48) : b], t[b:e]
+        if kind == "name":
+            found = [known.get(w.lower(), (0, 0)) for w in ANY_WORD.findall(value) if len(w) > 1]
             if not found:
                 continue
-            label = all(p > o for p, o in found)
-            if not label and all(p == 0 and o == 0 for p, o in found) and f[8] not in (8,):
-                continue
-            if f[10] == 4:  # a firm word follows
-                label = False
-        else:
-            mark = ID_WORDS if kind == "id_number" else PHONE_WORDS
-            if mark.search(before):
-                label = True
-            elif OTHER_WORDS.search(before) or f[5]:
-                label = False
-            elif f[7] and kind == "phone":
-                label = True
-            elif f[6] in (2, 3) and kind == "id_number":
+            p, o = known.get(after(t, e), (0, 0))
+            if o > p or any(o > p for p, o in found):
+                label = False  # part of an organisation's or a place's name
+            elif all(p > o for p, o in found):
                 label = True
+            elif f[8] == PATTERNS.index("X") and all(p == o for p, o in found):
+                label = False  # a lone word that no person bears
             else:
                 continue
+        elif kind == "email":
+            user, _, domain = value.lower().partition("@")
+            if len(users[domain]) < 2 and not any(p > o for p, o in (known.get(w, (0, 0)) for w in ANY_WORD.findall(user))):
+                continue
+            label = True
+        elif kind == "address":
+            if max(len(towns[part]) for part in _address_parts(value)) < 2:
+                continue
+            label = True
+        elif (ID_WORDS if kind == "id_number" else PHONE_WORDS).search(before):
+            label = True
+        elif OTHER_WORDS.search(before) or (PHONE_WORDS if kind == "id_number" else ID_WORDS).search(before):
+            label = False
+        else:
+            continue
         x.append(f)
         y.append(label)
-    model = BoostedTrees().fit(np.array(x, np.int64).reshape(-1, FEATURES), np.array(y, bool))
-    thresholds = dict.fromkeys(KINDS, threshold)
-    return Detector(vocabulary, model, thresholds)
+    for templates in (SEEDS, DECOYS):
+        for kind, t in _written(templates):
+            for c in propose(t, vocabulary):
+                if c[0] == kind:
+                    x.append(c[3])
+                    y.append(templates is SEEDS)
+    x, y = np.array(x, np.int64).reshape(-1, FEATURES), np.array(y, bool)
+    mixed = np.random.default_rng(6).permutation(len(y))
+    x, y = x[mixed], y[mixed]
+    model = Scorer().fit(x, y, np.array([c[4] for c in candidates], np.int64).reshape(-1, FEATURES))
+    held = np.arange(len(y)) % 5 == 4
+    hx, hy = x[held], y[held]
+    # of numbers the held-out labels judge the format alone, as label words made them
+    p = model.format.predict(model._bare(hx)) if len(hx) else np.empty(0)
+    thresholds, report = {}, {}
+    for n, kind in enumerate(KINDS):
+        mine = hx[:, 0] == n
+        t = _threshold(p[mine], hy[mine], precision) if mine.sum() >= 20 else 0.5
+        chosen = p[mine] >= t
+        thresholds[kind] = t
+        report[kind] = (int(mine.sum()), float(hy[mine][chosen].mean()) if chosen.any() else 0.0, float(chosen[hy[mine]].mean()) if hy[mine].any() else 0.0)
+    return Detector(vocabulary, model, thresholds, report)
 
 
 def _places(own: str, text: str) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, scans
+from recordspark.llm import abuse, pii, scans
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -96,3 +96,58 @@ def test_abuse_paths_are_weighed_in_context():
 def test_abuse_disguises():
     for text in ("You filthy s.c.u.m.b.a.g", "you filthy sc*mb*g", "You are an 1d10t", "you s c u m b a g", "You shitheads", "Du Dreckskerl", "> You are a\n> worth-less leech"):
         assert abuse.score_text(text)[0] >= 0.5, text
+
+
+# 6
+
+
+def _fitted(spark):
+    rng = random.Random(6)
+    family = ["Stiteinpisk", "Krendovalm", "Ropatzund", "Veldorbrix", "Hamsturgen", "Bolwitrand"]
+    given = ["Leonard", "Margaret", "Gordon", "Imogen", "Walter", "Helena"]
+    people = [(f"{g} {f}", "person", None) for g in given for f in family] + [("Zuxamport Mining Trust", "org", None)]
+    e = spark.createDataFrame(people, "canonical_name string, entity_type string, aliases array<string>")
+    texts = []
+    for i in range(300):
+        g, f = rng.choice(given), rng.choice(family)
+        street = f"{rng.randrange(1, 999)} {rng.choice(['Kelp', 'Marl', 'Upper Marl', 'Dunmere'])} {rng.choice(['Street', 'Lane', 'Road'])}"
+        texts.append((i, f"The ledger was read. Mr. {f} said to call 312-44{i % 9}-{i + 1000} or {g.lower()}.{f.lower()}@mail{i % 5}.example. The house at {street}, Etbald QX1{i % 9} 4BF was let. {g} {f} paid on {1990 + i % 20}-05-0{i % 9 + 1}. SSN 61{i % 9}-34-5{i + 100} was lost; invoice 34{i % 9}-{i + 5000} was found."))
+    t = spark.createDataFrame(texts, "id long, text string")
+    return pii.fit_detector(t, t.limit(0), e, 300)
+
+
+def test_trees_reject_false_candidates(spark):
+    d = _fitted(spark)
+    text = "They paid 12@4.75 each, as Rule 12 Motion Court says; write to ann.lee@mail2.example, 12 Marl Lane, Etbald QX11 4BF."
+    proposed = {(k, text[b:e]) for k, b, e, _ in pii.propose(text, d.vocabulary)}
+    assert {("email", "12@4.75"), ("address", "12 Motion Court")} <= proposed
+    got = {(k, text[b:e]) for k, b, e in d.spans([text])[0]}
+    assert {("email", "ann.lee@mail2.example"), ("address", "12 Marl Lane, Etbald QX11 4BF")} <= got
+    assert not {("email", "12@4.75"), ("address", "12 Motion Court")} & got
+
+
+def test_numbers_of_any_range_are_told_by_format_and_surroundings(spark):
+    d = _fitted(spark)
+    text = "You can call 718-902-4471 on the day; SSN 402-11-7788; invoice 341-5011; made 2003-05-04."
+    assert {(k, text[b:e]) for k, b, e in d.spans([text])[0]} == {("phone", "718-902-4471"), ("id_number", "402-11-7788")}
+
+
+def test_thresholds_are_calibrated_and_reported(spark):
+    d = _fitted(spark)
+    assert set(d.thresholds) == set(d.report) == set(pii.KINDS)
+    assert all(d.report[k][1] >= 0.95 for k in ('email', 'phone', 'address')), d.report
+    assert pii._threshold(pii.np.array([0.6] * 10 + [0.9] * 10), pii.np.array([False] * 5 + [True] * 15), 0.95) > 0.6
+
+
+def test_vocabulary_counts_all_texts(spark):
+    e = spark.createDataFrame([("Ann Lee", "person", None)], "canonical_name string, entity_type string, aliases array<string>")
+    t = spark.createDataFrame([("The harbour was shut. Harbour dues fell.",)] * 40 + [("However it was. Then Mr. Marble saw Marble.",)] * 40 + [("A marble slab.",)], "text string")
+    common = pii.corpus_vocabulary(t, e).common
+    assert {"harbour", "however"} <= common and "marble" not in common
+
+
+def test_spans_of_a_long_text(spark):
+    d = _fitted(spark)
+    text = "word " * 20_000 + ("a" * 200 + "@mail1.example ") + "Gordon Veldorbrix came. " * 2_000
+    got = d.spans([text])[0]
+    assert got[0] == ("email", 100_000, 100_214) and len(got) == 2_001
