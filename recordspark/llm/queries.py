@@ -177,5 +177,5 @@ SQL: dict[str, str] = {
     "p4_found": _P4,
     "p7_found": _P7 + "SELECT entity_id_1, entity_id_2 FROM q",
     "p7_pairs": _P7
-    + """SELECT entity_id_1, entity_id_2, n12, n1, n2, n, round(n12 * n / (n1 * n2), 6) AS lift, round(greatest(0, 2 * ((CASE WHEN n::DOUBLE > 0 THEN n::DOUBLE * ln(n::DOUBLE) ELSE 0 END) - (CASE WHEN n1::DOUBLE > 0 THEN n1::DOUBLE * ln(n1::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n1)::DOUBLE > 0 THEN (n - n1)::DOUBLE * ln((n - n1)::DOUBLE) ELSE 0 END) - (CASE WHEN n2::DOUBLE > 0 THEN n2::DOUBLE * ln(n2::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n2)::DOUBLE > 0 THEN (n - n2)::DOUBLE * ln((n - n2)::DOUBLE) ELSE 0 END) + (CASE WHEN n12::DOUBLE > 0 THEN n12::DOUBLE * ln(n12::DOUBLE) ELSE 0 END) + (CASE WHEN (n1 - n12)::DOUBLE > 0 THEN (n1 - n12)::DOUBLE * ln((n1 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n2 - n12)::DOUBLE > 0 THEN (n2 - n12)::DOUBLE * ln((n2 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n - n1 - n2 + n12)::DOUBLE > 0 THEN (n - n1 - n2 + n12)::DOUBLE * ln((n - n1 - n2 + n12)::DOUBLE) ELSE 0 END))), 4) AS llr FROM q""",
+    + """SELECT *, llr >= 10.83 AS significant FROM (SELECT entity_id_1, entity_id_2, n12, n1, n2, n, round(n12 * n / (n1 * n2), 6) AS lift, round(greatest(0, 2 * ((CASE WHEN n::DOUBLE > 0 THEN n::DOUBLE * ln(n::DOUBLE) ELSE 0 END) - (CASE WHEN n1::DOUBLE > 0 THEN n1::DOUBLE * ln(n1::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n1)::DOUBLE > 0 THEN (n - n1)::DOUBLE * ln((n - n1)::DOUBLE) ELSE 0 END) - (CASE WHEN n2::DOUBLE > 0 THEN n2::DOUBLE * ln(n2::DOUBLE) ELSE 0 END) - (CASE WHEN (n - n2)::DOUBLE > 0 THEN (n - n2)::DOUBLE * ln((n - n2)::DOUBLE) ELSE 0 END) + (CASE WHEN n12::DOUBLE > 0 THEN n12::DOUBLE * ln(n12::DOUBLE) ELSE 0 END) + (CASE WHEN (n1 - n12)::DOUBLE > 0 THEN (n1 - n12)::DOUBLE * ln((n1 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n2 - n12)::DOUBLE > 0 THEN (n2 - n12)::DOUBLE * ln((n2 - n12)::DOUBLE) ELSE 0 END) + (CASE WHEN (n - n1 - n2 + n12)::DOUBLE > 0 THEN (n - n1 - n2 + n12)::DOUBLE * ln((n - n1 - n2 + n12)::DOUBLE) ELSE 0 END))), 4) AS llr FROM q) x""",
 }

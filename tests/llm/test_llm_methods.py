@@ -4,9 +4,10 @@ import random
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, pii, scans
+from recordspark.llm import abuse, cooccurrence, leakage, pii, scans
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -129,7 +130,7 @@ def test_trees_reject_false_candidates(spark):
 def test_numbers_of_any_range_are_told_by_format_and_surroundings(spark):
     d = _fitted(spark)
     text = "You can call 718-902-4471 on the day; SSN 402-11-7788; invoice 341-5011; made 2003-05-04."
-    assert {(k, text[b:e]) for k, b, e in d.spans([text])[0]} == {("phone", "718-902-4471"), ("id_number", "402-11-7788")}
+    assert {(k, text[b:e]) for k, b, e in d.spans([text])[0] if k != "name"} == {("phone", "718-902-4471"), ("id_number", "402-11-7788")}
 
 
 def test_thresholds_are_calibrated_and_reported(spark):
@@ -151,3 +152,71 @@ def test_spans_of_a_long_text(spark):
     text = "word " * 20_000 + ("a" * 200 + "@mail1.example ") + "Gordon Veldorbrix came. " * 2_000
     got = d.spans([text])[0]
     assert got[0] == ("email", 100_000, 100_214) and len(got) == 2_001
+
+
+# 8
+
+
+@pytest.mark.parametrize("how", ["lost", "added", "replaced"])
+@pytest.mark.parametrize("runs", [(6, 6, 6), (5, 8, 5), (7, 7, 6), (5, 5, 8), (2, 10, 6)])
+def test_every_span_with_two_changes_is_found(how, runs):
+    """Of a 40-word item a span in which two words differ; every layout leaves a run of 6 words, whose fingerprint is kept."""
+    rng = random.Random(str((how, runs)))
+    missed = 0
+    for trial in range(600):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        a, b, c = runs
+        took = sum(runs) + (2 if how != "added" else 0)
+        at = rng.randrange(0, 40 - max(took, 20) + 1)
+        out, i = [], at
+        for n, length in enumerate(runs):
+            out += item[i : i + length]
+            i += length
+            if n < 2 and how != "lost":
+                out.append("other")
+            if n < 2 and how != "added":
+                i += 1
+        if i - at < 20:
+            out += item[i : at + 20]
+        text = " ".join([f"x{k}" for k in range(8)] + out + [f"y{k}" for k in range(8)])
+        missed += [m[:2] for m in leakage.Index([(1, item)], 4, 3).search([text], 20)] != [(0, 1)]
+    assert missed == 0
+
+
+# 7
+
+
+@pytest.mark.parametrize("hot", [1e-4, 0.9])
+def test_stripes_of_hot_items_are_cut_and_merged(spark, hot):
+    rng = random.Random(7)
+    data = {(d, i) for d in range(400) for i in {1 if d % 3 == 0 else 2, *(rng.randrange(3, 40) for _ in range(5))}}
+    df = spark.createDataFrame(sorted(data), "d long, e long").repartition(7)
+    got = {(r["item_1"], r["item_2"]): r["n12"] for r in cooccurrence.cooccurrence(df, "d", "e", 2, 0.1, hot=hot).collect()}
+    docs = {}
+    for d, i in data:
+        docs.setdefault(d, set()).add(i)
+    want = {}
+    for items in docs.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    n1 = {i: sum(i in v for v in docs.values()) for i in range(40)}
+    assert got == {p: c for p, c in want.items() if c >= 2 and c * 400 >= 0.1 * n1[p[0]] * n1[p[1]]}
+
+
+def test_stripes_merge_across_batches():
+    import numpy as np
+    import pandas as pd
+
+    rows_ = [(1, 0, [5, 6], [1, 1]), (1, 0, [6, 7], [2, 1]), (1, 1, [8], [3]), (2, 0, [9], [1]), (2, 0, [9, 10], [4, 1])]
+    frames = [pd.DataFrame({"item": [i], "cut": [c], "neighbours": [np.array(n)], "counts": [np.array(k)]}) for i, c, n, k in rows_]
+    for batches in (frames, [pd.concat(frames, ignore_index=True)], [pd.concat(frames[:2], ignore_index=True), pd.concat(frames[2:], ignore_index=True)]):
+        got = pd.concat(list(cooccurrence._merged(iter(batches), 1)))
+        assert sorted(got.itertuples(index=False, name=None)) == [(1, 5, 1), (1, 6, 3), (1, 7, 1), (1, 8, 3), (2, 9, 5), (2, 10, 1)]
+
+
+def test_significance(spark):
+    data = [(d, i) for d in range(200) for i in ((1, 2) if d < 20 else (3, 4) if d < 26 else (5,))] + [(d, 3) for d in range(100, 112)] + [(d, 4) for d in range(120, 132)]
+    got = {(r["item_1"], r["item_2"]): r["significant"] for r in cooccurrence.cooccurrence(spark.createDataFrame(data, "d long, e long"), "d", "e", 5, 1.0, min_llr=60.0).collect()}
+    assert got == {(1, 2): True, (3, 4): False}
