@@ -1,17 +1,18 @@
 """Problem 2: texts cut off by field limits.
 
-Each text goes once through a structural check: a stack automaton over brackets,
-quotes and record syntax, broken byte sequences and escapes, marks left by a
-cut, and the last lines, from which page furniture is taken away. What single
-texts cannot show comes from the corpus, by aggregations only:
+Each text goes once through a structural check: a stack automaton over the whole text
+(quotation marks by language, brackets, tags, records with their strings and escapes),
+broken byte sequences and escapes, marks left by a cut, and the last lines, from which page
+furniture is taken away. What single texts cannot show comes from the corpus, by
+aggregations only:
 
 * field limits: lengths, in characters or bytes, that several different texts of
-  a source share and most of which lack their end;
+  a source share, far more than share the lengths near by, and most of which lack their end;
 * per-source baselines: where most texts of a source lack a terminator, its
-  absence is no evidence;
+  absence is no evidence; where texts that are otherwise complete leave a kind of mark
+  open, neither is that;
 * longer states: a text that is a true beginning of another text (neighbours in
-  sort order within one opening), of its own pages_text, or that has fewer words
-  than were counted;
+  sort order), of its own pages_text, or that has fewer words than were counted;
 * cut words: a last word that the corpus, by all words of all texts, knows only as
   the beginning of words.
 
@@ -35,6 +36,7 @@ from recordspark.session import cut
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 JVM_WORD = r"\p{L}+(?:['’\-]\p{L}+)*"
+LAST_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\Z")
 QUOTE_MARKS = re.compile(r"^(?:\s*[>|])+\s?")
 TRACE = re.compile(r"(?:\.{3,}|…|\[\s*(?:text|message|content|rest|remainder|output)?\s*(?:has been\s+)?(?:shortened|truncated|cut(?:\s+off)?|clipped|trimmed|incomplete|snip(?:ped)?|more|continued|\.{3}|…)\s*[^\]]{0,20}\]|<\s*(?:snip|truncated|more|cut)\s*>|\((?:truncated|cut off|continued|more|cont'?d)\)|--\s*more\s*--)\s*$", re.I)
 BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|Ã|â€?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&(?:[a-z]{2,7}|#\d{0,5})|=[0-9A-F]?|%[0-9A-F]?)\s*$")
@@ -48,7 +50,57 @@ HALF_ADDRESS = re.compile(r"@[\w\-]*$|@[\w\-]+\.$")
 FUNCTION = frozenset("the a an of was were by and to that had been in at for from which not is has or although because since while until before after as with on this there no under between if so who whom also whether".split() + "el la los las de del y que por para con una un le les des et une du dans pour der die das und den dem ein eine von mit im auf nach".split())
 NOT_WORDS = re.compile(r"\S*@\S*|\S*\d\S*")
 SIGNED = re.compile(r"\b(?:sincerely|regards|faithfully|respectfully(?: submitted)?|thanks|wishes|cheers)\b,?\s+[^.!?]{0,60}$|\bcc: \w+$|\benclosures? \(\d\)$|\bsheet total \d+\s+legs$|\bdated: [\w ,/\-]{6,20}$|\bsent (?:from my|via) [\w ]{3,40}$", re.I)
-CLOSERS = {")": "(", "]": "[", "}": "{"}
+MARK = re.compile(r'["“”„«»()\[\]{}]|</?([a-zA-Z][a-zA-Z0-9]{0,10})(?:\s[^<>]*)?(/?)>|<[a-zA-Z/][^<>]*$')
+OPENER = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+VOID = frozenset("br hr img meta input link wbr".split())
+
+
+def _last(stack: list[tuple[str, str]], mark: str) -> int:
+    return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == mark), -1)
+
+
+def left_open(text: str) -> list[str]:
+    """What a stack automaton over the whole text finds open at its end: quote, bracket, tag or record.
+
+    A mark closes the last one of its kind; closing marks without an opening one, as after the numbers of a
+    list, close nothing. In a record (a text that begins with a brace) strings hide all marks and a backslash the next sign.
+    """
+    if text.lstrip()[:1] == "{":
+        return ["record"] if _record_open(text) else []
+    stack: list[tuple[str, str]] = []
+    for m in MARK.finditer(text):
+        mark, before = m.group(), text[m.start() - 1 : m.start()]
+        if m[1] is not None:
+            name = m[1].lower()
+            if mark[1] == "/":
+                k = _last(stack, "<" + name)
+                if k >= 0:
+                    del stack[k:]  # with what was left open inside
+            elif not m[2] and name not in VOID:
+                stack.append(("tag", "<" + name))
+        elif mark[0] == "<":
+            if "@" not in mark and (m.end() - m.start() < 3 or "=" in mark or mark[1] == "/"):
+                stack.append(("tag", mark))
+        elif mark == '"':
+            k = _last(stack, mark)
+            if k >= 0:
+                del stack[k]
+            elif not before.isdigit():  # an inch mark opens nothing
+                stack.append(("quote", mark))
+        elif mark in "“„«":
+            k = _last(stack, "„") if mark == "“" else -1
+            if k >= 0:
+                del stack[k]
+            else:
+                stack.append(("quote", mark))
+        elif mark in "([{":
+            if mark != "(" or before not in (":", ";", "="):  # a face opens nothing
+                stack.append(("bracket", mark))
+        else:
+            k = _last(stack, OPENER[mark])
+            if k >= 0:
+                del stack[k]
+    return sorted({kind for kind, _ in stack})
 
 
 def _record_open(text: str) -> bool:
@@ -67,22 +119,11 @@ def _record_open(text: str) -> bool:
             string = True
         elif c in "{[":
             stack.append(c)
-        elif c in "}]" and stack and stack[-1] == CLOSERS[c]:
+        elif c in "}]" and stack and stack[-1] == OPENER[c]:
             stack.pop()
     return string or bool(stack)
 
 
-def _bracket_open(paragraph: str) -> bool:
-    """Whether the last paragraph of prose leaves a bracket open near its end."""
-    stack: list[int] = []
-    for i, c in enumerate(paragraph):
-        if c in "([{":
-            stack.append(i)
-        elif c in ")]}" and stack:
-            stack.pop()
-    return bool(stack) and len(paragraph) - stack[-1] < 60
-
-
 def _prose(line: str, folded: bool = False) -> bool:
     """Whether a line reads as running text rather than a name, title or label.
 
@@ -110,15 +151,21 @@ def _is_furniture(line: str, seen: dict[str, int]) -> bool:
 
 def ending(text: str) -> str:
     """'' for a complete text, else what shows the cut: trace, broken, open, word or terminator."""
+    why = last_lines(text)
+    return "open" if why in ("", "terminator") and left_open(text) else why
+
+
+def last_lines(text: str) -> str:
+    """What the end of a text shows, without the stack."""
     body = text.rstrip()
     if not body:
         return ""
-    if TRACE.search(body[-60:]):
+    if TRACE.search(body, body.rfind("\n") + 1):
         return "trace"
     if BROKEN.search(body[-10:]) and not body.endswith(("=-=", "==")):
         return "broken"
     if body.lstrip()[:1] == "{":
-        return "open" if _record_open(body) else ""
+        return ""
     lines = [QUOTE_MARKS.sub("", x).rstrip() for x in body.replace("\f", "\n").split("\n")]
     while lines and not lines[-1].strip():
         lines.pop()
@@ -131,7 +178,7 @@ def ending(text: str) -> str:
             seen[k] = seen.get(k, 0) + 1
     bare = len(lines)
     dropped = 0
-    while bare > 1 and dropped < 4 and _is_furniture(lines[bare - 1], seen):
+    while bare > 1 and _is_furniture(lines[bare - 1], seen):
         bare -= 1
         dropped += 1
         while bare > 1 and not lines[bare - 1].strip():
@@ -148,10 +195,10 @@ def ending(text: str) -> str:
     if TERMINATED.search(last):
         if ABBREVIATED.search(last) and not re.search(r"\b(?:St|Ave|Rd|Inc|Ltd|Co|Corp|Bros|Dept|Assn)\.$", last):
             return "terminator"
-        return "open" if _bracket_open(paragraph[-200:]) and paragraph.count("(") + paragraph.count("[") > 0 and _prose(last) and "(" in last and ")" not in last[last.rindex("(") :] else ""
+        return ""
     if HEADER.match(last) and not CLOSING.match(last):
         return "open"
-    if WROTE.search(last) and re.search(r"@|\d", paragraph[-120:]):
+    if WROTE.search(last) and re.search(r"@|\d", paragraph):
         return "open"
     if re.search(r"-{2,}\s*(?:original|forwarded)\b.*$", last, re.I):
         return "open"
@@ -164,13 +211,13 @@ def ending(text: str) -> str:
         return "terminator" if last.lower().startswith("comment") and (not value or _prose(value)) else ""
     if CONTACT.search(last) and not _prose(last, folded):
         return ""
-    if SIGNED.search(re.sub(r"\s+", " ", paragraph)[-120:]):
+    if SIGNED.search(re.sub(r"\s+", " ", paragraph)):
         return ""
     parts = re.split(r"(?<=[a-z0-9)'\"][.!?])\s+(?=[A-Z\-(])", last)
     if len(parts) > 1 and not re.search(r"\b(?:Dr|Mr|Mrs|Ms|Prof|Capt|St|No|P\.O|Inc|Ltd|Co|Ave|Rd|T|Tel|o)\.$", parts[-2]) and " | " not in parts[-1] and _prose(parts[-2] + " " + parts[-1], folded):
         return "terminator"
     if _prose(last, folded):
-        return "open" if _bracket_open(paragraph[-200:]) else "terminator"
+        return "terminator"
     before = lines[-2].strip() if len(lines) - begin > 1 else ""
     if before and _prose(before, folded) and not CONTACT.search(before) and not TERMINATED.search(before) and not SIGN_OFF.match(before):
         return "terminator"
@@ -179,7 +226,7 @@ def ending(text: str) -> str:
 
 def _unterminated_by_nature(text: str) -> bool:
     """A long text of one case or form in which hardly any sentence has a terminator."""
-    return len(text) > 400 and len(re.findall(r"[.!?](?:\s|$)", text)) * 600 < len(text)
+    return 400 + 600 * len(re.findall(r"[.!?](?:\s|$)", text)) < len(text)
 
 
 def _features(batches):
@@ -190,7 +237,7 @@ def _features(batches):
                 size = len(text.encode())
             except UnicodeEncodeError:
                 size = len(text.encode("utf-8", "replace"))
-            why = ending(text)
+            why, opened = last_lines(text), left_open(text)
             if why == "terminator" and _unterminated_by_nature(text):
                 why = ""
             fewer = counted is not None and counted == counted and counted - len(text.split()) >= 3
@@ -202,14 +249,15 @@ def _features(batches):
                     while a and not b.startswith(a) and len(a) > 20:
                         a = a[:-1] if b.startswith(a[:-1]) or b.startswith(a[:-12]) else ""
                     pages_longer = len(a) > 20 and len(b) - len(a) >= 10
-            tail = WORD.findall(text.rstrip()[-60:])
-            last = tail[-1].lower() if tail and text.rstrip()[-1].isalpha() else None
+            end = text.rstrip()
+            tail = LAST_WORD.search(end, len(end) - len(end.split(None)[-1]) if end else 0)
+            last = tail.group().lower() if tail else None
             digest = int.from_bytes(hashlib.blake2b(re.sub(r"[\W_]+", "", text).lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            rows.append((doc, why, bool(fewer), bool(pages_longer), len(text), size, last, digest))
-        yield pd.DataFrame(rows, columns=["document_id", "why", "fewer", "pages_longer", "chars", "bytes", "last", "digest"])
+            rows.append((doc, why, opened, bool(fewer), bool(pages_longer), len(text), size, last, digest))
+        yield pd.DataFrame(rows, columns=["document_id", "why", "opened", "fewer", "pages_longer", "chars", "bytes", "last", "digest"])
 
 
-FEATURES = "document_id bigint, why string, fewer boolean, pages_longer boolean, chars int, bytes int, last string, digest bigint"
+FEATURES = "document_id bigint, why string, opened array<string>, fewer boolean, pages_longer boolean, chars int, bytes int, last string, digest bigint"
 
 
 def source_name(source: Column) -> Column:
@@ -219,72 +267,81 @@ def source_name(source: Column) -> Column:
 
 
 def _beginnings(batches):
-    """Of one sorted range of (key, c, h): h of texts that begin the next one, and the range's first and last row."""
+    """Of one sorted range of (c, h): h of texts that begin the next one, and the range's first and last row."""
     from pyspark import TaskContext
 
     part, prev = TaskContext.get().partitionId(), None
     for pdf in batches:
         rows = []
-        for key, c, h in zip(pdf["key"].tolist(), pdf["c"].tolist(), pdf["h"].tolist()):
+        for c, h in zip(pdf["c"].tolist(), pdf["h"].tolist()):
             if prev is None:
-                rows.append((part, 0, key, c, h))
-            elif prev[0] == key and c.startswith(prev[1]):
-                rows.append((part, 1, None, None, prev[2]))
-            prev = (key, c, h)
-        yield pd.DataFrame(rows, columns=["part", "what", "key", "c", "h"])
+                rows.append((part, 0, c, h))
+            elif c.startswith(prev[0]):
+                rows.append((part, 1, None, prev[1]))
+            prev = (c, h)
+        yield pd.DataFrame(rows, columns=["part", "what", "c", "h"])
     if prev is not None:
-        yield pd.DataFrame([(part, 2, *prev)], columns=["part", "what", "key", "c", "h"])
+        yield pd.DataFrame([(part, 2, *prev)], columns=["part", "what", "c", "h"])
 
 
-def prefix_of_longer(texts: DataFrame, opening: int = 120) -> DataFrame:
-    """document_id of texts whose letters and digits begin, but do not end, another text.
+def prefix_of_longer(texts: DataFrame) -> DataFrame:
+    """document_id of texts whose letters and digits begin, but do not end, another text, whatever their length.
 
-    Different contents of one opening are range-sorted over the cluster; a beginning stands
-    right before a text it begins. Two rows per range are compared at the seams.
+    Different contents are range-sorted over the cluster; a beginning stands right before a text it begins.
+    At the seams of the ranges the last text of one is joined with the first of the next.
     """
-    content = texts.select("document_id", normalise(F.col("full_text")).alias("c")).filter(F.length("c") >= opening)
-    content = content.select("document_id", "c", F.xxhash64(F.substring("c", 1, opening)).alias("key"), F.md5("c").alias("h"))
-    # openings with several contents only: told by length, before any text moves
-    several = content.groupBy("key").agg(F.min(F.length("c")).alias("low"), F.max(F.length("c")).alias("high")).filter("low < high")
-    distinct = content.select("key", "c", "h").join(several.select("key"), "key", "left_semi").dropDuplicates(["key", "h"])
-    found = cut(distinct.repartitionByRange("key", "c").sortWithinPartitions("key", "c").mapInPandas(_beginnings, "part int, what int, key bigint, c string, h string"))
-    seams = found.filter("what <> 1")
-    w = W.orderBy("part", "what")
-    seams = seams.withColumns({"next_key": F.lead("key").over(w), "next_c": F.lead("c").over(w)}).filter("what = 2 and next_key = key and startswith(next_c, c)")
+    content = cut(texts.select("document_id", normalise(F.col("full_text")).alias("c")).filter("c <> ''").withColumn("h", F.md5("c")))
+    distinct = content.select("c", "h").dropDuplicates(["h"])
+    found = cut(distinct.repartitionByRange("c").sortWithinPartitions("c").mapInPandas(_beginnings, "part int, what int, c string, h string"))
+    parts = found.filter("what = 0").select("part").withColumn("next", F.lead("part").over(W.orderBy("part")))  # one small row per range
+    last, first = found.filter("what = 2").select("part", "c", "h"), found.filter("what = 0").select(F.col("part").alias("next"), F.col("c").alias("next_c"))
+    seams = last.join(parts.filter("next is not null"), "part").join(first, "next").filter("startswith(next_c, c)")
     begin = found.filter("what = 1").select("h").unionAll(seams.select("h")).distinct()
     return content.select("document_id", "h").join(begin, "h", "left_semi").select("document_id")
 
 
-def half_words(texts: DataFrame, elsewhere: float = 0.1, known: float = 3.0, least: int = 3) -> DataFrame:
+def half_words(texts: DataFrame, elsewhere: float = 0.1, known: float = 3.0) -> DataFrame:
     """Last words of texts that the corpus knows only as the beginning of words: rows (last).
 
     All words of all texts are counted. A last word is half if it stands elsewhere at most ``elsewhere``
-    times as often as at ends, and begins a word that occurs ``least`` times and ``known`` times as often.
+    times as often as at ends, and begins a word that occurs ``known`` times as often.
     """
     lower = F.lower(F.rtrim("full_text", F.lit(" \t\n\r\f\v")))
-    end = F.regexp_extract(F.substring(lower, -60, 60), rf"({JVM_WORD})$", 1)
+    end = F.regexp_extract(F.substring_index(F.regexp_replace(lower, r"\s", " "), " ", -1), rf"({JVM_WORD})$", 1)
     # last words are counted once more, under a mark
     words = texts.select(F.explode(F.concat(F.regexp_extract_all(lower, F.lit(JVM_WORD), F.lit(0)), F.array(F.concat(F.lit("$"), end)))).alias("word"))
     counts = cut(words.filter("word <> '$'").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    at_end = counts.filter("startswith(word, '$') and length(word) > 3").select(F.substring("word", 2, 60).alias("last"), F.col("n").alias("ends"))
+    at_end = counts.filter("startswith(word, '$') and length(word) > 3").select(F.expr("substring(word, 2)").alias("last"), F.col("n").alias("ends"))
     every = counts.filter("not startswith(word, '$')")
     asked = at_end.join(every.withColumnRenamed("word", "last"), "last").filter(F.col("n") - F.col("ends") <= elsewhere * F.col("ends"))
-    starts = every.filter((F.col("n") >= least) & (F.length("word") > 3)).select("word", F.col("n").alias("times"), F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("k"))
+    starts = every.filter(F.length("word") > 3).select("word", F.col("n").alias("times"), F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("k"))
     starts = starts.groupBy(F.expr("substring(word, 1, k)").alias("last")).agg(F.max("times").alias("times"))
     return asked.join(starts, "last").filter(F.col("times") >= known * F.col("n")).select("last")
 
 
-def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3) -> DataFrame:
-    """Rows (document_id, source, cut, evidence) of every text that is not blank."""
+def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3, spike: float = 4.0, usual: float = 0.05) -> DataFrame:
+    """Rows (document_id, source, cut, evidence) of every text that is not blank.
+
+    A limit is a length that ``least_at_limit`` texts of a source share and ``spike`` times as many as
+    each of the 64 lengths around it. A kind of open mark that ``usual`` of a source's otherwise complete texts show is no evidence.
+    """
     source = texts.select(F.col("document_id").cast("bigint").alias("document_id"), "full_text", "pages_text", "word_count").filter(r"document_id is not null and full_text rlike '\\S'")
     origin = documents.select(F.col("id").cast("bigint").alias("document_id"), source_name(F.col("data_set")).alias("source")).filter("document_id is not null").groupBy("document_id").agg(F.max("source").alias("source"))
     found = source.mapInPandas(_features, FEATURES).dropDuplicates(["document_id"])
     found = cut(found.join(origin, "document_id", "left").withColumn("source", F.coalesce("source", F.lit(""))))
 
-    lacking = (F.col("why") != "").cast("int")
+    complete = found.filter("why = ''").groupBy("source").agg(F.count(F.lit(1)).alias("complete"))
+    opened = found.filter("why = ''").select("source", F.explode("opened").alias("kind")).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+    usually = opened.join(complete, "source").filter(F.col("n") > usual * F.col("complete")).groupBy("source").agg(F.collect_set("kind").alias("usually"))
+    found = found.join(usually, "source", "left").withColumn("opened", F.array_except("opened", F.coalesce("usually", F.array().cast("array<string>")))).drop("usually")
+
+    lacking = ((F.col("why") != "") | (F.size("opened") > 0)).cast("int")
     once = found.groupBy("source", "digest").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"), F.max(lacking).alias("lacking"))
     lengths = once.select("source", "lacking", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("size")))).alias("l"))
-    limits = lengths.groupBy("source", "l.unit", "l.size").agg(F.count(F.lit(1)).alias("n"), F.avg("lacking").alias("share")).filter((F.col("n") >= least_at_limit) & (F.col("share") >= 0.6))
+    limits = lengths.groupBy("source", "l.unit", "l.size").agg(F.count(F.lit(1)).alias("n"), F.avg("lacking").alias("share"))
+    near = limits.groupBy("source", "unit", F.floor(F.col("size") / 64).alias("range")).agg(F.sum("n").alias("near"))
+    limits = limits.filter((F.col("n") >= least_at_limit) & (F.col("share") >= 0.6)).withColumn("range", F.floor(F.col("size") / 64)).join(near, ["source", "unit", "range"])
+    limits = limits.filter(F.col("n") * 63 >= spike * (F.col("near") - F.col("n")))
     at_c = limits.filter("unit = 'c'").select("source", F.col("size").alias("chars"), F.lit(True).alias("limit_c"))
     at_b = limits.filter("unit = 'b'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("limit_b"))
     baseline = found.groupBy("source").agg(F.avg((F.col("why") == "terminator").cast("double")).alias("unterminated"))
@@ -299,6 +356,7 @@ def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3) -> D
     evidence = F.concat_ws(
         ",",
         F.when((F.col("why") != "") & ((F.col("why") != "terminator") | ((F.col("unterminated") < 0.5) & (F.col("whole") == 0))), F.col("why")),
+        F.when(F.size("opened") > 0, "open"),
         F.when(F.col("limit_c") | F.col("limit_b"), "limit"),
         F.when(F.col("fewer"), "words"), F.when(F.col("pages_longer"), "pages"), F.when(F.col("begins_another"), "longer text"),
         F.when(F.col("half_word"), "half word"),

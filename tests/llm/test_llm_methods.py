@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, cooccurrence, leakage, pii, scans
+from recordspark.llm import abuse, cooccurrence, leakage, pii, scans, truncation
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -220,3 +220,32 @@ def test_significance(spark):
     data = [(d, i) for d in range(200) for i in ((1, 2) if d < 20 else (3, 4) if d < 26 else (5,))] + [(d, 3) for d in range(100, 112)] + [(d, 4) for d in range(120, 132)]
     got = {(r["item_1"], r["item_2"]): r["significant"] for r in cooccurrence.cooccurrence(spark.createDataFrame(data, "d long, e long"), "d", "e", 5, 1.0, min_llr=60.0).collect()}
     assert got == {(1, 2): True, (3, 4): False}
+
+
+# 2
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ('He said "we must go. Then they left.', ["quote"]), ("<div><b>All is told here.", ["tag"]), ("It was old (see the note. Then it ended.", ["bracket"]), ("„Das war es. Dann ging er.", ["quote"]), ("« Fini. Il partit.", ["quote"]), ('See <a href="x', ["tag"]),
+        ('He said "we go." Then (at 5") they left [all]. 1) one 2) two', []), ("„Das war es“, sagte er.", []), ("<div><p>All.</div> <br> x", []), ("Ann <a@b.example> wrote :( and x < y", []), ('{"A": "b (", "C": "d\\""}', []), ('{"A": "b", "C": ["d"', ["record"]), ("", []),
+    ],
+)
+def test_stack_automaton(text, kinds):
+    assert truncation.left_open(text) == kinds
+    if kinds:
+        assert truncation.ending(text) == "open"
+
+
+def test_open_marks_are_weighed_by_source(spark):
+    texts = [(i, f'Number {i} says "it was so. It ended.', None, None) for i in range(30)] + [(100, 'Here one says "it was so. It ended.', None, None)]
+    texts += [(101 + i, f"Complete text number {i} stands here.", None, None) for i in range(30)]
+    t = spark.createDataFrame(texts, "document_id long, full_text string, pages_text array<string>, word_count int")
+    d = spark.createDataFrame([(i, "a") for i in range(30)] + [(100 + i, "b") for i in range(31)], "id long, data_set string")
+    assert [r["document_id"] for r in truncation.judged(t, d).filter("cut").collect()] == [100]
+
+
+def test_short_beginnings(spark):
+    t = spark.createDataFrame([(1, "A box"), (2, "A box stood here."), (3, "Other words."), (4, "A box"), (5, "a BOX, stood HERE")], "document_id long, full_text string")
+    assert rows(truncation.prefix_of_longer(t)) == [(1,), (4,)]
