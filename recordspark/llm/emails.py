@@ -2,15 +2,18 @@
 
 Messages are winnowed into fingerprints of their words, kept in one inverted
 index over the corpus: per fingerprint the messages that hold it, their number,
-and how often it stands in a closing paragraph. The index serves two ends, both
+and how often it stands in a closing paragraph. The index serves three ends, all
 without thread identifiers:
 
 * recurring closings (legal notices, mottos): fingerprints that several messages
   share and that nearly always stand in a last paragraph; a closing paragraph
   largely made of them is no new text;
 * ancestors: a message whose own text stands nearly whole inside a longer one.
-  The span is verified by the share of fingerprints found, and all lines of it are
-  quoted matter even where nothing marks them.
+  Candidates come from the index, all holders of a fingerprint among them; the spans are
+  then verified word by word against the ancestor's text, and the lines that stand there
+  are quoted matter even where nothing marks them;
+* siblings: where the ancestor is not in the corpus, a paragraph that stands word for word
+  below the introducing lines of two messages of different openings is quoted in both.
 
 A message is looked up by its rarest fingerprints only, which loses no ancestor.
 Lines are then classified by ``split_message``: header, quoted or forwarded matter
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -74,13 +76,8 @@ def is_email(text: str, hint: str | None) -> bool:
     head = text.lstrip("﻿\n\r\t ")
     if not head or NO_MAIL.match(head):
         return False
-    lines = head[:600].split("\n")
-    headers = 0
-    for line in lines[:8]:
-        if not HEADER.match(line):
-            break
-        headers += 1
-    if headers >= 2:
+    lines = head.split("\n")
+    if len(lines) > 1 and HEADER.match(lines[0]) and HEADER.match(lines[1]):
         return True
     if STRICT_GREETING.match(lines[0]) or DASHED.match(lines[0]) or BEGIN.match(lines[0]) or ARROWS.match(lines[0]):
         return True
@@ -90,8 +87,9 @@ def is_email(text: str, hint: str | None) -> bool:
         return True
     if hint and ("mail" in hint.lower() or hint.lower().strip() == "correspondence"):
         return True
+    closing = [x for x in re.split(r"\n\s*\n", text.rstrip()) if x.strip()][-2:]
     # no header and no hint: signed off as mails are, or with a notice that only mails carry; letters open with a date
-    return not DATED.match(head) and (bool(MAIL_SIGN_OFF.search(text)) or bool(NOTICE.search(text[-400:])) or any(MOBILE.match(x) for x in text[-200:].split("\n")))
+    return not DATED.match(head) and (bool(MAIL_SIGN_OFF.search(text)) or any(NOTICE.search(x) for x in closing) or any(MOBILE.match(x) for p in closing for x in p.split("\n")))
 
 
 def _intro(lines: list[str], i: int) -> int:
@@ -291,8 +289,6 @@ def split_message(text: str, quoted: set[int] = frozenset(), closings: set[int]
         if re.match(r"\s*from\s*:", lines[i], re.I):
             names |= {w for w in WORD.findall(re.sub(r"<[^>]*>|\S+@\S+", " ", lines[i].split(":", 1)[1]).lower())}
         i += 1
-        if i - start > 12:
-            break
     if i - start == 1 and not re.match(r"\s*(?:from|to|date|sent|subject)\s*:", lines[start], re.I):
         i = start
     keep: list[int] = []
@@ -362,91 +358,126 @@ def _hash_words(found: list[str], cache: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches):
-    """Rows (fp, doc, whole, line, low, high, of, closing): fingerprints of the unquoted lines of emails.
+FPS = "fp bigint, document_id bigint, whole bigint, line int, opens int, closing boolean, paragraph boolean, opening bigint, below boolean"
+
+
+def _digest(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def unquoted(lines: list[str]) -> list[tuple[int, int, list[str]]]:
+    """(line, first line of its paragraph, words) of the lines below the header that nothing marks as quoted."""
+    out = []
+    last, head = 0, True
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        head = head and bool(HEADER.match(line))
+        if head or QUOTE.match(line):
+            continue
+        if i == 0 or not lines[i - 1].strip() or QUOTE.match(lines[i - 1]):
+            last = i
+        out.append((i, last, WORD.findall(line.lower())))
+    return out
+
+
+def unmarked_blocks(lines: list[str], begin: int) -> set[int]:
+    """Lines (from 0) from ``begin`` on below an introducing line that is followed by unmarked lines, up to the next marked one."""
+    out: set[int] = set()
+    inside, i = False, begin
+    while i < len(lines):
+        if not lines[i].strip():
+            i += 1
+        elif QUOTE.match(lines[i]):
+            inside, i = False, i + 1
+        elif k := _intro(lines, i):
+            i += k
+            j = next((j for j in range(i, len(lines)) if lines[j].strip()), len(lines))
+            inside = j < len(lines) and not QUOTE.match(lines[j])
+        else:
+            if inside:
+                out.add(i)
+            i += 1
+    return out
+
+
+def _fingerprints(batches, least_words: int = 8):
+    """Rows of FPS: the fingerprints of the unquoted lines of emails, and the digests of their paragraphs' words.
 
     ``whole`` is equal for copies of one message, which must not count as several. ``line`` is the
-    first line of the paragraph, ``of`` its number of fingerprints; ``low`` to ``high`` are the lines
-    of the fingerprint's own words.
+    first line of the paragraph, ``opens`` that of the message's first; ``opening`` is the digest of the first paragraph of
+    ``least_words``, ``below`` tells that the paragraph stands, unmarked, below an introducing line. Every email has a row without fingerprint.
     """
     from recordspark.llm.leakage import _grams
 
     cache: dict[str, int] = {}
     for pdf in batches:
-        fps, docs, wholes, at, lows, highs, ofs, close = [], [], [], [], [], [], [], []
+        rows = []
         for doc, text, hint in zip(pdf["document_id"].tolist(), pdf["full_text"].tolist(), pdf["hint"].tolist()):
             if not is_email(text, hint):
                 continue
+            found, owner, paragraphs = [], [], {}
             lines = text.split("\n")
-            found, owner = [], []
-            last = 0
-            head = True
-            for i, line in enumerate(lines):
-                if not line.strip():
-                    continue
-                head = head and bool(HEADER.match(line))
-                if head or QUOTE.match(line):
-                    continue
-                if i == 0 or not lines[i - 1].strip() or QUOTE.match(lines[i - 1]):
-                    last = i  # the paragraph the line stands in
-                w = WORD.findall(line.lower())
-                found += w
-                owner += [(i, last)] * len(w)
+            for _, line, words in unquoted(lines):
+                found += words
+                owner += [line] * len(words)
+                paragraphs.setdefault(line, []).extend(words)
             if len(cache) > 500_000:
                 cache.clear()
             h = _grams(_hash_words(found, cache), K)
-            p = winnow(h, WINDOW)
-            final = owner[-1][1] if owner else 0
-            whole = int.from_bytes(hashlib.blake2b(" ".join(found).encode(), digest_size=8).digest(), "little", signed=True)
-            kept = [x for x in p.tolist() if h[x] != TOP and owner[x][1] == owner[x + K - 1][1]]
-            of = Counter(line for line, *_ in {(owner[x][1], owner[x][0], owner[x + K - 1][0], h[x]) for x in kept})
-            for x in kept:
-                low, line = owner[x]
-                fps.append(int(h[x].view(np.int64)))
-                docs.append(doc)
-                wholes.append(whole)
-                at.append(line)
-                lows.append(low)
-                highs.append(owner[x + K - 1][0])
-                ofs.append(of[line])
-                close.append(line == final)
-        yield pd.DataFrame({"fp": fps, "document_id": docs, "whole": wholes, "line": at, "low": lows, "high": highs, "of": ofs, "closing": close}).astype({"fp": "int64", "document_id": "int64", "whole": "int64", "line": "int32", "low": "int32", "high": "int32", "of": "int32", "closing": "bool"})
-
-
-def quoted_lines(lines: list[str], spans: list[int]) -> set[int]:
-    """Lines (from 0) of recognised ancestors; ``spans`` holds (line, low, high, of) of each fingerprint, end to end.
-
-    A paragraph half of whose fingerprints are recognised is quoted to its end, of any other the recognised lines.
+            final, opens = (owner[-1], owner[0]) if owner else (0, 0)
+            whole = _digest(found)
+            long = {line: _digest(words) for line, words in paragraphs.items() if len(words) >= least_words}
+            opening = long[min(long)] if long else 0
+            block = unmarked_blocks(lines, opens) if len(long) > 1 else set()
+            rows.append((None, doc, whole, None, opens, False, False, 0, False))
+            kept = {(int(h[x].view(np.int64)), owner[x]) for x in winnow(h, WINDOW).tolist() if h[x] != TOP and owner[x] == owner[x + K - 1]}
+            rows += [(fp, doc, whole, line, opens, line == final, False, 0, False) for fp, line in kept]
+            rows += [(digest, doc, whole, line, opens, line == final, True, opening, line in block) for line, digest in long.items()]
+        out = pd.DataFrame(rows, columns=["fp", "document_id", "whole", "line", "opens", "closing", "paragraph", "opening", "below"])
+        yield out.astype({"fp": "Int64", "document_id": "int64", "whole": "int64", "line": "Int32", "opens": "int32", "closing": "bool", "paragraph": "bool", "opening": "int64", "below": "bool"})
+
+
+def verified_lines(text: str, ancestors: list[str]) -> set[int]:
+    """Lines (from 0) whose words stand, word by word, in the text of an ancestor.
+
+    A paragraph that stands there as a whole is quoted with all its lines; of any other those lines of
+    ``K`` words or more that do.
     """
-    paragraphs: dict[int, list[tuple[int, int, int]]] = {}
-    for line, low, high, of in zip(*(spans[k::4] for k in range(4))):
-        paragraphs.setdefault(line, []).append((low, high, of))
+    own = [" " + " ".join(w for _, _, words in unquoted(a.split("\n")) for w in words) + " " for a in ancestors]
+    paragraphs: dict[int, list[tuple[int, list[str]]]] = {}
+    for i, line, words in unquoted(text.split("\n")):
+        paragraphs.setdefault(line, []).append((i, words))
     out: set[int] = set()
-    for line, hits in paragraphs.items():
-        if 2 * len(hits) >= hits[0][2]:
-            end = line + 1
-            while end < len(lines) and lines[end].strip() and not QUOTE.match(lines[end]):
-                end += 1
-            out.update(range(line, end))
+    for part in paragraphs.values():
+        span = [w for _, words in part for w in words]
+        if span and any(f" {' '.join(span)} " in a for a in own):
+            out |= {i for i, _ in part}
         else:
-            out.update(i for low, high, _ in hits for i in range(low, high + 1))
+            out |= {i for i, words in part if len(words) >= K and any(f" {' '.join(words)} " in a for a in own)}
     return out
 
 
+def paragraph_lines(text: str, firsts: set[int]) -> set[int]:
+    """All lines of the paragraphs that begin at the given lines."""
+    return {i for i, line, _ in unquoted(text.split("\n")) if line in firsts}
+
+
 def _classify(batches):
     for pdf in batches:
         docs, numbers = [], []
-        for doc, text, hint, quoted, closings in zip(pdf["document_id"].tolist(), pdf["full_text"].tolist(), pdf["hint"].tolist(), pdf["quoted"], pdf["closings"]):
-            if not is_email(text, hint):
-                continue
-            lines = split_message(text, set() if quoted is None else quoted_lines(text.split("\n"), list(quoted)), set() if closings is None else set(closings))
+        for doc, text, ancestors, siblings, closings in zip(pdf["document_id"].tolist(), pdf["full_text"].tolist(), pdf["ancestors"], pdf["siblings"], pdf["closings"]):
+            quoted = set() if ancestors is None else verified_lines(text, list(ancestors))
+            if siblings is not None:
+                quoted |= paragraph_lines(text, set(siblings))
+            lines = split_message(text, quoted, set() if closings is None else set(closings))
             docs += [doc] * len(lines)
             numbers += lines
         yield pd.DataFrame({"document_id": docs, "line_no": numbers}).astype({"document_id": "int64", "line_no": "int32"})
 
 
-def ancestors_of(fps: DataFrame, hits: DataFrame, share: float = 0.7, longer: float = 1.3, least: int = 4) -> DataFrame:
-    """Rows (document_id, spans): where the text of any other message stands nearly whole inside a longer one.
+def ancestors_of(fps: DataFrame, hits: DataFrame, share: float = 0.7, longer: float = 1.3, least: int = 2) -> DataFrame:
+    """Rows (document_id, first): ``first`` is a message whose text stands nearly whole inside the longer ``document_id``.
 
     All holders of a fingerprint are looked at. A message of which ``share`` stands in another shares
     with it one of its rarest fingerprints at least, as many as may be missing and one more, so only
@@ -460,41 +491,55 @@ def ancestors_of(fps: DataFrame, hits: DataFrame, share: float = 0.7, longer: fl
     held = own.join(one, "document_id", "left_semi").withColumns({"usable": F.count(F.lit(1)).over(w), "rank": F.row_number().over(w.orderBy("n", "fp"))}).filter(F.col("usable") >= needed)
     rarest = held.filter(F.col("rank") <= F.col("usable") - needed + 1).select("fp", F.col("document_id").alias("first"), F.col("total").alias("first_total"))
     pairs = own.select("fp", "document_id", "total").join(rarest, "fp").filter((F.col("document_id") != F.col("first")) & (F.col("total") >= longer * F.col("first_total"))).select("document_id", "first", "first_total").distinct()
-    common = pairs.join(held.select(F.col("document_id").alias("first"), "fp"), "first").join(hits.select("document_id", "fp", "line", "low", "high", "of"), ["document_id", "fp"])
-    place = F.struct("line", "low", "high", "of", "fp")
-    shared = common.groupBy("document_id", "first", "first_total").agg(F.count_distinct("fp").alias("common"), F.min("line").alias("begins"), F.collect_set(place).alias("places"))
-    opens = fps.groupBy("document_id").agg(F.min("line").alias("opens"))
-    shared = shared.filter((F.col("common") >= least) & (F.col("common") >= share * F.col("first_total"))).join(opens, "document_id").filter("begins > opens")
-    places = shared.select("document_id", F.explode("places").alias("p")).distinct()
-    return places.groupBy("document_id").agg(F.flatten(F.collect_list(F.array("p.line", "p.low", "p.high", "p.of"))).alias("quoted"))
-
-
-def email_index(messages: DataFrame) -> DataFrame:
-    """Rows (document_id, quoted, closings): places recognised over the corpus, see ``quoted_lines``, and first lines of closings."""
-    fps = cut(messages.mapInPandas(_fingerprints, "fp bigint, document_id bigint, whole bigint, line int, low int, high int, of int, closing boolean").distinct())
+    common = pairs.join(held.select(F.col("document_id").alias("first"), "fp"), "first").join(hits.select("document_id", "fp", "line", "opens"), ["document_id", "fp"])
+    shared = common.groupBy("document_id", "first", "first_total").agg(F.count_distinct("fp").alias("common"), F.min("line").alias("begins"), F.min("opens").alias("opens"))
+    return shared.filter((F.col("common") >= least) & (F.col("common") >= share * F.col("first_total")) & (F.col("begins") > F.col("opens"))).select("document_id", "first")
+
+
+def siblings_of(paragraphs: DataFrame, recurring: int = 5) -> DataFrame:
+    """Rows (document_id, siblings): first lines of the paragraphs that stand word for word below an introducing line of another message too, unmarked in both.
+
+    Messages of one opening are copies, no siblings. Paragraphs that mostly close messages are no quotations.
+    """
+    later = paragraphs.filter("below and line > opens and fp <> opening")
+    held = later.groupBy("fp", "opening").agg(F.max(F.col("closing").cast("int")).alias("closing")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.sum("closing").alias("n_closing"))
+    held = held.filter((F.col("n") > 1) & ((F.col("n") < recurring) | (F.col("n_closing") < 0.6 * F.col("n")))).select("fp")
+    return later.join(held, "fp").groupBy("document_id").agg(F.collect_set("line").alias("siblings"))
+
+
+def email_index(messages: DataFrame, recurring: int = 5) -> DataFrame:
+    """Rows (document_id, firsts, siblings, closings), one for every email.
+
+    ``firsts`` are its ancestors, ``siblings`` and ``closings`` first lines of quoted and of closing paragraphs.
+    A closing is one that ``recurring`` messages share.
+    """
+    every = cut(messages.mapInPandas(_fingerprints, FPS).distinct())
+    mails = every.select("document_id").distinct()
+    fps = every.filter("fp is not null and not paragraph")
     once = fps.groupBy("fp", "whole").agg(F.max(F.col("closing").cast("int")).alias("closing"))
     index = once.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.sum("closing").alias("n_closing")).filter("n > 1")
     hits = cut(fps.join(index, "fp").drop("whole"))
-    closings = (
-        hits.filter("closing and n >= 5 and n_closing >= 0.6 * n").groupBy("document_id", "line").agg(F.count_distinct("fp").alias("hit"))
-    )
+    frequent = (F.col("n") >= recurring) & (F.col("n_closing") >= 0.6 * F.col("n"))
+    closings = hits.filter(F.col("closing") & frequent).groupBy("document_id", "line").agg(F.count_distinct("fp").alias("hit"))
     # all fingerprints of that paragraph, for the share
     whole = fps.filter("closing").groupBy("document_id", "line").agg(F.count_distinct("fp").alias("of"))
     closings = closings.join(whole, ["document_id", "line"]).filter("hit >= 0.5 * of").groupBy("document_id").agg(F.collect_set("line").alias("closings"))
-    ancestors = ancestors_of(fps, hits.filter("n < 5 or n_closing < 0.6 * n"))
-    return ancestors.join(closings, "document_id", "full_outer")
+    ancestors = ancestors_of(fps, hits.filter(~frequent)).groupBy("document_id").agg(F.collect_set("first").alias("firsts"))
+    siblings = siblings_of(every.filter("paragraph"), recurring)
+    return mails.join(ancestors, "document_id", "left").join(siblings, "document_id", "left").join(closings, "document_id", "left")
 
 
 def new_lines(texts: DataFrame, types: DataFrame) -> DataFrame:
     """Rows (document_id, line_no) of newly written lines; ``types`` has (id, document_type)."""
     source = texts.select(F.col("document_id").cast("bigint").alias("document_id"), "full_text").filter("document_id is not null and trim(full_text) <> ''")
     hints = types.select(F.col("id").cast("bigint").alias("document_id"), F.col("document_type").alias("hint")).filter("document_id is not null").groupBy("document_id").agg(F.max("hint").alias("hint"))
-    # cheap first look, so that texts that cannot be emails are not shuffled
-    source = source.join(hints, "document_id", "left")
-    look = F.col("full_text").rlike(r"(?im)^\W*(?:from|to|sent|date)\W*:|^\s*(?:hi|hello|hey|dear|good|all|team)\b|^>|>>>$|wrote:|forwarded message|original message|^\s*(?:(?:kind|best|warm|many)\s+)?(?:regards|best|wishes|cheers|thanks)\s*[,.]?\s*$|intended solely|disclaimer|confidential|consider the environment|no liability|tax advice|sent (?:from|via)") | F.lower("hint").contains("mail") | (F.lower("hint") == "correspondence")
-    messages = source.filter(look)
-    found = email_index(messages)
-    return messages.join(found, "document_id", "left").mapInPandas(_classify, "document_id bigint, line_no int").distinct()
+    found = cut(email_index(source.join(hints, "document_id", "left")))
+    # the texts of the ancestors go to the messages that quote them
+    quoting = found.select("document_id", F.explode("firsts").alias("first"))
+    quoted = source.select(F.col("document_id").alias("first"), F.col("full_text").alias("ancestor")).join(quoting.select("first").distinct(), "first", "left_semi").join(quoting, "first")
+    quoted = quoted.groupBy("document_id").agg(F.collect_set("ancestor").alias("ancestors"))
+    mails = source.join(found.select("document_id", "siblings", "closings"), "document_id").join(quoted, "document_id", "left")
+    return mails.mapInPandas(_classify, "document_id bigint, line_no int").distinct()
 
 
 def new_text(texts: DataFrame, types: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, cooccurrence, leakage, pii, scans, truncation
+from recordspark.llm import abuse, cooccurrence, emails, leakage, pii, scans, truncation
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -249,3 +249,44 @@ def test_open_marks_are_weighed_by_source(spark):
 def test_short_beginnings(spark):
     t = spark.createDataFrame([(1, "A box"), (2, "A box stood here."), (3, "Other words."), (4, "A box"), (5, "a BOX, stood HERE")], "document_id long, full_text string")
     assert rows(truncation.prefix_of_longer(t)) == [(1,), (4,)]
+
+
+# 3
+
+
+def _words(rng, n=9):
+    return " ".join(rng.choice("ledger harbour window garden yellow marble copper ticket winter summer doctor bridge castle engine forest island jacket kettle ladder magnet".split()) for _ in range(n))
+
+
+@pytest.mark.parametrize(("header", "greeting"), [("De: Luc\nÀ: Ann\nObjet: x", "Bonjour Luc,"), ("Von: Luc\nAn: Ann\nBetreff: x", "Hallo Luc,")])
+def test_mails_of_other_languages(spark, header, greeting):
+    t = spark.createDataFrame([(1, f"{header}\n\n{greeting}\n\nLes mots neufs sont ici.")], "document_id long, full_text string")
+    assert [r["line_no"] for r in emails.new_lines(t, spark.createDataFrame([], "id long, document_type string")).orderBy("line_no").collect()] == [5, 7]
+
+
+def test_ancestor_spans_are_verified_word_by_word():
+    rng = random.Random(3)
+    old = [_words(rng, 20) for _ in range(3)]
+    changed = old[1].split()
+    changed[10] = "altered"
+    text = "From: A\nTo: B\n\n" + "\n\n".join([_words(rng, 12), old[0], " ".join(changed), " ".join(old[2].split()[:9]) + "\n" + " ".join(old[2].split()[9:])])
+    quoted = emails.verified_lines(text, ["From: B\nTo: A\n\n" + "\n\n".join(old)])
+    assert quoted == {5, 9, 10}  # the paragraph with another word is not the ancestor's
+
+
+def test_siblings_show_a_quotation_without_ancestor(spark):
+    rng = random.Random(4)
+    old = [_words(rng, 14) for _ in range(4)]
+    text = lambda top, end: "From: A\nTo: B\n\n" + top + "\n\n-----Original Message-----\nFrom: C\nTo: A\nSubject: y\n\n" + "\n\n".join(old) + "\n\n" + end + "\n"
+    a, b = text(_words(rng, 12), _words(rng, 12)), text(_words(rng, 12), _words(rng, 12))
+    t = spark.createDataFrame([(1, a), (2, b), (3, b.replace("\n\n", "\n \n"))], "document_id long, full_text string")
+    index = {r["document_id"]: sorted(r["siblings"] or []) for r in emails.email_index(t.withColumn("hint", F.lit("email"))).collect()}
+    lines = a.split("\n")
+    assert [lines[i] for i in index[1]] == old and index[2] == index[1] == index[3]
+
+
+def test_long_headers_and_notices():
+    head = "From: Ann Lee <a@b.example>\n" + "".join(f"Cc: person {i} with a rather long name <p{i}@office.example>\n" for i in range(40)) + "Subject: x\n"
+    text = head + "\nHello Bo,\n\nNew words.\n"
+    assert emails.is_email(text, None) and [text.split("\n")[i - 1] for i in emails.split_message(text)] == ["Hello Bo,", "New words."]
+    assert emails.is_email("Some words.\n\nThis message is intended solely for the addressee" + " and others" * 60 + ".", None)

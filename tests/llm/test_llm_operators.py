@@ -210,11 +210,6 @@ def test_ancestors_of_several_lines_and_late_arrival(spark):
     assert got == {1: "\n".join(other), 2: "\n".join(mine), 9: "\n".join(old)}
 
 
-def test_quoted_lines():
-    lines = ["Own words.", "", "old one", "old two", "", "mine", "old three", "mine too"]
-    assert emails.quoted_lines(lines, [2, 2, 2, 2, 5, 6, 6, 3]) == {2, 3, 6}
-
-
 # 4
 
 
