@@ -7,15 +7,16 @@ written abbreviations and nicknames are taken into account there. Then
 
 1. rows with one and the same full form are linked (stars around the least id);
 2. full forms are blocked by the phonetic codes of their sorted tokens, the rare
-   token's code also with any one letter left out, and compared by Jaro-Winkler and
-   edit distance; large blocks are cut, and their parts compared by different tasks;
+   token's code also with any one letter left out, and compared token by token: Jaro-Winkler
+   decides, given names that the nickname table makes equal being equal; large blocks are
+   cut, and their parts compared by different tasks;
 3. a row that has weak forms only (initials, family name alone, shortened firm) is
    linked if exactly one cluster fits;
 and accepted links are clustered by connected components.
 
 People who only share a family name and organisations that only share the rare word
-are not linked: given name or trade must agree as well. Two forms that several rows
-bear each are two names, however alike. Null and empty names and rows without any
+are not linked: given name or trade must agree as well. How many rows bear a form plays no
+part. Null and empty names and rows without any
 parsed name link nothing. Repeated rows of an id count once.
 """
 
@@ -41,6 +42,7 @@ LEGAL = {
 PLACES = {"airfield": "afd airf", "county": "co cty", "island": "isl is", "point": "pt", "estate": "est", "valley": "vly", "harbour": "hbr harb harbor", "terminal": "term tml", "airport": "apt", "bay": "", "beach": "bch", "ranch": "", "street": "st", "square": "sq", "city": "", "river": "", "mountain": "mt"}
 LITTLE = frozenset("the of and de la le uk us usa plc llc gmbh".split())
 WORD = re.compile(r"[a-z]+(?:['’][a-z]+)*")
+LIKE = 0.88  # likeness from which two forms are one name
 
 
 def distance_one(a: str, b: str) -> bool:
@@ -309,17 +311,36 @@ def trade_words(entities: DataFrame, share: float = 1 / 1000, least: int = 3) ->
     return frozenset(r["word"] for r in words.collect())
 
 
+def likeness(rare: str, other: str, rare2: str, other2: str, known: frozenset[str] = frozenset()) -> float:
+    """Likeness of two full forms from 0 to 1: the lesser of that of their tokens, aligned.
+
+    Two different words that are known both (given names, trades) are different. A word of under five letters has
+    hardly anything to tell a slip by, so its likeness counts half as much short of 1 again.
+    """
+    out = 1.0
+    for a, b, listed in ((other, other2, True), (rare, rare2, False)):
+        if a == b:
+            continue
+        if listed and all(w in known or w in formal_names() for w in (a, b)):
+            return 0.0
+        j = jaro_winkler(a, b)
+        out = min(out, j if min(len(a), len(b)) >= 5 else 1 - 1.5 * (1 - j))
+        if out < LIKE:
+            break
+    return out
+
+
 def _blocks(batches):
     for pdf in batches:
         rows = []
-        for key, cls, rare, other, n in zip(pdf["key"].tolist(), pdf["cls"].tolist(), pdf["rare"].tolist(), pdf["other"].tolist(), pdf["n"].tolist()):
+        for key, cls, rare, other in zip(pdf["key"].tolist(), pdf["cls"].tolist(), pdf["rare"].tolist(), pdf["other"].tolist()):
             code = phonetic(rare)
             for c in {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))} if len(code) > 2 else {code}:
-                rows.append(("|".join([cls, *sorted([c, phonetic(other)])]), key, rare, other, n))
-        yield pd.DataFrame(rows, columns=["block", "key", "rare", "other", "n"])
+                rows.append(("|".join([cls, *sorted([c, phonetic(other)])]), key, rare, other))
+        yield pd.DataFrame(rows, columns=["block", "key", "rare", "other"])
 
 
-def _compare(batches):
+def _compare(batches, known: frozenset[str]):
     """Accepted pairs (a, b) of the keys of each block."""
     for pdf in batches:
         rows = set()
@@ -327,23 +348,21 @@ def _compare(batches):
             left = [x for x in left]
             pairs = ((x, y) for i, x in enumerate(left) for y in left[i + 1 :]) if right is None or not len(right) else ((x, y) for x in left for y in right)
             for x, y in pairs:
-                if x["other"] != y["other"] or x["key"] == y["key"] or min(x["n"], y["n"]) > 1:
-                    continue
-                if distance_one(x["rare"], y["rare"]) and jaro_winkler(x["rare"], y["rare"]) >= 0.88 and min(len(x["rare"]), len(y["rare"])) >= 5:
+                if x["key"] != y["key"] and likeness(x["rare"], x["other"], y["rare"], y["other"], known) >= LIKE:
                     rows.add((min(x["key"], y["key"]), max(x["key"], y["key"])))
         yield pd.DataFrame(sorted(rows), columns=["a", "b"])
 
 
-def like_keys(keys: DataFrame, block_size: int = 300) -> DataFrame:
-    """Accepted pairs (a, b) among full forms (key, cls, rare, other, n)."""
-    placed = cut(keys.mapInPandas(_blocks, "block string, key string, rare string, other string, n bigint"))
+def like_keys(keys: DataFrame, block_size: int = 300, known: frozenset[str] = frozenset()) -> DataFrame:
+    """Accepted pairs (a, b) among full forms (key, cls, rare, other); ``known`` are the trades."""
+    placed = cut(keys.mapInPandas(_blocks, "block string, key string, rare string, other string"))
     sizes = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("parts"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     placed = placed.join(sizes.select("block", "parts"), "block").withColumn("p", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own, item = F.col("p") <= F.col("q"), F.struct("key", "rare", "other", "n")
+    own, item = F.col("p") <= F.col("q"), F.struct("key", "rare", "other")
     parts = placed.groupBy("block", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2")).agg(F.collect_list(F.when(own, item)).alias("lefts"), F.collect_list(F.when(~own, item)).alias("rights"))
     parts = parts.filter((F.col("p1") == F.col("p2")) | ((F.size("lefts") > 0) & (F.size("rights") > 0)))
-    return parts.select("lefts", "rights").mapInPandas(_compare, "a string, b string").distinct()
+    return parts.select("lefts", "rights").mapInPandas(lambda it: _compare(it, known), "a string, b string").distinct()
 
 
 def _fits(other: F.Column, third: F.Column, o: F.Column, t: F.Column) -> F.Column:
@@ -361,10 +380,10 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     # of a firm's full form the legal form only keeps different firms apart; one without it takes its trade's
     key = F.concat_ws("|", "cls", "rare", "other")
     full = forms.filter("full").select("entity_id", "cls", "rare", "other", "third", key.alias("key"))
-    stars = full.groupBy("key").agg(F.min("entity_id").alias("first"), F.count_distinct("entity_id").alias("n"))
+    stars = full.groupBy("key").agg(F.min("entity_id").alias("first"))
     exact = full.select("key", "entity_id").distinct().join(stars, "key").filter("entity_id <> first").select(F.col("first").alias("src"), F.col("entity_id").alias("dst"))
-    keys = full.select("key", "cls", "rare", "other").distinct().join(stars.select("key", "n"), "key")
-    near = like_keys(keys).join(stars.select(F.col("key").alias("a"), F.col("first").alias("src")), "a").join(stars.select(F.col("key").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
+    keys = full.select("key", "cls", "rare", "other").distinct()
+    near = like_keys(keys, known=trades).join(stars.select(F.col("key").alias("a"), F.col("first").alias("src")), "a").join(stars.select(F.col("key").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
     strong = exact.unionAll(near).filter("src <> dst")  # the clustering makes it distinct and cuts its lineage
     clusters = connected_components(strong).withColumnsRenamed({"node": "entity_id", "component": "cluster"})
 

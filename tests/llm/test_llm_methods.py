@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, cooccurrence, emails, leakage, pii, scans, truncation
+from recordspark.llm import abuse, cooccurrence, emails, leakage, names, pii, scans, truncation
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -290,3 +290,39 @@ def test_long_headers_and_notices():
     text = head + "\nHello Bo,\n\nNew words.\n"
     assert emails.is_email(text, None) and [text.split("\n")[i - 1] for i in emails.split_message(text)] == ["Hello Bo,", "New words."]
     assert emails.is_email("Some words.\n\nThis message is intended solely for the addressee" + " and others" * 60 + ".", None)
+
+
+# 1
+
+
+def test_jaro_winkler_decides():
+    like = names.likeness
+    assert like("katherine", "leonard", "kathryne", "leonard") >= names.LIKE
+    assert like("stiteinpisk", "leonard", "stitenpisks", "leonard") >= names.LIKE  # two slips
+    assert like("stiteinpisk", "dorothela", "stiteinpisk", "dorothhela") >= names.LIKE  # a given name the table does not know
+    assert like("stiteinpisk", "mary", "stiteinpisk", "mark") < names.LIKE
+    assert like("stiteinpisk", "eleanor", "stiteinpisk", "leonard") == 0.0  # two names it knows
+    assert like("wovanfal", "mining", "wovanfal", "minting", frozenset(["mining", "minting"])) == 0.0
+    assert like("krendovalm", "leonard", "kranduvelm", "leonard") < names.LIKE < 1
+    assert like("lee", "ann", "leo", "ann") < names.LIKE
+
+
+def test_recall_does_not_fall_with_repeated_rows(spark):
+    rng = random.Random(1)
+    syllables = "sti tein pisk kren do valm ro patz und vel bor brix ham stur gen bol wit rand zu xam port".split()
+    given = ["Leonard", "Margaret", "Gordon", "Imogen", "Walter", "Helena"]
+    people, truth = [], {}
+    for k in range(40):
+        family = "".join(rng.choice(syllables) for _ in range(4)).capitalize()
+        at = rng.randrange(2, len(family) - 1)
+        slip = family[:at] + family[at + 1] + family[at] + family[at + 2 :]
+        for form, copies in ((family, 3), (slip, 1)):
+            people += [(f"{given[k % 6]} {form}", k)] * copies
+    for times in (1, 10):
+        e = [(i, name, "person", None, None) for i, (name, _) in enumerate(people * times)]
+        got = dict(rows(names.same_entities(spark.createDataFrame(e, "id long, canonical_name string, entity_type string, first_name string, aliases array<string>"), spark.createDataFrame([], "entity_id long, name_as_appears string"))))
+        groups = {}
+        for i, (_, k) in enumerate(people * times):
+            groups.setdefault(k, []).append(i)
+        right = sum(got.get(i) == min(g) for g in groups.values() for i in g)
+        assert right >= 0.97 * len(e), (times, right, len(e))
