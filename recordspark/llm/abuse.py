@@ -57,6 +57,7 @@ CLAUSES: tuple[tuple[str, float, str], ...] = (
     ("insult", 0.95, "YOU ~1 <SLUR_NP>"),
     ("insult", 0.9, "YOU <ARE> ~1 INSULT!"),
     ("insult", 0.9, "INSULT! LIKE YOU"),
+    ("insult", 0.9, "ERES ADV* <SLUR_NP>"),
     ("insult", 0.9, "YOU ~1 BE DET ADV* ADJ!* INSULT!"),
     ("insult", 0.85, "WHAT DET ADV* ADJ!* INSULT!"),
     ("insult", 0.9, "YOUR KIN <ARE> <SLUR_NP>"),
@@ -119,11 +120,11 @@ CLAUSES: tuple[tuple[str, float, str], ...] = (
     ("hate", 0.85, "<CAST_OUT> <WHOLE>"),
     ("hate", 0.9, "<GROUP_NP> ~2 BE ADV* <LOW>"),
     ("hate", 0.9, "<GROUP_NP> ~2 <CAST_OUT>"),
-    ("hate", 0.9, "THESE DET? ADJ* INSULT! ADJ* ~1 <CAST_OUT>"),
+    ("hate", 0.9, "THESE DET? ADJ* INSULT! ADJ* ~3 <CAST_OUT>"),
     ("hate", 0.9, "TO? THESE ADJ* INSULT!|GROUP ADJ* ~1 SHOULD ~6 THROW"),
     ("hate", 0.85, "BREED LIKE PEST"),
     ("hate", 0.85, "OBJ BREED LIKE PEST"),
-    ("hate", 0.9, "NEG ~2 SHOULD ~1 BE ALLOWED ~6 TOO STUPID"),
+    ("hate", 0.9, "NEG ~2 SHOULD ~1 BE ALLOWED ~9 TOO STUPID"),
     ("hate", 0.9, "GROUP ~3 BE CAPACITY ~1 GOODFOR"),
     ("hate", 0.85, "GROUP ~3 GOODFOR|SHOULD ~3 PLACE"),
     ("hate", 0.85, "GO ~1 BACK TO|WHERE YOUR|YOU ~1 COUNTRY|LIVE"),

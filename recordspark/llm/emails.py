@@ -405,7 +405,7 @@ def _fingerprints(batches, least_words: int = 8):
     """Rows of FPS: the fingerprints of the unquoted lines of emails, and the digests of their paragraphs' words.
 
     ``whole`` is equal for copies of one message, which must not count as several. ``line`` is the
-    first line of the paragraph, ``opens`` that of the message's first; ``opening`` is the digest of the first paragraph of
+    first line of the paragraph, ``opens`` that of the message's first with a fingerprint; ``opening`` is the digest of the first paragraph of
     ``least_words``, ``below`` tells that the paragraph stands, unmarked, below an introducing line. Every email has a row without fingerprint.
     """
     from recordspark.llm.leakage import _grams
@@ -425,13 +425,13 @@ def _fingerprints(batches, least_words: int = 8):
             if len(cache) > 500_000:
                 cache.clear()
             h = _grams(_hash_words(found, cache), K)
-            final, opens = (owner[-1], owner[0]) if owner else (0, 0)
+            kept = {(int(h[x].view(np.int64)), owner[x]) for x in winnow(h, WINDOW).tolist() if h[x] != TOP and owner[x] == owner[x + K - 1]}
+            final, opens = owner[-1] if owner else 0, min((line for _, line in kept), default=owner[0] if owner else 0)
             whole = _digest(found)
             long = {line: _digest(words) for line, words in paragraphs.items() if len(words) >= least_words}
             opening = long[min(long)] if long else 0
             block = unmarked_blocks(lines, opens) if len(long) > 1 else set()
             rows.append((None, doc, whole, None, opens, False, False, 0, False))
-            kept = {(int(h[x].view(np.int64)), owner[x]) for x in winnow(h, WINDOW).tolist() if h[x] != TOP and owner[x] == owner[x + K - 1]}
             rows += [(fp, doc, whole, line, opens, line == final, False, 0, False) for fp, line in kept]
             rows += [(digest, doc, whole, line, opens, line == final, True, opening, line in block) for line, digest in long.items()]
         out = pd.DataFrame(rows, columns=["fp", "document_id", "whole", "line", "opens", "closing", "paragraph", "opening", "below"])

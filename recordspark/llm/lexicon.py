@@ -142,6 +142,7 @@ WORDS: dict[str, str] = {
     "SLUR": "nigger niggers kike kikes faggot faggots spic spics chink chinks paki pakis tranny trannies raghead ragheads kanake kanaken youpin bougnoule sudaca",
     "CRUDE": "motherfucker motherfuckers cocksucker cocksuckers",
     "CON": "con cons",
+    "ERES": "eres sois",
     "MAKE": "make makes making made haré hacer",
     "PAIN": "suffer bleed beg scream cry pay",
     "HIS": "his her their la le the",

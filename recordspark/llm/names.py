@@ -311,10 +311,29 @@ def trade_words(entities: DataFrame, share: float = 1 / 1000, least: int = 3) ->
     return frozenset(r["word"] for r in words.collect())
 
 
+def slips(a: str, b: str, most: int) -> int:
+    """Letters changed, lost, added or swapped with their neighbour between two words; ``most`` + 1 if more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            n = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if before and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                n = min(n, before[j - 2] + 1)
+            new.append(n)
+        if min(new) > most:
+            return most + 1
+        before, row = row, new
+    return row[-1]
+
+
 def likeness(rare: str, other: str, rare2: str, other2: str, known: frozenset[str] = frozenset()) -> float:
     """Likeness of two full forms from 0 to 1: the lesser of that of their tokens, aligned.
 
-    Two different words that are known both (given names, trades) are different. A word of under five letters has
+    Jaro-Winkler counts what two words begin with most, so words of one beginning and other endings, with more than a slip
+    for every four letters, are different. Two different words that are known both (given names, trades) are different. A word of under five letters has
     hardly anything to tell a slip by, so its likeness counts half as much short of 1 again.
     """
     out = 1.0
@@ -327,6 +346,9 @@ def likeness(rare: str, other: str, rare2: str, other2: str, known: frozenset[st
         out = min(out, j if min(len(a), len(b)) >= 5 else 1 - 1.5 * (1 - j))
         if out < LIKE:
             break
+        most = max(1, min(len(a), len(b)) // 4)
+        if slips(a, b, most) > most:
+            return 0.0
     return out
 
 

@@ -139,8 +139,8 @@ def _names(text: str, vocabulary: Vocabulary, folded: bool):
             links.append(None)
         elif m[1]:
             links.append(",")
-        elif gap[0] in ".!" and kinds[i] not in "ITG":
-            links.append(None)
+        elif gap[0] in ".!" and (kinds[i] not in "ITG" or (kinds[i] == "G" and words[i][2].lower() in formal_names()[words[i][2].lower()])):
+            links.append(None)  # the end of a sentence, not of a short form
         elif "\n" in gap and text[text.rfind("\n", 0, words[i][0]) + 1 : words[i][0]].strip(" >|") == "" and len(text[words[i][0] : words[i][1] + 1].split("\n")[0]) < 30 and gap.strip(" ")[:1] == "\n" and kinds[i] == "G":
             links.append(None)  # a name alone on its line
         else:
@@ -302,7 +302,8 @@ def propose(text: str, vocabulary: Vocabulary):
             spans.append((flat.start() if flat else p, m.end()))
         else:
             m = placed.match(text, p)
-            if m and (lead := street.search(text, _words_back(text, p, 5), p)):
+            # a street begins its line, unless it goes on from the line before
+            if m and (lead := street.search(text, max(_words_back(text, p, 5), text.rfind("\n", 0, p) + 1), p) or street.search(text, _words_back(text, p, 5), p)):
                 spans.append((lead.start(), m.end()))
     if "ox " in text or "OX " in text or "ox\n" in text:
         spans += [(m.start(), m.end()) for m in box.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
@@ -415,11 +416,13 @@ def corpus_vocabulary(texts: DataFrame, entities: DataFrame, share: float = 2e-6
     """Word lists counted over all texts.
 
     A word is common if it makes up ``share`` of all words counted (so there are at most 1 / ``share``)
-    and stands in small letters ``plain`` times as often as, inside sentences, with a capital, a given name five times as often as with a capital anywhere; or
+    and stands in small letters, in texts that have capitals at all, ``plain`` times as often as, inside sentences, with a capital, a given name five times as often as with a capital anywhere; or
     if it stands with a capital four times as often at the head of a sentence as inside.
     """
     t = F.regexp_replace("text", r"[-‐\u00ad]\s*\n[>|\s]*", "")
-    small = F.when(F.lower(t) != t, F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_@.\-+])[a-zß-ÿ]{3,}(?![\p{L}\p{N}_@])"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    capital = F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}_])[A-ZÀ-Þ]"))
+    blank = F.regexp_count(t, F.lit(r"\s+"))
+    small = F.when(capital * 50 > blank, F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_@.\-+])[a-zß-ÿ]{3,}(?![\p{L}\p{N}_@])"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
     word = r"([A-ZÀ-Þ]\p{L}*(?:['’]\p{L}+)*)"
     heads = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|(?<!\b[A-Z]|\bMr|\bMrs|\bMs|\bDr|\bProf|\bCapt)[.!?:;]|\n)[\s>|\-]*" + word), F.lit(1))
     capitals = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}_])" + word), F.lit(1))
@@ -455,15 +458,15 @@ def _written(templates: dict[str, tuple[str, ...]], copies: int = 12) -> list[tu
 
 
 def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least threshold from 0.5 on with that precision, on held-out rows; of none, the one with the best."""
+    """The least threshold from 0.3 on with that precision on held-out rows, one wrong row aside; if none, that with the best."""
     options = []
-    for t in np.arange(0.5, 0.96, 0.05):
+    for t in np.arange(0.3, 0.96, 0.05):
         chosen = p >= t
-        right = y[chosen].mean() if chosen.any() else 0.0
-        if right >= precision:
-            return float(t)
-        options.append((right, -t))
-    return -max(options)[1]
+        wrong = int((chosen & ~y).sum())
+        if chosen.any() and wrong <= max(1.0, (1 - precision) * chosen.sum()):
+            return float(round(t, 2))
+        options.append((1 - wrong / max(1, chosen.sum()) if chosen.any() else 0.0, -t))
+    return float(round(-max(options)[1], 2))
 
 
 def _address_parts(value: str) -> list[str]:
@@ -472,7 +475,7 @@ def _address_parts(value: str) -> list[str]:
     return [re.sub(r"^\d+\s*", "", parts[0]) or parts[0], *parts[-1:] * (len(parts) > 1)]
 
 
-def fit_detector(texts: DataFrame, snippets: DataFrame, entities: DataFrame, sample_texts: int = 1000, precision: float = 0.95) -> Detector:
+def fit_detector(texts: DataFrame, snippets: DataFrame, entities: DataFrame, sample_texts: int = 1000, precision: float = 0.98) -> Detector:
     """Fit on about ``sample_texts`` texts and as many snippets, those whose id has the least hash.
 
     ``texts`` and ``snippets`` have (id, text). See the module for where labels come from.
