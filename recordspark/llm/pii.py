@@ -30,7 +30,7 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_right, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -412,6 +412,38 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+BROKEN_WORD = re.compile(r"[-‐\u00ad]\s*\n[>|\s]*")
+SMALL = re.compile(r"(?<![\w@.\-+])[a-zß-ÿ]{3,}(?![\w@])")
+BIG = re.compile(r"\b[A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)*")
+HEAD = re.compile(r"(?:\b([A-Z]|Mr|Mrs|Ms|Dr|Prof|Capt)\.\s*|(?:^|[.!?:;\n])[\s>|\-]*)([A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)*)")
+
+
+def _word_counts(batches):
+    """Partial sums (word, small, heads, capitals): texts that have it in small letters, and occurrences with a capital, at a sentence's head and in all."""
+    small: Counter = Counter()
+    heads: Counter = Counter()
+    capitals: Counter = Counter()
+
+    def flush():
+        sums: dict[str, list[int]] = {}
+        for k, counts in enumerate((small, heads, capitals)):
+            for w, n in counts.items():
+                sums.setdefault(w.lower(), [0, 0, 0])[k] += n
+            counts.clear()
+        return pd.DataFrame([(w, *n) for w, n in sums.items()], columns=["word", "small", "heads", "capitals"])
+
+    for pdf in batches:
+        for text in pdf["text"].tolist():
+            big = BIG.findall(text)
+            capitals.update(big)
+            heads.update(w for named, w in HEAD.findall(text) if not named)
+            if 50 * len(big) > text.count(" ") + text.count("\n"):
+                small.update(set(SMALL.findall(BROKEN_WORD.sub("", text) if "\n" in text else text)))
+        if len(small) + len(capitals) > 400_000:
+            yield flush()
+    yield flush()
+
+
 def corpus_vocabulary(texts: DataFrame, entities: DataFrame, share: float = 2e-6, plain: float = 0.2) -> Vocabulary:
     """Word lists counted over all texts.
 
@@ -419,18 +451,7 @@ def corpus_vocabulary(texts: DataFrame, entities: DataFrame, share: float = 2e-6
     and stands in small letters, in texts that have capitals at all, ``plain`` times as often as, inside sentences, with a capital, a given name five times as often as with a capital anywhere; or
     if it stands with a capital four times as often at the head of a sentence as inside.
     """
-    t = F.regexp_replace("text", r"[-‐\u00ad]\s*\n[>|\s]*", "")
-    capital = F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}_])[A-ZÀ-Þ]"))
-    blank = F.regexp_count(t, F.lit(r"\s+"))
-    small = F.when(capital * 50 > blank, F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_@.\-+])[a-zß-ÿ]{3,}(?![\p{L}\p{N}_@])"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    word = r"([A-ZÀ-Þ]\p{L}*(?:['’]\p{L}+)*)"
-    heads = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|(?<!\b[A-Z]|\bMr|\bMrs|\bMs|\bDr|\bProf|\bCapt)[.!?:;]|\n)[\s>|\-]*" + word), F.lit(1))
-    capitals = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}_])" + word), F.lit(1))
-    marked = lambda words, mark: F.transform(words, lambda w: F.concat(F.lit(mark), F.lower(w)))
-    counts = texts.select(F.explode(F.concat(marked(small, "s"), marked(heads, "h"), marked(capitals, "c"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    kind = F.substring("w", 1, 1)
-    of = lambda k: F.sum(F.when(kind == k, F.col("n")).otherwise(0))
-    words = counts.groupBy(F.expr("substring(w, 2)").alias("word")).agg(of("s").alias("small"), of("h").alias("heads"), of("c").alias("capitals"))
+    words = texts.select("text").mapInPandas(_word_counts, "word string, small bigint, heads bigint, capitals bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("small", "heads", "capitals")))
     words = cut(words)
     least = share * (words.agg(F.sum(F.col("small") + F.col("capitals"))).first()[0] or 0)
     inner = F.col("capitals") - F.col("heads")
