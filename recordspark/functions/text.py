@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,6 +17,14 @@ COMMON_WORDS = (
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def _bare(ch: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c))
+
+
+# letters with diacritics and the letter each stands for, from the character database
+_MARKED = {ch: _bare(ch) for ch in map(chr, [*range(0xC0, 0x600), *range(0x1E00, 0x2000)]) if len(_bare(ch)) == 1 and _bare(ch) != ch and ch.isalpha()}
+
+
 def squeeze(c: Column) -> Column:
     """White space runs as one space, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -30,9 +39,20 @@ def word_count(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(F.size(words(c)))
 
 
+def fold(c: Column) -> Column:
+    """Lower case without diacritics, whether written as one character or as marks of their own."""
+    low = F.lower(c)
+    return F.translate(F.when(low.rlike(r"\p{Mn}"), F.regexp_replace(low, r"\p{Mn}+", "")).otherwise(low), "".join(_MARKED), "".join(_MARKED.values()))
+
+
+def fold_word(word: str) -> str:
+    """``fold`` of one word of a query."""
+    return "".join(_MARKED.get(c, c) for c in word.lower() if not unicodedata.category(c) == "Mn")
+
+
 def tokens(c: Column) -> Column:
-    """Search tokens: lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    """Search tokens: runs of letters and digits, in lower case and without diacritics."""
+    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
 
 
 def clean_query(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordspark.functions import records as R
@@ -92,6 +93,7 @@ class Archive:
         page = hits.orderBy("score", "document_id").offset(offset).limit(limit)
         first = " ".join(alternatives[0][0])
         shown = page.join(self.texts.select("document_id", "full_text"), "document_id", "left").select(F.col("document_id").alias("id"), "title", "data_set", "document_type", "score", X.snippet(F.col("full_text"), first, F.col("filename")).alias("snippet"))
+        shown = shown.orderBy("score", "id")  # the join does not keep the page's order
         return shown, hits.agg(F.count(F.lit(1)).alias("total"))
 
     def search_with_entities(self, query: str, limit: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,8 +127,11 @@ class Archive:
         g = table if table is not None and not self.policy.active else graph.cooccurrence_top(self.shown_mentions())
         return graph.neighbours(g, self.entities, entity_id, entity_type)
 
-    def search_entities(self, query: str = "", entity_type: str | None = None, role: str | None = None, document_type: str | None = None, limit: int = 50, samples: int = 5) -> DataFrame:
-        """Merged entities with up to ``samples`` mentions each, most mentioned first."""
+    def search_entities(self, query: str = "", entity_type: str | None = None, role: str | None = None, document_type: str | None = None, limit: int = 50, samples: int = 5, sibling_cap: int = 20) -> DataFrame:
+        """Merged entities, most mentioned first, with ``samples`` records each, the first mention of every one, over the entity's siblings.
+
+        Under an active policy the total counts the mentions in shown records.
+        """
         e = self.entities.filter(X.contains_any([F.col("canonical_name"), F.col("first_name"), F.col("last_name")], query)) if query else self.entities
         if entity_type is not None:
             e = e.filter(type_key(F.col("entity_type")) == type_key(F.lit(entity_type)))
@@ -139,11 +144,69 @@ class Archive:
             n = m.groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("mention_count"))
             e = e.drop("mention_count").join(n, "id")
         top = resolve.groups(e).orderBy(F.desc("total"), "rep_id").limit(limit)
-        from pyspark.sql import Window as W
-
-        seen = m.join(top.select(F.col("rep_id").alias("entity_id")), "entity_id", "left_semi").withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy("id"))).filter(F.col("rn") <= samples)
-        seen = seen.groupBy(F.col("entity_id").alias("rep_id")).agg(F.sort_array(F.collect_list(F.struct("id", "document_id", "name_as_appears", "role"))).alias("mentions"))
-        return top.join(seen, "rep_id", "left")
+        of = resolve.siblings(self.entities, sibling_cap).join(top.select(F.col("rep_id").alias("entity_id")), "entity_id", "left_semi").select(F.col("entity_id").alias("rep_id"), F.col("sibling_id").alias("entity_id"))
+        m = m.join(self.shown().select(F.col("id").alias("document_id")), "document_id", "left_semi").join(of, "entity_id")
+        first = m.groupBy("rep_id", "document_id").agg(F.min(F.struct("id", "name_as_appears", "role")).alias("m"))
+        seen = first.withColumn("rn", F.row_number().over(W.partitionBy("rep_id").orderBy("document_id"))).filter(F.col("rn") <= samples)
+        seen = seen.groupBy("rep_id").agg(F.sort_array(F.collect_list(F.struct("document_id", "m.id", "m.name_as_appears", "m.role"))).alias("mentions"))
+        out = top.join(seen, "rep_id", "left")
+        if self.policy.active:  # stored counts know nothing of the policy
+            out = out.drop("total").join(m.groupBy("rep_id").agg(F.count(F.lit(1)).alias("total")), "rep_id", "left").na.fill(0, ["total"]).select(*[c for c in top.columns], "mentions")
+        return out.orderBy(F.desc("total"), "rep_id")
+
+    def images(self, manifest: DataFrame, limit: int = 60, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+        """A page of a manifest's images (filename, doc_id, bates) in order of file name, with the record each is from, and the total.
+
+        The record is the one named, that of the file name's number, or that of the Bates number. Under an active
+        policy an image that cannot be told to be of a shown record is not shown.
+        """
+        named = F.coalesce(F.col("doc_id").cast("bigint"), F.regexp_extract("filename", r"([0-9]+)", 1).try_cast("bigint"))
+        by_bates = self.documents.groupBy(F.upper("bates_number").alias("_b")).agg(F.min("id").alias("_of")).filter("_b is not null")
+        i = manifest.withColumn("_b", F.upper("bates")).join(by_bates, "_b", "left").withColumn("document_id", F.coalesce(named, F.col("_of"))).drop("_b", "_of")
+        if self.policy.active:
+            i = i.filter("document_id is not null or coalesce(bates, '') <> ''")
+            hidden = hidden_ids(self.policy, self.documents).distinct()
+            i = i.join(hidden, "document_id", "left_anti")
+            if self.policy.bates:
+                i = i.filter(F.col("bates").isNull() | ~F.upper("bates").isin(sorted(self.policy.bates)))
+        return i.orderBy("filename", "document_id").offset(offset).limit(limit), i.agg(F.count(F.lit(1)).alias("total"))
+
+    def videos(self, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+        """A page of videos by id, titled by file name where they have no title, and their total."""
+        d = self.shown().filter(R.doc_type_key(F.col("document_type")) == "video")
+        page = d.orderBy("id").offset(offset).limit(limit).select("id", "filename", F.coalesce(F.nullif("title", F.lit("")), "filename").alias("title"), R.set_key(F.col("data_set")).alias("data_set"))
+        return page, d.agg(F.count(F.lit(1)).alias("total"))
+
+    def recordings(self, sets: list[str] | None = None) -> DataFrame:
+        """Sound recordings in order of file name, with the day and the part their titles tell; a day not told is 'Unknown'."""
+        d = self._filtered(kind="audio", sets=sets)
+        day = F.regexp_extract(F.coalesce("title", F.lit("")), r"(Day [0-9]+)", 1)
+        part = F.regexp_extract(F.coalesce("title", F.lit("")), r"Part\s*([0-9]+)", 1)
+        return d.orderBy("filename", "id").select("id", "filename", F.coalesce(F.nullif("title", F.lit("")), "filename").alias("title"), F.when(day == "", "Unknown").otherwise(day).alias("day"), F.nullif(part, F.lit("")).alias("part"))
+
+    def records(self, search: str = "", limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+        """A page of records whose Bates number or title contains ``search``, by Bates number, and their total."""
+        if len(search) > 100:
+            raise ParameterError("a search has at most 100 characters")
+        d = self.shown()
+        if search:
+            d = d.filter(X.contains_any([F.col("bates_number"), F.col("title")], search))
+        page = d.orderBy("bates_number", "id").offset(offset).limit(limit)
+        return page.select("id", F.col("bates_number").alias("bates"), "title", F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)).alias("page_count")), d.agg(F.count(F.lit(1)).alias("total"))
+
+    def record(self, bates: str) -> tuple[DataFrame, DataFrame]:
+        """The record of a Bates number with its preview and pages (page, bates of the page), and its entities; no rows if hidden or unknown."""
+        d = self.shown().filter(F.col("bates_number") == bates)
+        x = self.texts.select(F.col("document_id").alias("id"), F.substring("full_text", 1, 2000).alias("preview"))
+        digits = F.regexp_extract("bates_number", r"([0-9]+)$", 1)
+        stem = F.regexp_replace("bates_number", r"[0-9]+$", "")
+        last = F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)) - 1
+        page_of = lambda k: F.concat(stem, F.lpad((digits.cast("bigint") + k).cast("string"), F.greatest(F.length(digits), F.length((digits.cast("bigint") + k).cast("string"))), F.lit("0")))
+        pages = F.when(digits != "", F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("page"), page_of(k).alias("bates"))))
+        shown = d.join(x, "id", "left").select("id", F.col("bates_number").alias("bates"), "title", "document_type", "content_type", (last + 1).alias("page_count"), pages.alias("pages"), "preview")
+        m = self.shown_mentions().join(d.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        e = self.entities.select(F.col("id").alias("entity_id"), "canonical_name", "entity_type")
+        return shown, m.join(e, "entity_id").orderBy("id").limit(100).select("entity_id", "canonical_name", "entity_type", "name_as_appears", "role")
 
     def stats(self) -> DataFrame:
         m = self.shown_mentions().agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("entity_id").alias("mentioned_entities"))

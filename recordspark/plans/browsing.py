@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordspark.functions import records as R
 from recordspark.functions import text as X
+from recordspark.operators.state import positions
 from recordspark.operators.visibility import hidden_ids, parse_policy, visible, visible_unguarded, without_hidden
 from recordspark.plans.registry import Tables, query
+from recordspark.session import cut
 
 POLICY = "doc:50 doc:331 bates:ARC-000000016 bates:ARC-000000221"
 _HIDDEN = "(d.id IN (50, 331) OR coalesce(upper(d.bates_number) IN ('ARC-000000016', 'ARC-000000221'), false))"
@@ -208,8 +209,8 @@ def three_way_left_join(t: Tables):
 
 @query(f"SELECT id, position FROM (SELECT id, row_number() OVER (PARTITION BY {SET_KEY.format('data_set')} ORDER BY filename NULLS FIRST, id) AS position FROM archive_documents) WHERE position BETWEEN 25 AND 48")
 def collection_page_positions(t: Tables):
-    w = W.partitionBy(R.set_key(F.col("data_set"))).orderBy("filename", "id")
-    return t.archive_documents.select("id", F.row_number().over(w).alias("position")).filter("position between 25 and 48")
+    d = t.archive_documents.select("id", "filename", R.set_key(F.col("data_set")).alias("k"))
+    return positions(d, "k", "filename", "id").filter("position between 25 and 48").select("id", F.col("position").cast("int").alias("position"))
 
 
 @query(
@@ -237,8 +238,9 @@ def links(pages):
 )
 def prev_next_sibling(t: Tables):
     one = t.archive_documents.filter("filename is not null").groupBy(R.set_key(F.col("data_set")).alias("k"), "filename").agg(F.min("id").alias("id"))
-    w = W.partitionBy("k").orderBy("filename", "id")
-    return one.select("id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("next"))
+    at = cut(positions(one, "k", "filename", "id").select("id", F.coalesce("k", F.lit("\0")).alias("k"), "position"))
+    beside = lambda step, name: at.select("k", (F.col("position") - step).alias("position"), F.col("id").alias(name))
+    return at.join(beside(-1, "previous"), ["k", "position"], "left").join(beside(1, "next"), ["k", "position"], "left").select("id", "previous", "next")
 
 
 @query(f"SELECT id, concat_ws(' · ', k, t, CASE WHEN t NOT IN ('video', 'audio') AND page_count > 0 THEN page_count || CASE WHEN page_count = 1 THEN ' page' ELSE ' pages' END END) AS meta FROM (SELECT id, page_count, {SET_KEY.format('data_set')} AS k, {TYPE_KEY.format('document_type')} AS t FROM archive_documents)")

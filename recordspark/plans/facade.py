@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.functions import urls as U
-from recordspark.operators.pages import resolve_references
+from recordspark.functions.text import html_escape
+from recordspark.operators.pages import findings, resolve_references
 from recordspark.operators.visibility import parse_policy
 from recordspark.plans.api import Archive
 from recordspark.plans.browsing import _HIDDEN, POLICY, SET_KEY, TYPE_KEY
+from recordspark.plans.people import KIND
 from recordspark.plans.registry import Tables, query
+from recordspark.plans.searching import _BM25, _POST, _phrase
 from recordspark.sources.sinks import chunked
 
 
@@ -30,14 +33,62 @@ def facade_stats(t: Tables):
     return archive(t, POLICY).stats()
 
 
-@query()
+@query(
+    _POST
+    + _BM25.format(a=_phrase(["yacht"]), b=_phrase(["ferry", "operator"]))
+    + f""" SELECT id, title, document_type, round(score, 6) AS score, CASE WHEN p > 0 THEN (CASE WHEN b > 1 THEN '...' ELSE '' END) || substr(x, b, p - b) || '>>>' || substr(x, p, 5) || '<<<' || substr(x, p + 5, e - (p + 5) + 1) || (CASE WHEN e < length(x) THEN '...' ELSE '' END)
+    WHEN contains(lower(filename), 'yacht') THEN 'Filename: ' || substr(filename, 1, instr(lower(filename), 'yacht') - 1) || '>>>' || substr(filename, instr(lower(filename), 'yacht'), 5) || '<<<' || substr(filename, instr(lower(filename), 'yacht') + 5) WHEN length(x) > 300 THEN substr(x, 1, 300) || '...' ELSE x END AS snippet
+    FROM (SELECT *, greatest(p - 150, 1) AS b, least(p + 5 - 1 + 150, length(x)) AS e FROM (SELECT d.id, d.title, d.document_type, d.filename, s.score, t.full_text AS x, instr(lower(t.full_text), 'yacht') AS p FROM s JOIN archive_documents d ON d.id = s.document_id JOIN document_texts t ON t.document_id = d.id
+    WHERE NOT {_HIDDEN} AND {TYPE_KEY.format('d.document_type')} = 'email' ORDER BY s.score, d.id LIMIT 20))"""
+)
 def facade_search(t: Tables):
-    return archive(t, POLICY).search('yacht OR "ferry operator"', document_type="email", limit=20)[0]
+    return archive(t, POLICY).search('yacht OR "ferry operator"', document_type="email", limit=20)[0].select("id", "title", "document_type", F.round("score", 6).alias("score"), "snippet")
 
 
-@query()
+_SEARCHED = f"""WITH g AS (SELECT lower(canonical_name) AS name_key, {KIND.format('entity_type')} AS kind, arg_max(id, (coalesce(mention_count, 0), -id)) AS rep_id, arg_max(canonical_name, (coalesce(mention_count, 0), -id)) AS rep_name, sum(coalesce(mention_count, 0)) AS total
+    FROM entities WHERE lower(canonical_name) LIKE '%trust%' OR lower(first_name) LIKE '%trust%' OR lower(last_name) LIKE '%trust%' GROUP BY 1, 2 ORDER BY total DESC, rep_id LIMIT 20),
+r AS (SELECT id, lower(canonical_name) AS n, {KIND.format('entity_type')} AS t, row_number() OVER (PARTITION BY lower(canonical_name), {KIND.format('entity_type')} ORDER BY coalesce(mention_count, 0) DESC, id) AS rn FROM entities WHERE canonical_name IS NOT NULL),
+m AS (SELECT g.rep_id, m.* FROM mentions m JOIN r ON r.id = m.entity_id AND r.rn <= 20 JOIN g ON g.name_key = r.n AND g.kind = r.t JOIN archive_documents d ON d.id = m.document_id WHERE NOT {_HIDDEN}),
+f AS (SELECT rep_id, document_id, arg_min(name_as_appears, id) AS name_as_appears, row_number() OVER (PARTITION BY rep_id ORDER BY document_id) AS rn FROM (SELECT * FROM m WHERE name_as_appears IS NOT NULL) GROUP BY 1, 2)"""
+
+
+@query(_SEARCHED + " SELECT g.rep_id, g.rep_name, g.kind, (SELECT count(*) FROM m WHERE m.rep_id = g.rep_id) AS total, f.document_id, f.name_as_appears FROM g LEFT JOIN f ON f.rep_id = g.rep_id AND f.rn <= 5")
 def facade_search_entities(t: Tables):
-    return archive(t).search_entities("trust", limit=20)
+    found = archive(t, POLICY).search_entities("trust", limit=20)
+    flat = found.select("rep_id", "rep_name", "kind", "total", F.explode_outer("mentions").alias("m"))
+    return flat.select("rep_id", "rep_name", "kind", "total", "m.document_id", "m.name_as_appears")
+
+
+_IMAGES = f"""SELECT filename, document_id FROM (SELECT i.filename, i.bates, coalesce(try_cast(nullif(regexp_extract(i.filename, '([0-9]+)', 1), '') AS BIGINT), b.id) AS document_id FROM (SELECT filename, CASE WHEN id % 2 = 0 THEN bates_number END AS bates FROM archive_documents WHERE filename IS NOT NULL) i
+    LEFT JOIN (SELECT upper(bates_number) AS b, min(id) AS id FROM archive_documents GROUP BY 1) b ON b.b = upper(i.bates)) d WHERE (document_id IS NOT NULL OR coalesce(bates, '') <> '') AND (document_id IS NULL OR document_id NOT IN (SELECT d.id FROM archive_documents d WHERE {_HIDDEN})) AND (bates IS NULL OR upper(bates) NOT IN ('ARC-000000016', 'ARC-000000221'))"""
+
+
+@query(_IMAGES + " ORDER BY filename, document_id NULLS FIRST LIMIT 60 OFFSET 20")
+def facade_images(t: Tables):
+    # a manifest in which every second image has its Bates number
+    manifest = t.archive_documents.filter("filename is not null").select("filename", F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.col("bates_number")).alias("bates"))
+    return archive(t, POLICY).images(manifest, 60, 20)[0].select("filename", "document_id")
+
+
+@query(f"SELECT d.id, d.filename, coalesce(nullif(d.title, ''), d.filename) AS title, {SET_KEY.format('d.data_set')} AS data_set FROM archive_documents d WHERE NOT {_HIDDEN} AND {TYPE_KEY.format('d.document_type')} = 'video' ORDER BY d.id LIMIT 100")
+def facade_videos(t: Tables):
+    return archive(t, POLICY).videos()[0]
+
+
+@query(f"SELECT d.id, d.filename, coalesce(nullif(d.title, ''), d.filename) AS title, coalesce(nullif(regexp_extract(coalesce(d.title, ''), '(Day [0-9]+)', 1), ''), 'Unknown') AS day, nullif(regexp_extract(coalesce(d.title, ''), 'Part\\s*([0-9]+)', 1), '') AS part FROM archive_documents d WHERE NOT {_HIDDEN} AND {TYPE_KEY.format('d.document_type')} = 'audio'")
+def facade_recordings(t: Tables):
+    return archive(t, POLICY).recordings()
+
+
+@query(f"SELECT d.id, d.bates_number AS bates, d.title, greatest(coalesce(d.page_count, 1), 1) AS page_count FROM archive_documents d WHERE NOT {_HIDDEN} AND (contains(lower(d.bates_number), '00001') OR contains(lower(d.title), '00001')) ORDER BY d.bates_number, d.id LIMIT 50 OFFSET 10")
+def facade_records(t: Tables):
+    return archive(t, POLICY).records("00001", 50, 10)[0]
+
+
+@query("SELECT d.id, d.page_count, d.k AS page, 'ARC-' || lpad(CAST(12 + d.k AS VARCHAR), 9, '0') AS bates, substr(x.full_text, 1, 2000) AS preview FROM (SELECT id, greatest(coalesce(page_count, 1), 1) AS page_count, unnest(range(0, greatest(coalesce(page_count, 1), 1)))::INT AS k FROM archive_documents WHERE bates_number = 'ARC-000000012') d LEFT JOIN document_texts x ON x.document_id = d.id")
+def facade_record(t: Tables):
+    shown = archive(t, POLICY).record("ARC-000000012")[0]
+    return shown.select("id", "page_count", "preview", F.explode("pages").alias("p")).select("id", "page_count", "p.page", "p.bates", "preview")
 
 
 @query("SELECT id, name_as_appears FROM mentions WHERE entity_id IN (SELECT b.id FROM entities a JOIN entities b ON lower(a.canonical_name) = lower(b.canonical_name) AND (lower(a.entity_type) LIKE 'org%') = (lower(b.entity_type) LIKE 'org%') WHERE a.id = 1) ORDER BY role_confidence DESC NULLS LAST, id LIMIT 100")
@@ -55,7 +106,11 @@ def url_parts(t: Tables):
     return d.select("url", U.is_document_url(u).alias("is_document"), U.set_of_url(u).alias("release"), U.safe_filename(u).alias("filename"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT coalesce(data_set, '') AS k, id, coalesce(file_size, 0) AS s, row_number() OVER (PARTITION BY coalesce(data_set, '') ORDER BY id) AS rn FROM archive_documents),
+    c AS (SELECT k, id, rn, s AS held, 0 AS chunk FROM o WHERE rn = 1 UNION ALL SELECT o.k, o.id, o.rn, CASE WHEN c.held > 0 AND c.held + o.s > 5000000 THEN o.s ELSE c.held + o.s END, CASE WHEN c.held > 0 AND c.held + o.s > 5000000 THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN o ON o.k = c.k AND o.rn = c.rn + 1)
+    SELECT k, id, chunk FROM c"""
+)
 def size_chunks(t: Tables):
     d = t.archive_documents.withColumn("k", F.coalesce("data_set", F.lit(""))).select("k", "id", "file_size")
     return chunked(d, "k", "id", "file_size", 5_000_000)
@@ -69,6 +124,19 @@ def reference_resolution(t: Tables):
     return found.agg(n.alias("resolved")).crossJoin(left.agg(n.alias("open")))
 
 
+@query(
+    """WITH p AS (SELECT source_url AS url, max(CASE WHEN needs_ocr THEN 404 ELSE 200 END) AS status, max(CASE WHEN lower(content_type) LIKE 'image%' THEN lower(content_type) ELSE 'text/html' END) AS ct, coalesce(max(title), '') AS title, max(coalesce(page_count, 1)) AS h FROM archive_documents WHERE source_url IS NOT NULL GROUP BY 1)
+    SELECT url, 'http-status' AS problem FROM p WHERE status <> 200 UNION ALL SELECT url, 'content-type' FROM p WHERE status = 200 AND ct <> 'text/html' UNION ALL SELECT url, 'missing-title' FROM p WHERE status = 200 AND ct = 'text/html' AND trim(title) = '' UNION ALL SELECT url, 'h1-count' FROM p WHERE status = 200 AND ct = 'text/html' AND h <> 1"""
+)
+def page_audit(t: Tables):
+    d = t.archive_documents.filter("source_url is not null").groupBy(F.col("source_url").alias("url")).agg(
+        F.max(F.when(F.col("needs_ocr"), 404).otherwise(200)).alias("status"), F.max(F.when(F.lower("content_type").startswith("image"), F.lower("content_type")).otherwise("text/html")).alias("content_type"),
+        F.coalesce(F.max("title"), F.lit("")).alias("title"), F.max(F.coalesce("page_count", F.lit(1))).alias("h"),
+    )
+    html = F.concat(F.lit("<html><head><title>"), html_escape(F.col("title")), F.lit('</title><link rel="canonical" href="'), html_escape(F.col("url")), F.lit('"></head><body>'), F.repeat(F.lit("<h1>x</h1>"), F.col("h")), F.lit("</body></html>"))
+    return findings(d.select("url", "status", "content_type", F.col("url").alias("final_url"), html.alias("html")))
+
+
 @query()
 def utf8_parts(t: Tables):
     x = t.document_texts.filter("full_text <> ''")

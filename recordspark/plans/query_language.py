@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from recordspark.config import MAX_QUERY_CHARS
+from recordspark.functions.text import fold_word
 
 LEXER = re.compile(r'"(?P<phrase>[^"]*)"|(?P<word>[^\s"]+)')
 NOT_TERM = re.compile(r"[^\w\s-]", re.UNICODE)
@@ -29,7 +31,7 @@ def parse(query: str, most: int = MAX_QUERY_CHARS) -> list[list[tuple[str, ...]]
             alternatives.append([])
             waiting = True
             continue
-        found = tuple(t.lower() for t in TOKEN.findall(NOT_TERM.sub(" ", m["phrase"] if word is None else word)))
+        found = tuple(TOKEN.findall(fold_word(NOT_TERM.sub(" ", unicodedata.normalize("NFC", m["phrase"] if word is None else word)))))
         if found:
             alternatives[-1].append(found)
             waiting = False
@@ -42,7 +44,7 @@ def parse(query: str, most: int = MAX_QUERY_CHARS) -> list[list[tuple[str, ...]]
 
 def as_phrase(query: str) -> list[list[tuple[str, ...]]]:
     """The whole query as one phrase."""
-    found = tuple(t.lower() for t in TOKEN.findall(query))
+    found = tuple(TOKEN.findall(fold_word(unicodedata.normalize("NFC", query))))
     if not found:
         raise QueryError("a query has at least one letter or digit")
     return [[found]]

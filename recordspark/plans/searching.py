@@ -11,7 +11,7 @@ from recordspark.operators import fts
 from recordspark.plans.query_language import as_phrase, parse
 from recordspark.plans.registry import Tables, query
 
-_POST = r"""WITH tx AS (SELECT document_id, regexp_extract_all(lower(full_text), '[\p{L}\p{N}]+') AS w FROM document_texts WHERE trim(full_text) <> ''),
+_POST = r"""WITH tx AS (SELECT document_id, regexp_extract_all(strip_accents(lower(full_text)), '[\p{L}\p{N}]+') AS w FROM document_texts WHERE trim(full_text) <> ''),
 po AS (SELECT document_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tx)"""
 
 

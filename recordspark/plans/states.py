@@ -46,7 +46,7 @@ def log_status_counts(t: Tables):
 @query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(action) ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM (SELECT DISTINCT id, action, created_at FROM processing_logs)) WHERE rn > 8")
 def retention_keep_n(t: Tables):
     logs = t.processing_logs.select("id", "action", "created_at").distinct().withColumn("k", F.lower("action"))
-    return state.keep_newest(logs, ["k"], 8, F.desc("created_at"), F.desc("id")).select("id")
+    return state.keep_newest(logs, ["k"], 8, "created_at", "id").select("id")
 
 
 @query("SELECT d.id FROM archive_documents d WHERE d.file_hash IS NOT NULL AND d.id > 300 AND d.file_hash NOT IN (SELECT file_hash FROM archive_documents WHERE id <= 300 AND file_hash IS NOT NULL)")
@@ -55,12 +55,12 @@ def insert_if_absent(t: Tables):
     return state.insert_if_absent(d.filter("id > 300"), d.filter("id <= 300"), ["file_hash"]).select("id")
 
 
-_RUNS = "SELECT document_id, max(CASE WHEN lower(status) = 'failed' THEN 'failed' ELSE 'success' END) AS status FROM processing_logs WHERE document_id % 5 = 0 GROUP BY 1"
+_RUNS = "SELECT document_id, max(CASE WHEN lower(status) = 'failed' THEN 'failed' ELSE 'success' END) AS status FROM processing_logs GROUP BY 1"
 
 
 @query(f"SELECT coalesce(h.document_id, r.document_id) AS document_id, CASE WHEN r.status = 'success' THEN r.new_text ELSE h.full_text END AS full_text FROM (SELECT document_id, full_text FROM document_texts WHERE full_text IS NOT NULL) h FULL JOIN (SELECT document_id, status, CASE WHEN document_id % 2 = 0 THEN 'rerun ' || document_id ELSE '' END AS new_text FROM ({_RUNS})) r ON r.document_id = h.document_id WHERE NOT (coalesce(r.status = 'success', false) AND trim(coalesce(r.new_text, '')) = '') AND (CASE WHEN r.status = 'success' THEN r.new_text ELSE h.full_text END) IS NOT NULL")
 def upsert_delete_empty(t: Tables):
-    runs = t.processing_logs.filter("document_id % 5 = 0").groupBy("document_id").agg(F.max(F.when(F.lower("status") == "failed", "failed").otherwise("success")).alias("status"))
+    runs = t.processing_logs.groupBy("document_id").agg(F.max(F.when(F.lower("status") == "failed", "failed").otherwise("success")).alias("status"))
     runs = runs.withColumn("full_text", F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("rerun "), F.col("document_id").cast("string"))).otherwise(""))
     return state.upsert_texts(t.document_texts.filter("full_text is not null").select("document_id", "full_text"), runs)
 
@@ -98,7 +98,7 @@ def size_packs(t: Tables):
 @query("SELECT p.document_id AS grp, count(*) AS pages, min(p.document_id || ':' || p.k) AS first_page FROM (SELECT document_id, unnest(range(1, len(pages_text) + 1)) AS k FROM document_texts WHERE len(pages_text) > 0) p GROUP BY 1")
 def opt_page_groups(t: Tables):
     rows = t.document_texts.filter("size(pages_text) > 0").select("document_id", F.posexplode("pages_text").alias("k", "page"))
-    rows = rows.select(F.lit("VOL").alias("volume"), (F.col("document_id") * 1000 + F.col("k")).alias("line_no"), F.when(F.col("k") == 0, "Y").alias("brk"), F.concat_ws(":", "document_id", F.col("k") + 1).alias("path"), "document_id")
+    rows = rows.select(F.col("document_id").cast("string").alias("volume"), (F.col("document_id") * 1000 + F.col("k")).alias("line_no"), F.when(F.col("k") == 0, "Y").alias("brk"), F.concat_ws(":", "document_id", F.col("k") + 1).alias("path"), "document_id")
     g = opt_groups(rows, extra=[F.min("document_id").alias("grp")])
     return g.select("grp", F.size("pages").cast("bigint").alias("pages"), F.array_min("pages").alias("first_page"))
 

@@ -28,12 +28,21 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset (tests, a laptop) is a temporary folder used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, set as the session's checkpoint folder.
+
+    Where the cluster names none, only a local master may use a temporary one; elsewhere executors would not see each other's files.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordspark-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -45,16 +46,33 @@ def values(statement: str) -> list[list[str | None]]:
 
 
 def read_dump(spark: SparkSession, path: str, table: str, columns: Sequence[str]) -> DataFrame:
-    """String columns of a table's rows in (compressed) SQL dumps; one statement per line end ';'. Cast what is needed."""
-    lines = spark.read.option("lineSep", ";\n").text(path)
-    inserts = lines.filter(F.col("value").rlike(rf"(?is)^\s*insert\s+into\s+[\"`]?{table}[\"`]?[\s(]"))
+    """String columns of a table's rows in (compressed) SQL dumps; statements end with ';' and a line end outside strings. Cast what is needed.
+
+    A file's pieces up to every ';' and line end are brought in order to one task, which joins those that a string cuts.
+    """
+    read = spark.read.option("lineSep", ";\n").text(path)
+    pieces = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    pieces = pieces.repartition("file").sortWithinPartitions("file", "block", "n")
+    head = re.compile(rf"\s*insert\s+into\s+[\"`]?{re.escape(table)}[\"`]?[\s(]", re.I)
 
     def parse(batches: Iterator[pd.DataFrame]):
+        held, odd, current = [], False, None
         for pdf in batches:
-            rows = [r[: len(columns)] + [None] * (len(columns) - len(r)) for s in pdf["value"] for r in values(s)]
+            rows = []
+            for file, piece in zip(pdf["file"], pdf["value"]):
+                if file != current:
+                    held, odd, current = [], False, file
+                held.append(piece)
+                odd ^= bool(piece.count("'") % 2)
+                if odd:  # inside a string, where quotes are doubled
+                    continue
+                statement = ";\n".join(held)
+                held = []
+                if head.match(statement):
+                    rows += [r[: len(columns)] + [None] * (len(columns) - len(r)) for r in values(statement)]
             yield pd.DataFrame(rows, columns=list(columns), dtype=object)
 
-    return inserts.mapInPandas(parse, ", ".join(f"{c} string" for c in columns))
+    return pieces.mapInPandas(parse, ", ".join(f"{c} string" for c in columns))
 
 
 def probe_fields(rows: DataFrame, column: str = "probe") -> DataFrame:

@@ -27,14 +27,13 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
 def sync_index(path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that puts changed texts into a log of postings, newest batch last.
 
-    Readers take, per document, the postings of its greatest batch: see ``current_postings``.
+    A batch is a partition of its own and is overwritten when it is run again, so a retried batch does not count twice. Readers take, per document, the postings of its greatest batch: see ``current_postings``.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        p = build_postings(batch).withColumns({"batch": F.lit(number).cast("bigint"), "bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")})
-        seen = batch.select("document_id").distinct().withColumn("batch", F.lit(number).cast("bigint"))
-        p.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-        seen.write.mode("append").parquet(f"{path}/seen")
+        p = build_postings(batch).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        p.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+        batch.select("document_id").distinct().write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
 
     return each
 

@@ -107,7 +107,7 @@ def test_latest_and_retention(spark):
     t = lambda m: dt.datetime(2020, 1, 1, 0, m)
     logs = spark.createDataFrame([(1, 5, "failed", t(1)), (2, 5, "success", t(2)), (3, 6, "failed", t(1))], "id long, document_id long, status string, created_at timestamp")
     assert rows(state.latest(logs, ["document_id"], F.desc("created_at"), F.desc("id")), "document_id", "status") == [(5, "success"), (6, "failed")]
-    assert rows(state.keep_newest(logs, ["document_id"], 1, F.desc("created_at")), "id") == [(1,)]
+    assert rows(state.keep_newest(logs, ["document_id"], 1, "created_at"), "id") == [(1,)]
 
 
 def test_storage_findings(spark):
