@@ -65,6 +65,22 @@ def object_key(c: Column, marker: str) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(F.replace(c, F.lit("\\"), F.lit("/")), rf"(?i)^.*{marker}/(.*)$", 1), "^/+", ""), F.lit(""))
 
 
+def file_stem(c: Column) -> Column:
+    """The last path part without its ending; null for null."""
+    return F.regexp_replace(F.regexp_extract(F.replace(c, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def provenance(data_set: Column, labels: dict[str, str], releases: str = "release-", release: str = "Evidence release", other: str = "Public release") -> Column:
+    """The label of a set, that of releases, or the general one."""
+    return F.coalesce(_lookup(data_set, labels), F.when(data_set.startswith(releases), release), F.lit(other))
+
+
+def released_name(filename: Column, title: Column, bates: Column) -> Column:
+    """The released file name worth telling: not the Bates number over again; else a title that is a file name; else ''."""
+    own = F.coalesce((filename != "") & ~filename.eqNullSafe(bates) & ~filename.eqNullSafe(F.concat(bates, F.lit(".pdf"))), F.lit(False))
+    return F.when(own, filename).when(F.coalesce(title, F.lit("")).rlike(r"(?i)\.[a-z0-9]{2,4}$"), title).otherwise("")
+
+
 def media_type(c: Column) -> Column:
     """A media type without parameters, lower case, aliases resolved."""
     bare = F.lower(F.trim(F.substring_index(c, ";", 1)))

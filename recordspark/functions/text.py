@@ -137,6 +137,11 @@ def mark_html(c: Column) -> Column:
     return F.regexp_replace(html_escape(c), r"&gt;&gt;&gt;(.+?)&lt;&lt;&lt;", "<mark>$1</mark>")
 
 
+def looks_like_filename(c: Column) -> Column:
+    """Whether a title is a bare file name: no blanks, and the ending of a stored document."""
+    return F.coalesce(F.trim(c).rlike(r"(?i)^[A-Za-z0-9_.\-]+\.(pdf|jpe?g|png|tiff?|mp4|mov|avi|wav|mp3|m4a|docx?|xlsx?|txt)$"), F.lit(False))
+
+
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(a), F.lit(b))

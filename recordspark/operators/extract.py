@@ -29,9 +29,9 @@ def extract(texts: DataFrame, spans: Callable[[pd.DataFrame], pd.DataFrame], sch
     return texts.mapInPandas(run, schema)
 
 
-def capitalised_runs(texts: DataFrame, least_words: int = 50, most_chars: int = 1_000_000) -> DataFrame:
-    """Rows (document_id, name, n): the stand-in's names in readable texts, junk left out."""
-    base = texts.select("document_id", F.substring("full_text", 1, most_chars).alias("t"), "word_count").filter(F.col("word_count") > least_words).filter(is_readable(F.col("t")))
+def capitalised_runs(texts: DataFrame, least_words: int = 50, most_chars: int | None = None) -> DataFrame:
+    """Rows (document_id, name, n): the stand-in's names in readable texts of more than ``least_words``, junk left out; of whole texts unless ``most_chars`` is given."""
+    base = texts.select("document_id", (F.col("full_text") if most_chars is None else F.substring("full_text", 1, most_chars)).alias("t"), "word_count").filter(F.col("word_count") > least_words).filter(is_readable(F.col("t")))
     found = base.select("document_id", F.explode(F.regexp_extract_all("t", F.lit(RUN), F.lit(0))).alias("raw"))
     named = found.select("document_id", display_name(F.col("raw")).alias("name")).filter(~is_junk_name(F.col("name")))
     return named.groupBy("document_id", "name").agg(F.count(F.lit(1)).alias("n"))

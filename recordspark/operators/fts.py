@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspark.config import BM25_B, BM25_FLOOR, BM25_K1
-from recordspark.functions.text import tokens
+from recordspark.functions.text import TOKEN, fold, tokens
+from recordspark.session import cut
 
-BUCKETS = 64
+BUCKETS = 64  # of a log of batches, whose final size nobody knows
+PER_BUCKET = 5_000_000  # tokens in a bucket of a written index
 
 
 def build_postings(texts: DataFrame, key: str = "document_id", text: str = "full_text") -> DataFrame:
@@ -29,21 +31,55 @@ def lengths(texts: DataFrame, key: str = "document_id", text: str = "full_text")
     return base.select("document_id", F.size(tokens(F.col("t"))).alias("tokens"))
 
 
-def write_index(texts: DataFrame, path: str, key: str = "document_id", text: str = "full_text") -> None:
-    """Full rebuild of the index under ``path``."""
-    p = build_postings(texts, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    p.repartition("bucket").sortWithinPartitions("term", "document_id", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(texts, key, text).write.mode("overwrite").parquet(f"{path}/lengths")
+def _bucket(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _write_postings(postings: DataFrame, path: str, buckets: int, dynamic: bool = False) -> None:
+    p = postings.withColumns({"buckets": F.lit(buckets), "bucket": _bucket("term", buckets)})
+    # ranged by document within a term, so that a long list lies in several files and tasks
+    p = p.repartitionByRange("bucket", "term", "document_id").sortWithinPartitions("bucket", "term", "document_id", "pos")
+    p.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy("buckets", "bucket").parquet(f"{path}/postings")
+
+
+def write_index(texts: DataFrame, path: str, key: str = "document_id", text: str = "full_text", per_bucket: int = PER_BUCKET) -> None:
+    """Full rebuild of the index under ``path``; the number of buckets follows the number of tokens. Lengths come last."""
+    sizes = cut(lengths(texts, key, text))
+    buckets = max(1, -(-int(sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // per_bucket))
+    _write_postings(build_postings(texts, key, text), path, buckets)
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_postings(spark, path: str, terms: list[str] | None = None) -> DataFrame:
     p = spark.read.parquet(f"{path}/postings")
     if terms is not None:
-        listed = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).distinct()
+        row = p.select("buckets").first()
+        listed = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket("t", row["buckets"] if row else 1).alias("b")).distinct()
         p = p.filter(F.col("bucket").isin([r["b"] for r in listed.collect()]) & F.col("term").isin(terms))
     return p.select("term", "document_id", "pos")
 
 
+def read_lengths(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/lengths").select("document_id", "tokens")
+
+
+def update_index(spark, path: str, changed: DataFrame, before: DataFrame, key: str = "document_id", text: str = "full_text") -> None:
+    """Replace the changed documents' entries in a written index; only the buckets of their old and new terms are written again.
+
+    ``before`` holds the texts that were indexed for them, whose terms tell the buckets that hold them.
+    """
+    held = spark.read.parquet(f"{path}/postings")
+    buckets = held.select("buckets").first()["buckets"]
+    ids = changed.select(F.col(key).alias("document_id")).distinct()
+    new = build_postings(changed, key, text)
+    touched = new.select("term").unionAll(build_postings(before, key, text).join(ids, "document_id", "left_semi").select("term")).select(_bucket("term", buckets).alias("bucket")).distinct()
+    numbers = [r["bucket"] for r in touched.collect()]  # at most all buckets
+    kept = held.filter(F.col("bucket").isin(numbers)).select("term", "document_id", "pos").join(ids, "document_id", "left_anti")
+    _write_postings(cut(kept.select("term", "document_id", "pos").unionByName(new)), path, buckets, dynamic=True)
+    sizes = cut(read_lengths(spark, path).join(ids, "document_id", "left_anti").unionByName(lengths(changed, key, text)))
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
 def sync_postings(postings: DataFrame, changed: DataFrame, key: str = "document_id", text: str = "full_text") -> DataFrame:
     """Postings with the changed documents' entries replaced (or gone, where their text is blank)."""
     kept = postings.join(changed.select(F.col(key).alias("document_id")).distinct(), "document_id", "left_anti")
@@ -108,6 +144,14 @@ def snippet_window(postings: DataFrame, alternatives: list[list[tuple[str, ...]]
     return counted.groupBy("document_id").agg(F.max(F.struct(F.col("hits"), (-F.col("first_pos")).alias("back"))).alias("m")).select("document_id", (-F.col("m.back")).alias("first_pos"), F.col("m.hits").alias("hits"))
 
 
+def snippet_text(texts: DataFrame, windows: DataFrame, alternatives: list[list[tuple[str, ...]]], size: int = 32, key: str = "document_id", text: str = "full_text") -> DataFrame:
+    """Rows (document_id, snippet): each window's tokens as they stand, query terms marked >>>term<<<, dots where text was left out."""
+    terms = sorted({t for alt in alternatives for p in alt for t in p})
+    x = texts.select(F.col(key).alias("document_id"), F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)).alias("w")).join(windows.select("document_id", "first_pos"), "document_id")
+    marked = F.transform(F.slice("w", F.col("first_pos") + 1, F.lit(size)), lambda t: F.when(fold(t).isin(terms), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t))
+    return x.select("document_id", F.concat(F.when(F.col("first_pos") > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.col("first_pos") + size < F.size("w"), "...").otherwise("")).alias("snippet"))
+
+
 def index_consistency(texts: DataFrame, indexed: DataFrame) -> DataFrame:
     """One row: text rows, indexed rows, missing from the index, orphans in it, ok."""
     t = texts.filter("trim(full_text) <> ''").select("document_id").distinct()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.functions.records import canonical_url
+from recordspark.functions.records import canonical_url, file_stem, set_key
 
 
 class _Signals(HTMLParser):
@@ -99,6 +99,19 @@ def findings(pages: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     return p.select("url", F.explode(named).alias("problem"))
 
 
+def media_paths(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (id, path, how) of documents (id, data_set, filename) among stored files (set_dir, path).
+
+    First the file of that name in the set's own folder, then one of that name anywhere, then one of that stem; the least path of several.
+    """
+    f = files.select("set_dir", "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name")).withColumn("stem", file_stem(F.col("name")))
+    d = documents.filter("filename is not null").select("id", set_key(F.col("data_set")).alias("set_dir"), F.col("filename").alias("name"), file_stem(F.col("filename")).alias("stem"))
+    least = lambda keys, name: f.groupBy(*keys).agg(F.min("path").alias(name))
+    out = d.join(least(["set_dir", "name"], "a"), ["set_dir", "name"], "left").join(least(["name"], "b"), "name", "left").join(least(["stem"], "c"), "stem", "left")
+    how = F.when(F.col("a").isNotNull(), "set").when(F.col("b").isNotNull(), "name").when(F.col("c").isNotNull(), "stem").otherwise("missing")
+    return out.select("id", F.coalesce("a", "b", "c").alias("path"), how.alias("how"))
+
+
 def resolve_references(references: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References (bates_number, ...) with their document id, and those no record answers; callers fail on any of these."""
     known = documents.select("bates_number", F.col("id").alias("document_id")).filter("bates_number is not null")

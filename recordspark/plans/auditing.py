@@ -123,6 +123,35 @@ def ocr_candidate_choice(t: Tables):
     return x.groupBy("document_id").agg(F.max(F.struct((F.col("average_confidence") >= 0.5).alias("a"), F.col("word_count").alias("b"), (-F.col("id")).alias("c"), F.col("ocr_engine").alias("engine")))["engine"].alias("engine"))
 
 
+@query(
+    """WITH p AS (SELECT document_id, list_transform(range(1, len(pages_text) + 1), lambda k: {'n': coalesce(pages_text[k], ''), 'o': coalesce(pages_text[k], '') || CASE WHEN length(trim(coalesce(pages_text[k], ''))) % 3 = 0 THEN '' ELSE ' seen again: ' || coalesce(pages_text[k], '') END}) AS z, coalesce(average_confidence, 0) AS c FROM document_texts WHERE len(pages_text) > 0),
+    t AS (SELECT document_id, c, list_transform(z, lambda p: {'t': length(trim(p.n)) < 50 AND length(trim(p.o)) > 0 AND (length(trim(p.n)) = 0 OR length(trim(p.o)) > length(trim(p.n)) * 1.25), 'n': p.n, 'o': p.o}) AS z FROM p),
+    f AS (SELECT document_id, c, z, list_filter(z, lambda p: length(trim(CASE WHEN p.t THEN p.o ELSE p.n END)) > 0) AS f FROM t)
+    SELECT document_id, length(array_to_string(list_transform(z, lambda p: CASE WHEN p.t THEN p.o ELSE p.n END), '|')) AS chars, round(CASE WHEN len(f) > 0 THEN list_sum(list_transform(f, lambda p: CASE WHEN p.t THEN c ELSE 1.0::DOUBLE END)) / len(f) ELSE 0 END, 6) AS confidence,
+    CASE WHEN len(list_filter(z, lambda p: p.t)) > 0 THEN CASE WHEN len(list_filter(z, lambda p: length(trim(p.n)) >= 50)) > 0 THEN 'hybrid' ELSE 'ocr' END ELSE 'native' END AS method FROM f"""
+)
+def hybrid_pages(t: Tables):
+    # a second reading of each page, that adds to some of them
+    ocr = F.transform("pages_text", lambda p: F.concat(F.coalesce(p, F.lit("")), F.when(F.length(F.trim(F.coalesce(p, F.lit("")))) % 3 == 0, "").otherwise(F.concat(F.lit(" seen again: "), F.coalesce(p, F.lit(""))))))
+    x = t.document_texts.filter("size(pages_text) > 0").select("document_id", "pages_text", ocr.alias("ocr"), F.transform("pages_text", lambda p: F.coalesce("average_confidence", F.lit(0.0))).alias("c"))
+    h = x.select("document_id", Q.hybrid_pages(F.col("pages_text"), F.col("ocr"), F.col("c")).alias("h"))
+    return h.select("document_id", F.length(F.array_join("h.pages", "|")).cast("bigint").alias("chars"), F.round("h.confidence", 6).alias("confidence"), "h.method")
+
+
+@query("WITH l AS (SELECT document_id, page_number, lower(role) AS role, count(*) AS n, sum(round(extraction_confidence * 100)) AS s FROM mentions WHERE trim(coalesce(name_as_appears, '')) <> '' AND extraction_confidence >= 0 GROUP BY 1, 2, 3) SELECT document_id, round(sum(s) / sum(n) / 100, 6) AS confidence, round(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) / sum(n), 6) AS dense FROM l GROUP BY 1")
+def word_figures(t: Tables):
+    # mentions read as recognised words, their page and role as block and line
+    w = t.mentions.select("document_id", "page_number", F.lower("role").alias("role"), F.col("name_as_appears").alias("text"), F.round(F.col("extraction_confidence") * 100).alias("conf"))
+    return Q.word_figures(w, ["document_id"], ["page_number", "role"]).select("document_id", F.round("confidence", 6).alias("confidence"), F.round("dense", 6).alias("dense"))
+
+
+@query("SELECT id, w > 10 AND w < 612 * 0.95 AND h > 5 AND h < greatest(100.0, 792 * 0.15) AS sized, g <= 0.1 AS dark FROM (SELECT id, position_end - position_start AS w, coalesce(page_number, 1) * 9 AS h, 1 - extraction_confidence AS g FROM mentions WHERE position_start IS NOT NULL AND position_end IS NOT NULL AND extraction_confidence IS NOT NULL)")
+def redaction_rectangles(t: Tables):
+    m = t.mentions.filter("position_start is not null and position_end is not null and extraction_confidence is not null")
+    g = 1 - F.col("extraction_confidence")
+    return m.select("id", Q.redaction_sized(F.col("position_end") - F.col("position_start"), F.coalesce("page_number", F.lit(1)) * 9, F.lit(612), F.lit(792)).alias("sized"), Q.dark_fill(F.array(g, F.lit(0.0).cast("double"), g)).alias("dark"))
+
+
 @query("SELECT document_id, CASE WHEN o > 1.25 * n THEN 'ocr' WHEN n > 0 THEN 'native' ELSE 'none' END AS method FROM (SELECT document_id, length(coalesce(full_text, '')) AS n, coalesce(length(array_to_string(pages_text, ' ')), 0) AS o FROM document_texts)")
 def hybrid_page_choice(t: Tables):
     n, o = F.length(F.coalesce("full_text", F.lit(""))), F.coalesce(F.length(F.array_join("pages_text", " ")), F.lit(0))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.functions import urls as U
+from recordspark.functions.records import file_stem, provenance, released_name, set_key
 from recordspark.functions.text import html_escape
-from recordspark.operators.pages import findings, resolve_references
+from recordspark.operators.pages import findings, media_paths, resolve_references
 from recordspark.operators.visibility import parse_policy
 from recordspark.plans.api import Archive
 from recordspark.plans.browsing import _HIDDEN, POLICY, SET_KEY, TYPE_KEY
@@ -137,6 +138,28 @@ def page_audit(t: Tables):
     return findings(d.select("url", "status", "content_type", F.col("url").alias("final_url"), html.alias("html")))
 
 
+_STEM = r"regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '\.[^.]*$', '')"
+
+
+@query(
+    f"""WITH f AS (SELECT set_dir, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM (SELECT {SET_KEY.format('data_set')} AS set_dir, CASE WHEN id % 3 = 0 THEN 'media/' || filename WHEN id % 3 = 1 THEN 'media/' || {_STEM.format('filename')} || '.mp4' END AS path FROM archive_documents WHERE filename IS NOT NULL) WHERE path IS NOT NULL),
+    d AS (SELECT id, {SET_KEY.format('data_set')} AS set_dir, filename AS name, {_STEM.format('filename')} AS stem FROM archive_documents WHERE filename IS NOT NULL)
+    SELECT id, coalesce(a, b, c) AS path, CASE WHEN a IS NOT NULL THEN 'set' WHEN b IS NOT NULL THEN 'name' WHEN c IS NOT NULL THEN 'stem' ELSE 'missing' END AS how FROM (SELECT d.id, x.p AS a, y.p AS b, z.p AS c FROM d LEFT JOIN (SELECT set_dir, name, min(path) AS p FROM f GROUP BY 1, 2) x ON x.set_dir = d.set_dir AND x.name = d.name
+    LEFT JOIN (SELECT name, min(path) AS p FROM f GROUP BY 1) y ON y.name = d.name LEFT JOIN (SELECT {_STEM.format('name')} AS stem, min(path) AS p FROM f GROUP BY 1) z ON z.stem = d.stem)"""
+)
+def media_lookup(t: Tables):
+    # stored files: some under their names, some as converted media, some not at all
+    d = t.archive_documents.filter("filename is not null")
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("media/"), "filename")).when(F.col("id") % 3 == 1, F.concat(F.lit("media/"), file_stem(F.col("filename")), F.lit(".mp4")))
+    return media_paths(t.archive_documents, d.select(set_key(F.col("data_set")).alias("set_dir"), path.alias("path")).filter("path is not null"))
+
+
+@query(f"SELECT id, CASE WHEN k = 'release-12' THEN 'Last release' WHEN starts_with(k, 'release-') THEN 'Evidence release' ELSE 'Public release' END AS provenance, CASE WHEN filename <> '' AND filename IS DISTINCT FROM bates_number AND filename IS DISTINCT FROM bates_number || '.pdf' THEN filename WHEN regexp_matches(coalesce(title, ''), '(?i)\\.[a-z0-9]{{2,4}}$') THEN title ELSE '' END AS released FROM (SELECT *, {SET_KEY.format('data_set')} AS k FROM archive_documents)")
+def record_provenance(t: Tables):
+    k = set_key(F.col("data_set"))
+    return t.archive_documents.select("id", provenance(k, {"release-12": "Last release"}).alias("provenance"), released_name(F.col("filename"), F.col("title"), F.col("bates_number")).alias("released"))
+
+
 @query()
 def utf8_parts(t: Tables):
     x = t.document_texts.filter("full_text <> ''")

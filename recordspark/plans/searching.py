@@ -10,6 +10,7 @@ from recordspark.functions import text as X
 from recordspark.operators import fts
 from recordspark.plans.query_language import as_phrase, parse
 from recordspark.plans.registry import Tables, query
+from recordspark.session import shared_folder
 
 _POST = r"""WITH tx AS (SELECT document_id, regexp_extract_all(strip_accents(lower(full_text)), '[\p{L}\p{N}]+') AS w FROM document_texts WHERE trim(full_text) <> ''),
 po AS (SELECT document_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tx)"""
@@ -21,8 +22,14 @@ def _phrase(words: list[str]) -> str:
 
 
 def _index(t: Tables):
-    x = t.document_texts.select("document_id", "full_text")
-    return fts.build_postings(x), fts.lengths(x)
+    """The written index of a folder's texts; built once per session and state of the files, in the shared folder."""
+    files = t.document_texts.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    state = files.agg(F.sum(F.xxhash64("file_path", "file_modification_time", "file_size") % F.lit(1 << 40)).alias("s")).first()["s"]
+    path = f"{shared_folder(t.spark)}/text-index-{state}"
+    done = t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lengths/_SUCCESS")
+    if not done.getFileSystem(t.spark._jsc.hadoopConfiguration()).exists(done):
+        fts.write_index(t.document_texts.select("document_id", "full_text"), path)
+    return fts.read_postings(t.spark, path), fts.read_lengths(t.spark, path)
 
 
 @query(_POST + " SELECT term, count(*) AS n, count(DISTINCT document_id) AS documents FROM po GROUP BY 1")
@@ -83,11 +90,36 @@ def fts_plus_filename_fill(t: Tables):
     return hits.unionByName(named.select("id", F.lit(0.5).alias("score"), F.lit(1).alias("src"))).orderBy("src", "score", F.desc("id")).limit(40)
 
 
-@query()
+_WINDOW = _POST + """, hp AS (SELECT document_id, pos - 1 AS pos FROM po WHERE term IN ('yacht', 'lodge')), sp AS (SELECT document_id, unnest(range(greatest(pos - 31, 0), pos + 1)) AS first_pos FROM hp), cn AS (SELECT document_id, first_pos, count(*) AS hits FROM sp GROUP BY 1, 2),
+    wi AS (SELECT document_id, arg_min(first_pos, (-hits, first_pos)) AS first_pos, max(hits) AS hits FROM cn GROUP BY 1)"""
+
+
+@query(_WINDOW + " SELECT document_id, first_pos, hits FROM wi")
 def fts_snippet_window(t: Tables):
     return fts.snippet_window(_index(t)[0], parse("yacht OR lodge"))
 
 
+@query(
+    _WINDOW
+    + r""" SELECT document_id, (CASE WHEN first_pos > 0 THEN '...' ELSE '' END) || array_to_string(list_transform(w[first_pos + 1 : first_pos + 32], lambda t: CASE WHEN strip_accents(lower(t)) IN ('yacht', 'lodge') THEN '>>>' || t || '<<<' ELSE t END), ' ') || (CASE WHEN first_pos + 32 < len(w) THEN '...' ELSE '' END) AS snippet
+    FROM (SELECT wi.document_id, first_pos, regexp_extract_all(full_text, '[\p{L}\p{N}]+') AS w FROM wi JOIN document_texts t ON t.document_id = wi.document_id)"""
+)
+def fts_snippet_text(t: Tables):
+    asked = parse("yacht OR lodge")
+    return fts.snippet_text(t.document_texts, fts.snippet_window(_index(t)[0], asked), asked)
+
+
+@query("SELECT d.id FROM archive_documents d LEFT JOIN document_texts x ON x.document_id = d.id WHERE contains(lower(coalesce(d.title, '')), 'ledger') OR contains(lower(coalesce(d.filename, '')), 'ledger') OR contains(lower(coalesce(x.full_text, '')), 'ledger')")
+def contains_full_text(t: Tables):
+    d = t.archive_documents.select("id", "title", "filename").join(t.document_texts.select(F.col("document_id").alias("id"), "full_text"), "id", "left")
+    return d.filter(X.contains_any([F.col("title"), F.col("filename"), F.col("full_text")], "ledger")).select("id")
+
+
+@query("SELECT id, regexp_matches(trim(title), '(?i)^[A-Za-z0-9_.\-]+\.(pdf|jpe?g|png|tiff?|mp4|mov|avi|wav|mp3|m4a|docx?|xlsx?|txt)$') AS is_filename FROM archive_documents WHERE title IS NOT NULL")
+def titles_like_filenames(t: Tables):
+    return t.archive_documents.filter("title is not null").select("id", X.looks_like_filename(F.col("title")).alias("is_filename"))
+
+
 @query(
     """SELECT document_id, CASE WHEN p > 0 THEN (CASE WHEN b > 1 THEN '...' ELSE '' END) || substr(x, b, p - b) || '>>>' || substr(x, p, 10) || '<<<' || substr(x, p + 10, e - (p + 10) + 1) || (CASE WHEN e < length(x) THEN '...' ELSE '' END)
     WHEN length(x) > 300 THEN substr(x, 1, 300) || '...' ELSE x END AS snippet FROM (SELECT *, greatest(p - 150, 1) AS b, least(p + 10 - 1 + 150, length(x)) AS e FROM (SELECT document_id, full_text AS x, instr(lower(full_text), 'restricted') AS p FROM document_texts WHERE full_text <> ''))"""

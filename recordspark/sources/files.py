@@ -49,10 +49,10 @@ def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = tuple
     return out.select("path", "filename", F.when(F.size(parts) > 1, first).alias("category"), F.when(F.lower(first).contains("data-set"), first).alias("data_set"), F.element_at(types, F.col("ext")).alias("content_type"), "size")
 
 
-def expand_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (archive, name, size, md5) of the members of ZIP files; of archives equal in their first MiB one is read."""
+def expand_archives(spark: SparkSession, path: str, head_bytes: int | None = None) -> DataFrame:
+    """Rows (archive, name, size, md5) of the members of ZIP files; of equal archives one is read, equal in their first ``head_bytes`` if these are given."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    one = raw.withColumn("head", F.md5(F.expr("substring(content, 1, 1048576)"))).groupBy("head").agg(F.min("path").alias("path")).select("path")
+    one = raw.withColumn("head", F.md5(F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes))).groupBy("head").agg(F.min("path").alias("path")).select("path")
 
     def members(batches: Iterator[pd.DataFrame]):
         import hashlib
@@ -114,6 +114,56 @@ class PagedReader(DataSourceReader):
             after = rows[-1][0]
 
 
+def offset_pages(fetch: Callable[[int, int], list[tuple]], page: int = 5000) -> Iterator[tuple]:
+    """Rows of ``fetch(offset, limit)``, page by page until a short one."""
+    at = 0
+    while True:
+        rows = fetch(at, page)
+        yield from rows
+        if len(rows) < page:
+            return
+        at += len(rows)
+
+
+def cursor_pages(fetch: Callable[[str | None], tuple[list[tuple], str | None]]) -> Iterator[tuple]:
+    """Rows of ``fetch(cursor)``, which gives a page and the next cursor; a cursor or key given twice is an error."""
+    cursor, seen, keys = None, set(), set()
+    while True:
+        rows, after = fetch(cursor)
+        for r in rows:
+            if r[0] in keys:
+                raise ValueError(f"the inventory repeats the key {r[0]}")
+            keys.add(r[0])
+            yield r
+        if not after:
+            return
+        if after in seen:
+            raise ValueError("the inventory repeats a cursor")
+        seen.add(after)
+        cursor = after
+
+
+def sequential_source(name_: str, schema_: str, rows: Callable[[], Iterator[tuple]]) -> type[DataSource]:
+    """A Python data source class over pages that only follow one another, such as those of ``offset_pages`` and ``cursor_pages``."""
+
+    class Rows(DataSourceReader):
+        def read(self, partition):
+            yield from rows()
+
+    class Sequential(DataSource):
+        @classmethod
+        def name(cls):
+            return name_
+
+        def schema(self):
+            return schema_
+
+        def reader(self, schema):
+            return Rows()
+
+    return Sequential
+
+
 def paged_source(name_: str, schema_: str, fetch: Callable[[int, int, int], list[tuple]], low: int, high: int, parts: int = 4, page: int = 1000, retries: int = 3) -> type[DataSource]:
     """A Python data source class over ``fetch(after, end, limit)``: rows with after < key < end in key order, the key first."""
 

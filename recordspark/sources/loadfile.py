@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordspark.operators.state import positions
+
 QUOTE, FIELD = "þ", "\x14"
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Rows (file, line_no, line) of whole files decoded in one encoding; load files are small beside their images."""
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
-    rows = raw.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
+    """Rows (file, line_no, line) of the lines that are not blank, numbered from 0 over all lines of a file.
+
+    Files are read in splits; a line's number comes from counts per range, see ``positions``.
+    """
+    utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+    reader = spark.read.option("sep", "\u0001").option("quote", "").option("escape", "").option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("maxCharsPerColumn", -1).schema("value string")
+    read = spark.read.text(path) if utf8 else reader.csv(path)
+    raw = read.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    rows = positions(raw, "file", "_block", "_n").select("file", (F.col("position") - 1).alias("line_no"), F.regexp_replace(F.regexp_replace("line", "^\ufeff", ""), "\r$", "").alias("line"))
     return rows.filter(F.trim("line") != "")
 
 
