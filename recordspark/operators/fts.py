@@ -44,9 +44,11 @@ def _write_postings(postings: DataFrame, path: str, buckets: int, dynamic: bool
 
 def write_index(texts: DataFrame, path: str, key: str = "document_id", text: str = "full_text", per_bucket: int = PER_BUCKET) -> None:
     """Full rebuild of the index under ``path``; the number of buckets follows the number of tokens. Lengths come last."""
-    sizes = cut(lengths(texts, key, text))
+    base = texts.select(F.col(key).alias("document_id"), F.col(text).alias("t")).filter("trim(t) <> ''")
+    held = cut(base.select("document_id", tokens(F.col("t")).alias("w")))  # texts are cut into tokens once
+    sizes = held.select("document_id", F.size("w").alias("tokens"))
     buckets = max(1, -(-int(sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // per_bucket))
-    _write_postings(build_postings(texts, key, text), path, buckets)
+    _write_postings(held.select("document_id", F.posexplode("w").alias("pos", "term")).select("term", "document_id", "pos"), path, buckets)
     sizes.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
