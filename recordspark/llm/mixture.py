@@ -133,7 +133,7 @@ def mixture(documents: DataFrame, targets: DataFrame, schedule: dict[str, list[t
     root = F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * a * rest))
     x = F.when((b + root) > 0, 2 * rest / (b + root)).otherwise(0.0)
     out = taken.select("doc_id", "source", "copy", "tokens", F.round(F.least(F.lit(1.0), F.col("s.t0") + F.least(x, F.col("s.h"))), 9).alias("position"))
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "source", "doc_id", "copy")
+    return out.repartitionByRange("position", "source", "doc_id", "copy").sortWithinPartitions("position", "source", "doc_id", "copy")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

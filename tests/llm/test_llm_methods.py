@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from recordspark.llm import abuse, cooccurrence, emails, leakage, names, pii, scans, truncation
+from recordspark.llm import abuse, cooccurrence, emails, formdup, leakage, names, pii, scans, truncation
 
 sys.path.insert(0, str(Path(__file__).parent))
 import abuse_sentences  # noqa: E402
@@ -326,3 +326,35 @@ def test_recall_does_not_fall_with_repeated_rows(spark):
             groups.setdefault(k, []).append(i)
         right = sum(got.get(i) == min(g) for g in groups.values() for i in g)
         assert right >= 0.97 * len(e), (times, right, len(e))
+
+
+# 4
+
+
+NESTED = "id long, name string, parts array<struct<no: int, label: string>>, about map<string, string>, inner struct<a: string, b: struct<c: string>>"
+
+
+def test_nested_records(spark):
+    r = spark.createDataFrame(
+        [
+            (1, "The Box", [(1, "Red"), (2, "Blue")], {"x": "1", "y": "2"}, ("a", ("C",))), (2, "the box!", [(2, "blue"), (1, "RED")], {"y": "2", "x": "1"}, ("A", ("c.",))),
+            (3, "The Box", [(1, "Blue"), (2, "Red")], {"x": "1", "y": "2"}, ("a", ("C",))), (4, None, None, None, None), (5, "", None, None, None), (None, "The Box", None, None, None), (2, "the box!", [(2, "blue"), (1, "RED")], {"y": "2", "x": "1"}, ("A", ("c.",))),
+        ],
+        NESTED,
+    )
+    assert rows(formdup.record_groups(r, "id")) == [(1, 1), (1, 2), (4, 4), (4, 5)]
+    assert rows(formdup.record_groups(r, "id", ordered=True).filter("first_id <> copy_id")) == [(4, 5)]
+    assert rows(formdup.record_groups(r.limit(0), "id")) == []
+
+
+def test_contents_of_one_digest_are_told_apart(spark):
+    roots = spark.createDataFrame([(i, "r") for i in range(1, 6)] + [(9, "s")], "id long, root string")
+    contents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c"), (9, "x")], "id long, content string")
+    assert rows(formdup._proven(roots, contents).filter("first <> id")) == [(1, 3), (2, 4)]
+
+
+def test_labels_are_a_parameter(spark):
+    d = spark.createDataFrame([], "id long, file_hash string")
+    t = spark.createDataFrame([(1, "Bates Begin: A\nShelf: top\nRoom: 3"), (2, "Bates Begin: A\nRoom: 3\nShelf: top")], "document_id long, full_text string")
+    assert rows(formdup.copy_groups(d, t)) == []
+    assert rows(formdup.copy_groups(d, t, labels=("Bates Begin", "Shelf", "Room"))) == [(1, 1), (1, 2)]
