@@ -108,10 +108,12 @@ def _proven(roots: DataFrame, contents: DataFrame) -> DataFrame:
     members = roots.join(text_first, "root").select("id", "root", "first")
     held = contents.join(members.select("id", "root"), "id").select("root", "id", "content")
     # whole content compared: one string per root, gathered by its least and greatest
-    proof = held.groupBy("root").agg(F.min("content").alias("low"), F.max("content").alias("high"))
-    same = members.join(proof.filter("low = high").select("root"), "root").select("first", "id")
+    proof = cut(held.groupBy("root").agg((F.min("content") == F.max("content")).alias("same")))
+    same = members.join(proof.filter("same").select("root"), "root").select("first", "id")
+    if proof.filter("not same").isEmpty():
+        return same
     # two contents under one digest: told apart by themselves
-    apart = held.join(proof.filter("low <> high").select("root"), "root")
+    apart = held.join(proof.filter("not same").select("root"), "root")
     firsts = apart.groupBy("root", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return same.unionAll(apart.join(firsts, ["root", "content"]).select("first", "id"))
 
