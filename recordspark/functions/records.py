@@ -87,6 +87,12 @@ def media_type(c: Column) -> Column:
     return F.coalesce(_lookup(bare, MEDIA_ALIASES), F.nullif(bare, F.lit("")))
 
 
+def native_target(bates: Column, title: Column, folder: str = "natives") -> Column:
+    """(key, content_type) of the native media a record's title names by its ending; null where it names none."""
+    ending = F.lower(F.regexp_extract(F.coalesce(title, F.lit("")), r"(?i)\.(mp4|mov|avi|wmv)$", 1))
+    return F.when((ending != "") & bates.isNotNull(), F.struct(F.concat(F.lit(folder + "/"), bates, F.lit("."), ending).alias("key"), _lookup(ending, MEDIA_TYPES).alias("content_type")))
+
+
 def content_type_of(name: Column, document_type: Column) -> Column:
     return F.coalesce(_lookup(extension(name), MEDIA_TYPES), F.when(F.lower(document_type).contains("mail"), "message/rfc822"), F.lit("application/octet-stream"))
 

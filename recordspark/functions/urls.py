@@ -43,6 +43,28 @@ def byte_range(value: Column) -> Column:
     return F.struct(part(1).alias("first"), part(2).alias("last"), part(3).alias("total"))
 
 
+def hashed_asset(html: Column, ending: str = "js") -> Column:
+    """The first asset of a page whose name holds the hash of its content; null without one."""
+    return F.nullif(F.regexp_extract(html, rf"""(?:src|href)=["']([^"']*[-.][0-9a-fA-F]{{8,}}\.{ending})["']""", 1), F.lit(""))
+
+
+def is_jpeg(content: Column) -> Column:
+    """Whether bytes begin as a JPEG file does."""
+    return F.coalesce(F.hex(F.substring(content, 1, 3)) == "FFD8FF", F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def truncate_utf8(texts: pd.Series, most: pd.Series, note: pd.Series) -> pd.Series:
+    """Texts of more than ``most`` bytes cut between characters, with a note that keeps them within; null stays null."""
+
+    def cut(text, limit, said):
+        if text is None or len(text.encode()) <= limit:
+            return text
+        return text.encode()[: max(0, limit - len(said.encode()))].decode("utf-8", "ignore") + said
+
+    return pd.Series([cut(t, n, x) for t, n, x in zip(texts, most, note)])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def utf8_chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
     """Parts of at most ``most`` bytes, cut between characters; there is no built-in for it."""

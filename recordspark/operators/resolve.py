@@ -14,11 +14,13 @@ from recordspark.functions.names import merge_key, type_key
 from recordspark.session import cut
 
 
-def override_types(entities: DataFrame, rules: DataFrame) -> DataFrame:
+def override_types(entities: DataFrame, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
     """Entities with the type of the first rule (pattern, forced_type) whose pattern their name contains.
 
-    ``rules`` is a small hand-written table; it is matched as a list per entity.
+    ``rules`` is a hand-written table of at most ``most_rules`` rows; it is matched as a list per entity.
     """
+    if rules.limit(most_rules + 1).count() > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
     listed = rules.agg(F.sort_array(F.collect_list(F.struct(F.lower("pattern").alias("pattern"), "forced_type"))).alias("rules"))
     name = F.lower("canonical_name")
     out = entities.crossJoin(F.broadcast(listed))
@@ -69,6 +71,13 @@ def groups(entities: DataFrame) -> DataFrame:
     return g.select("name_key", "kind", (-F.col("t.i")).alias("rep_id"), F.col("t.n").alias("rep_name"), "total", "members")
 
 
+def sibling_groups(entities: DataFrame) -> DataFrame:
+    """Rows (entity_id, first_sibling, siblings): each entity with the least id of its name and type and their number; no pairs are made."""
+    keyed = entities.select(F.col("id").alias("entity_id"), F.lower("canonical_name").alias("name_key"), type_key(F.col("entity_type")).alias("kind")).filter("name_key is not null")
+    heads = keyed.groupBy("name_key", "kind").agg(F.min("entity_id").alias("first_sibling"), F.count(F.lit(1)).alias("siblings"))
+    return keyed.join(heads, ["name_key", "kind"]).select("entity_id", "first_sibling", "siblings")
+
+
 def siblings(entities: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows (entity_id, sibling_id): entities of one lower-cased name and type, itself included, the ``cap`` most mentioned."""
     keyed = entities.select("id", F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.lower("canonical_name").alias("name_key"), type_key(F.col("entity_type")).alias("kind")).filter("name_key is not null")

@@ -17,6 +17,7 @@ from recordspark.functions import records as R
 from recordspark.functions import text as X
 from recordspark.functions.names import type_key
 from recordspark.operators import fts, graph, resolve
+from recordspark.operators.state import positions
 from recordspark.operators.visibility import Policy, hidden_ids, visible, without_hidden
 from recordspark.plans.query_language import parse
 
@@ -208,6 +209,28 @@ class Archive:
         e = self.entities.select(F.col("id").alias("entity_id"), "canonical_name", "entity_type")
         return shown, m.join(e, "entity_id").orderBy("id").limit(100).select("entity_id", "canonical_name", "entity_type", "name_as_appears", "role")
 
+    def collection_page(self, data_set: str, page: int = 1, size: int = 24) -> tuple[DataFrame, DataFrame]:
+        """The items of one page of a release in order of file name (position, id, title, meta), and one row (total, pages, page, links); a page out of range is the nearest."""
+        from recordspark.plans.browsing import links
+
+        d = self.shown().filter(R.set_key(F.col("data_set")) == data_set)
+        about = d.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int"))
+        about = links(about.withColumn("page", F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages"))))
+        at = about.select("page").first()["page"]
+        items = d.select("id", "filename", F.coalesce(F.nullif("title", F.lit("")), "filename").alias("title"), R.item_meta(R.set_key(F.col("data_set")), R.doc_type_key(F.col("document_type")), F.col("page_count")).alias("meta"), F.lit(data_set).alias("k"))
+        placed = positions(items, "k", "filename", "id").filter(F.col("position").between((at - 1) * size + 1, at * size))
+        return placed.orderBy("position").select("position", "id", "title", "meta"), about
+
+    def record_page(self, document_id: int) -> DataFrame:
+        """One record with its description and the records before and after it in its release, by file name; no row if hidden or unknown."""
+        d = self.shown().filter(F.col("id") == document_id)
+        x = self.texts.select(F.col("document_id").alias("id"), F.substring("full_text", 1, 280).alias("head"))
+        mine = d.select(F.col("id").alias("of"), R.set_key(F.col("data_set")).alias("set"), F.struct(F.col("filename"), F.col("id")).alias("at"))
+        other = self.shown().filter("filename is not null").select(F.col("id").alias("o"), R.set_key(F.col("data_set")).alias("set"), F.struct(F.col("filename"), F.col("id")).alias("there"))
+        beside = other.join(F.broadcast(mine), "set").groupBy("of").agg(F.max(F.when(F.col("there") < F.col("at"), F.col("there"))).alias("b"), F.min(F.when(F.col("there") > F.col("at"), F.col("there"))).alias("a"))  # one record's row
+        told = F.concat(F.coalesce("title", "filename", F.lit("")), F.lit(" ("), F.coalesce("data_set", F.lit("unsorted")), F.lit(")"), F.coalesce(F.concat(F.lit(": "), "head"), F.lit("")))
+        return d.join(x, "id", "left").join(beside.withColumnRenamed("of", "id"), "id", "left").select("id", "bates_number", "title", told.alias("description"), F.col("b.id").alias("previous"), F.col("a.id").alias("next"))
+
     def stats(self) -> DataFrame:
         m = self.shown_mentions().agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("entity_id").alias("mentioned_entities"))
         return self.shown().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages")).crossJoin(m)

@@ -86,6 +86,23 @@ def facade_records(t: Tables):
     return archive(t, POLICY).records("00001", 50, 10)[0]
 
 
+@query(
+    f"""WITH v AS (SELECT d.id, d.filename, coalesce(nullif(d.title, ''), d.filename) AS title FROM archive_documents d WHERE NOT {_HIDDEN} AND {SET_KEY.format('d.data_set')} = 'release-01'), p AS (SELECT *, row_number() OVER (ORDER BY filename NULLS FIRST, id) AS position FROM v)
+    SELECT position, id, title FROM p WHERE position BETWEEN (SELECT least(2, greatest(ceil(count(*) / 24.0), 1)) FROM v) * 24 - 23 AND (SELECT least(2, greatest(ceil(count(*) / 24.0), 1)) FROM v) * 24"""
+)
+def facade_collection_page(t: Tables):
+    return archive(t, POLICY).collection_page("release-01", 2)[0].select("position", "id", "title")
+
+
+@query(
+    f"""WITH v AS (SELECT d.id, d.filename, {SET_KEY.format('d.data_set')} AS k FROM archive_documents d WHERE NOT {_HIDDEN}), m AS (SELECT * FROM v WHERE id = 12)
+    SELECT m.id, (SELECT o.id FROM v o WHERE o.k = m.k AND o.filename IS NOT NULL AND (m.filename IS NOT NULL AND (o.filename < m.filename OR (o.filename = m.filename AND o.id < m.id))) ORDER BY o.filename DESC, o.id DESC LIMIT 1) AS previous,
+    (SELECT o.id FROM v o WHERE o.k = m.k AND o.filename IS NOT NULL AND (m.filename IS NULL OR o.filename > m.filename OR (o.filename = m.filename AND o.id > m.id)) ORDER BY o.filename, o.id LIMIT 1) AS next FROM m"""
+)
+def facade_record_page(t: Tables):
+    return archive(t, POLICY).record_page(12).select("id", "previous", "next")
+
+
 @query("SELECT d.id, d.page_count, d.k AS page, 'ARC-' || lpad(CAST(12 + d.k AS VARCHAR), 9, '0') AS bates, substr(x.full_text, 1, 2000) AS preview FROM (SELECT id, greatest(coalesce(page_count, 1), 1) AS page_count, unnest(range(0, greatest(coalesce(page_count, 1), 1)))::INT AS k FROM archive_documents WHERE bates_number = 'ARC-000000012') d LEFT JOIN document_texts x ON x.document_id = d.id")
 def facade_record(t: Tables):
     shown = archive(t, POLICY).record("ARC-000000012")[0]

@@ -73,9 +73,9 @@ def entity_documents_role(t: Tables):
     return g.orderBy(F.desc("n"), "document_id").limit(5)
 
 
-@query(f"SELECT a.id AS entity_id, b.id AS sibling_id FROM entities a JOIN entities b ON lower(a.canonical_name) = lower(b.canonical_name) AND {KIND.format('a.entity_type')} = {KIND.format('b.entity_type')}")
+@query(f"SELECT id AS entity_id, min(id) OVER (PARTITION BY lower(canonical_name), {KIND.format('entity_type')}) AS first_sibling, count(*) OVER (PARTITION BY lower(canonical_name), {KIND.format('entity_type')}) AS siblings FROM entities WHERE canonical_name IS NOT NULL")
 def entity_siblings(t: Tables):
-    return resolve.siblings(t.entities)
+    return resolve.sibling_groups(t.entities)
 
 
 @query(

@@ -115,7 +115,7 @@ def contains_full_text(t: Tables):
     return d.filter(X.contains_any([F.col("title"), F.col("filename"), F.col("full_text")], "ledger")).select("id")
 
 
-@query("SELECT id, regexp_matches(trim(title), '(?i)^[A-Za-z0-9_.\-]+\.(pdf|jpe?g|png|tiff?|mp4|mov|avi|wav|mp3|m4a|docx?|xlsx?|txt)$') AS is_filename FROM archive_documents WHERE title IS NOT NULL")
+@query(r"SELECT id, regexp_matches(trim(title), '(?i)^[A-Za-z0-9_.\-]+\.(pdf|jpe?g|png|tiff?|mp4|mov|avi|wav|mp3|m4a|docx?|xlsx?|txt)$') AS is_filename FROM archive_documents WHERE title IS NOT NULL")
 def titles_like_filenames(t: Tables):
     return t.archive_documents.filter("title is not null").select("id", X.looks_like_filename(F.col("title")).alias("is_filename"))
 

@@ -179,7 +179,7 @@ def stratified_sample(t: Tables):
 
     d = t.document_texts.withColumn("band", band(F.col("average_confidence"))).filter("band is not null")
     w = W.partitionBy("band").orderBy(F.xxhash64("document_id", F.lit(11)))
-    return d.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("document_id", "band")
+    return d.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("document_id", "band", (F.pmod(F.xxhash64("document_id", F.lit(12)), F.greatest(F.size(F.coalesce("pages_text", F.array().cast("array<string>"))), F.lit(1))) + 1).cast("int").alias("page"))
 
 
 @query("SELECT x.document_id + 100 AS target_id, x.word_count FROM document_texts x JOIN archive_documents d ON d.id = x.document_id JOIN archive_documents p ON p.id = x.document_id + 100 WHERE d.filename IS NOT NULL AND trim(x.full_text) <> ''")

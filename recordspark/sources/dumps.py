@@ -75,6 +75,11 @@ def read_dump(spark: SparkSession, path: str, table: str, columns: Sequence[str]
     return pieces.mapInPandas(parse, ", ".join(f"{c} string" for c in columns))
 
 
+def probe_pages(rows: DataFrame, column: str = "probe") -> DataFrame:
+    """Adds ``pages`` read from a document probe's 'Pages: n' line; null without one."""
+    return rows.withColumn("pages", F.nullif(F.regexp_extract(column, r"(?m)^Pages:\s+([0-9]+)", 1), F.lit("")).cast("int"))
+
+
 def probe_fields(rows: DataFrame, column: str = "probe") -> DataFrame:
     """Adds ``seconds`` and ``has_audio`` read from a media probe's JSON; null where it cannot be read."""
     p = F.from_json(column, "format struct<duration: string>, streams array<struct<codec_type: string>>")

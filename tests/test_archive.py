@@ -182,3 +182,28 @@ def test_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session)
+
+
+def test_collection_and_record_pages(spark, tables):
+    d, t, e, m = tables
+    many = spark.createDataFrame([(100 + i, f"B-{i:03d}", "release 9", "pdf", None, None, f"f{i:03d}.pdf", 2) for i in range(50)], DOCS)
+    a = Archive(many, t, e, m, parse_policy("doc:103"))
+    items, about = a.collection_page("release-09", 9, 24)
+    assert rows(items, "position", "id") == [(49, 149)] and about.first()["pages"] == 3 and about.first()["page"] == 3 and about.first()["total"] == 49
+    assert rows(items, "meta") == [("release-09 · pdf · 2 pages",)]
+    assert rows(a.record_page(104), "previous", "next") == [(102, 105)] and rows(a.record_page(100), "previous", "next") == [(None, 101)]
+    assert rows(a.record_page(103)) == [] and a.collection_page("none")[1].first()["pages"] == 1
+
+
+def test_small_columns(spark):
+    x = spark.createDataFrame([('<script src="/a/app-0123abcd.js">', bytearray(b"\xff\xd8\xffrest"), "é" * 10, "B-1", "film.MP4", "Title: x\nPages:          12\n"), (None, None, None, None, None, None)], "h string, c binary, t string, b string, title string, probe string")
+    from recordspark.functions import urls as U
+
+    got = dumps.probe_pages(x).select(U.hashed_asset(F.col("h")), U.is_jpeg(F.col("c")), U.truncate_utf8(F.col("t"), F.lit(10), F.lit("..")), R.native_target(F.col("b"), F.col("title")), "pages").collect()
+    assert [tuple(r) for r in got] == [("/a/app-0123abcd.js", True, "éééé..", ("natives/B-1.mp4", "video/mp4"), 12), (None, False, None, None, None)]
+
+
+def test_sibling_groups(tables):
+    from recordspark.operators import resolve
+
+    assert sorted(rows(resolve.sibling_groups(tables[2]))) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
