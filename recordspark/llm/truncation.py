@@ -332,7 +332,8 @@ def judged(texts: DataFrame, documents: DataFrame, least_at_limit: int = 3, spik
 
     complete = found.filter("why = ''").groupBy("source").agg(F.count(F.lit(1)).alias("complete"))
     opened = found.filter("why = ''").select("source", F.explode("opened").alias("kind")).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
-    usually = opened.join(complete, "source").filter(F.col("n") > usual * F.col("complete")).groupBy("source").agg(F.collect_set("kind").alias("usually"))
+    # one text alone shows no habit
+    usually = opened.join(complete, "source").filter(F.col("n") > usual * F.col("complete") + 1).groupBy("source").agg(F.collect_set("kind").alias("usually"))
     found = found.join(usually, "source", "left").withColumn("opened", F.array_except("opened", F.coalesce("usually", F.array().cast("array<string>")))).drop("usually")
 
     lacking = ((F.col("why") != "") | (F.size("opened") > 0)).cast("int")
