@@ -419,7 +419,7 @@ HEAD = re.compile(r"(?:\b([A-Z]|Mr|Mrs|Ms|Dr|Prof|Capt)\.\s*|(?:^|[.!?:;\n])[\s>
 
 
 def _word_counts(batches):
-    """Partial sums (word, small, heads, capitals): texts that have it in small letters, and occurrences with a capital, at a sentence's head and in all."""
+    """Partial sums (word, small, heads, capitals, upper): texts that have it in small letters, and occurrences with a capital, at a sentence's head, in all, and all in capitals."""
     small: Counter = Counter()
     heads: Counter = Counter()
     capitals: Counter = Counter()
@@ -428,9 +428,12 @@ def _word_counts(batches):
         sums: dict[str, list[int]] = {}
         for k, counts in enumerate((small, heads, capitals)):
             for w, n in counts.items():
-                sums.setdefault(w.lower(), [0, 0, 0])[k] += n
+                row = sums.setdefault(w.lower(), [0, 0, 0, 0])
+                row[k] += n
+                if k == 2 and len(w) > 1 and w.isupper():
+                    row[3] += n
             counts.clear()
-        return pd.DataFrame([(w, *n) for w, n in sums.items()], columns=["word", "small", "heads", "capitals"])
+        return pd.DataFrame([(w, *n) for w, n in sums.items()], columns=["word", "small", "heads", "capitals", "upper"])
 
     for pdf in batches:
         for text in pdf["text"].tolist():
@@ -449,15 +452,17 @@ def corpus_vocabulary(texts: DataFrame, entities: DataFrame, share: float = 2e-6
 
     A word is common if it makes up ``share`` of all words counted (so there are at most 1 / ``share``)
     and stands in small letters, in texts that have capitals at all, ``plain`` times as often as, inside sentences, with a capital, a given name five times as often as with a capital anywhere; or
-    if it stands with a capital four times as often at the head of a sentence as inside.
+    if it stands with a capital four times as often at the head of a sentence as inside; or if it is nearly always
+    written all in capitals, as words of headlines are.
     """
-    words = texts.select("text").mapInPandas(_word_counts, "word string, small bigint, heads bigint, capitals bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("small", "heads", "capitals")))
+    words = texts.select("text").mapInPandas(_word_counts, "word string, small bigint, heads bigint, capitals bigint, upper bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("small", "heads", "capitals", "upper")))
     words = cut(words)
     least = share * (words.agg(F.sum(F.col("small") + F.col("capitals"))).first()[0] or 0)
     inner = F.col("capitals") - F.col("heads")
     common = words.filter((F.col("small") > least) & (F.col("small") >= F.when(F.col("word").isin(sorted(formal_names())), 5 * F.col("capitals")).otherwise(plain * inner))).select("word", F.lit(False).alias("opens"))
     opening = words.filter((F.col("heads") > least) & (F.col("heads") >= 4 * inner)).select("word", F.lit(True).alias("opens"))
-    listed = common.unionAll(opening).collect()
+    shouted = words.filter((F.col("capitals") > least) & (F.col("upper") >= 0.9 * F.col("capitals"))).select("word", F.lit(True).alias("opens"))
+    listed = common.unionAll(opening).unionAll(shouted).collect()
     return Vocabulary(frozenset(r["word"] for r in listed if not r["opens"] or r["word"] not in formal_names()), trade_words(entities))
 
 

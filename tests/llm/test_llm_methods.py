@@ -142,9 +142,9 @@ def test_thresholds_are_calibrated_and_reported(spark):
 
 def test_vocabulary_counts_all_texts(spark):
     e = spark.createDataFrame([("Ann Lee", "person", None)], "canonical_name string, entity_type string, aliases array<string>")
-    t = spark.createDataFrame([("The harbour was shut. Harbour dues fell.",)] * 40 + [("However it was. Then Mr. Marble saw Marble.",)] * 40 + [("A marble slab.",)], "text string")
+    t = spark.createDataFrame([("The harbour was shut. Harbour dues fell.",)] * 40 + [("However it was. Then Mr. Marble saw Marble.",)] * 40 + [("A marble slab.",)] + [("The SPRING GAZETTE said so of STONE. Mr. Stone left.",)] * 9, "text string")
     common = pii.corpus_vocabulary(t, e).common
-    assert {"harbour", "however"} <= common and "marble" not in common
+    assert {"harbour", "however", "gazette"} <= common and not {"marble", "stone"} & common
 
 
 def test_spans_of_a_long_text(spark):
