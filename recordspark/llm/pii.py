@@ -415,7 +415,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 BROKEN_WORD = re.compile(r"[-‐\u00ad]\s*\n[>|\s]*")
 SMALL = re.compile(r"(?<![\w@.\-+])[a-zß-ÿ]{3,}(?![\w@])")
 BIG = re.compile(r"\b[A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)*")
-HEAD = re.compile(r"(?:\b([A-Z]|Mr|Mrs|Ms|Dr|Prof|Capt)\.\s*|(?:^|[.!?:;\n])[\s>|\-]*)([A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)*)")
+HEAD = re.compile(r"[.!?:;\n](?<!\b[A-Z]\.)(?<!\bM[rs]\.)(?<!\bDr\.)(?<!\bMrs\.)(?<!\bProf\.)(?<!\bCapt\.)[\s>|\-]*([A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)*)")
 
 
 def _word_counts(batches):
@@ -439,7 +439,7 @@ def _word_counts(batches):
         for text in pdf["text"].tolist():
             big = BIG.findall(text)
             capitals.update(big)
-            heads.update(w for named, w in HEAD.findall(text) if not named)
+            heads.update(HEAD.findall("\n" + text))
             if 50 * len(big) > text.count(" ") + text.count("\n"):
                 small.update(set(SMALL.findall(BROKEN_WORD.sub("", text) if "\n" in text else text)))
         if len(small) + len(capitals) > 400_000:
@@ -597,15 +597,24 @@ def _places(own: str, text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _found(detector, table_name, chunk=64):
+def _chunks(texts: list[str], chars: int):
+    """(first, texts) of stretches of about so many characters: the trees run once for each."""
+    begin, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= chars or k == len(texts) - 1:
+            yield begin, texts[begin : k + 1]
+            begin, held = k + 1, 0
+
+
+def _found(detector, table_name, chunk_chars=1_000_000):
     def run(batches):
         d = detector.value
         for pdf in batches:
             ids, texts = pdf["id"].tolist(), pdf["text"].tolist()
             own = pdf["own"].tolist() if "own" in pdf else [None] * len(ids)
             rows = []
-            for at in range(0, len(texts), chunk):
-                part = texts[at : at + chunk]
+            for at, part in _chunks(texts, chunk_chars):
                 for k, spans in enumerate(d.spans(part)):
                     mine = _places(own[at + k], part[k]) if own[at + k] and spans else ()
                     for kind, b, e in spans:
@@ -640,7 +649,8 @@ def _redacting(detector, table_name):
             texts = pdf["text"].tolist()
             own = pdf["own"].tolist() if "own" in pdf else [None] * len(texts)
             out, counts = [], []
-            for t, o, spans in zip(texts, own, detector.value.spans(texts)):
+            found = [s for _, part in _chunks(texts, 1_000_000) for s in detector.value.spans(part)]
+            for t, o, spans in zip(texts, own, found):
                 mine = _places(o, t) if o and spans else ()
                 spans = [x for x in spans if not (x[0] == "name" and any(x[1] < e and x[2] > b for b, e in mine))]
                 out.append(redact(t, spans) if t else t)
