@@ -277,12 +277,12 @@ def _extract(batches, known):
                         found[-1] = head
                     else:
                         head = None
-                    low = [w.lower().replace("’", "'") for w in found]
-                    asked.update(low)
-                    out.append(" ".join(low))
+                    low = " ".join(found).lower().replace("’", "'")
+                    asked.update(low.split(" "))
+                    out.append(low)
                 bodies.append("\n".join(out))
             body = "\f".join(bodies)
-            asked = [w for w in asked - skip if len(w) > 2 and any(c.isalpha() for c in w) and sum(c.isdigit() for c in w) < 3]
+            asked = [w for w in asked - skip if len(w) > 2 and (w.isalpha() or (any(c.isalpha() for c in w) and sum(c.isdigit() for c in w) < 3))]
             rows.append((doc, int.from_bytes(hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), edges, hyphens, body, asked))
         yield pd.DataFrame(rows, columns=["document_id", "row", "edges", "hyphens", "body", "asked"])
 
